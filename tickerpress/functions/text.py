@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters that count as whitespace: Java's \s plus the Unicode spaces and the
@@ -68,6 +68,17 @@ def add_bigrams(tokens: Column) -> Column:
         lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def unnest(df: DataFrame, keep: Sequence[str], array: Column, name: str) -> DataFrame:
+    """One row per array element.
+
+    The outer form is used and the null row of an empty array dropped after:
+    for a plain ``explode`` Spark adds a filter on the array's size below it,
+    which would compute the tokens of every text a second time.
+    """
+    rows = df.select(*keep, F.explode_outer(array).alias(name))
+    return rows.where(F.col(name).isNotNull())
+
+
 def digest(*cols: Column) -> Column:
     """A 32-byte key for text; null if any column is null."""
     if len(cols) == 1:

@@ -22,7 +22,7 @@ def session_by_day(calendar: DataFrame) -> DataFrame:
     A trading date serves the days since the one before it.  The list of dates
     is one small array, so no window over an unpartitioned table is needed.
     """
-    ordered = calendar.agg(F.array_sort(F.collect_set("session")).alias("sessions"))
+    ordered = calendar.agg(F.sort_array(F.collect_set("session")).alias("sessions"))
     spans = ordered.select(F.explode(F.transform(
         "sessions", lambda d, i: F.struct(
             F.coalesce(F.date_add(F.get("sessions", i - 1), 1), d).alias("from_day"),

@@ -86,7 +86,7 @@ def split_rows(df: DataFrame, series: str = "series_id", date: str = "obs_date",
 def cutoff_date(rates: DataFrame, share: float = TRAIN_SHARE, series: str = "series_id",
                 date: str = "obs_date") -> DataFrame:
     """``(series, cutoff)``: the date at row ``int(share * n)`` of each whole calendar."""
-    days = rates.groupBy(series).agg(F.array_sort(F.collect_list(date)).alias("days"))
+    days = rates.groupBy(series).agg(F.sort_array(F.collect_list(date)).alias("days"))
     place = F.floor(F.size("days") * F.lit(float(share))).cast("int")
     return days.select(series, F.get("days", place).alias("cutoff"))
 

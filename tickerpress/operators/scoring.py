@@ -106,7 +106,7 @@ def lexicon_hits_by_join(df: DataFrame, id_col: str, text_col: str, lexicon: Dat
     Only tokens that meet the lexicon are shuffled back to their text, and they
     are counted per text and term before the join.
     """
-    tokens = df.select(id_col, F.explode(tx.alpha_tokens(F.col(text_col))).alias("term"))
+    tokens = tx.unnest(df, [id_col], tx.alpha_tokens(F.col(text_col)), "term")
     counted = tokens.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
     return (counted.join(lexicon.select("term", "category").distinct(), "term")
             .groupBy(id_col, "category").agg(F.sum("n").alias("hits")))
@@ -210,12 +210,15 @@ def score_valence(df: DataFrame, text_col: str, lexicon: Mapping[str, float], pr
                             *[previous(x["i"], k).alias(f"w{k}") for k in (1, 2, 3)])
 
         staged = staged.withColumn(hits, F.transform(hits, opened))
-        for back in (1, 2, 3):
-            staged = staged.withColumn(hits, F.transform(hits, lambda h, b=back: F.struct(
+        def heard(back):
+            return lambda h: F.struct(
                 h["i"].alias("i"),
                 F.when(h["v"] == 0, h["v"]).otherwise(
-                    _context_step(h, b, mixed_caps, known, rules)).alias("v"),
-                *[h[f"w{k}"].alias(f"w{k}") for k in (1, 2, 3)])))
+                    _context_step(h, back, mixed_caps, known, rules)).alias("v"),
+                *[h[f"w{k}"].alias(f"w{k}") for k in (1, 2, 3)])
+
+        for back in (1, 2, 3):
+            staged = staged.withColumn(hits, F.transform(hits, heard(back)))
         turn = F.array_position(F.transform(words, F.lower), rules.contrast) - 1
         least = lambda h: ((F.lower(h["w1"]) == "least") & ~_in(F.lower(h["w1"]), known)
                            & ~F.coalesce(F.lower(h["w2"]).isin("at", "very"), F.lit(False)))

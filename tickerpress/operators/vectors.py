@@ -56,8 +56,8 @@ def with_terms(df: DataFrame, text_col: str, stop_words: Sequence[str], bigrams:
 def term_stream(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str],
                 bigrams: bool = True) -> DataFrame:
     """``(id, term)``, one row per occurrence."""
-    return with_terms(df.select(id_col, text_col), text_col, stop_words, bigrams).select(
-        id_col, F.explode("terms").alias("term"))
+    staged = with_terms(df.select(id_col, text_col), text_col, stop_words, bigrams)
+    return tx.unnest(staged, [id_col], F.col("terms"), "term")
 
 
 def term_statistics(df: DataFrame, text_col: str, stop_words: Sequence[str],
@@ -69,13 +69,14 @@ def term_statistics(df: DataFrame, text_col: str, stop_words: Sequence[str],
     combined aggregate give both counts without a shuffle per text.
     """
     ordered = with_terms(df.select(text_col), text_col, stop_words, bigrams).select(
-        F.array_sort("terms").alias("terms"))
+        F.sort_array("terms").alias("terms"))
     marked = ordered.select(F.concat(
         F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first"))),
         F.transform("terms", lambda t, i: F.struct(
             t.alias("term"),
             F.when(F.get("terms", i - 1) == t, 0).otherwise(1).alias("first")))).alias("marked"))
-    return (marked.select(F.inline("marked")).groupBy("term")
+    # Never empty; the outer form keeps Spark from adding a size filter (see tx.unnest).
+    return (marked.select(F.inline_outer("marked")).groupBy("term")
             .agg(F.count(F.lit(1)).alias("tf"), F.sum("first").alias("df")))
 
 
@@ -156,8 +157,8 @@ def long_weights(df: DataFrame, id_cols: Sequence[str], model: TfidfModel,
                  vector_col: str = "tfidf") -> DataFrame:
     """``(ids, term, weight)`` for the non-zero weights."""
     idx, values = sparse_parts(vector_col)
-    pairs = df.select(*id_cols, F.explode(F.arrays_zip(idx.alias("idx"), values.alias("weight")))
-                      .alias("p")).select(*id_cols, "p.idx", "p.weight")
+    zipped = F.arrays_zip(idx.alias("idx"), values.alias("weight"))
+    pairs = tx.unnest(df, id_cols, zipped, "p").select(*id_cols, "p.idx", "p.weight")
     # At most max_features rows: a bounded dictionary.
     names = F.broadcast(model.frame(df.sparkSession).select("idx", "term"))
     return pairs.join(names, "idx").select(*id_cols, "term", "weight")

@@ -22,7 +22,8 @@ def flatten_hits(df: DataFrame, json_col: str, keep: Sequence[str] = ()) -> Data
         return F.coalesce(F.col("hit").getField(key), F.lit("")).alias(name)
 
     return (
-        df.select(*keep, F.posexplode(page["results"]).alias("position", "hit"))
+        df.select(*keep, F.posexplode_outer(page["results"]).alias("position", "hit"))
+        .where("position IS NOT NULL")
         .select(*keep, "position",
                 value(schemas.HIT_DATE, "published"), value(schemas.HIT_TYPE, "media_type"),
                 value(schemas.HIT_TITLE, "title"), value(schemas.HIT_URL, "url"))
