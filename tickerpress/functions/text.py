@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Characters that count as whitespace: Java's \s plus the Unicode spaces and the
-# four separator controls.
-SPACE = r"\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Characters that count as whitespace: the Unicode spaces and the four separator
+# controls.  Patterns that use the class start with the (?U) flag.
+SPACE = r"\s\x1C-\x1F"
 
 # Patterns of the cleaning and scoring rules.
-PREFIX_PATTERN = f"^In this article[{SPACE}]*"
-URL_PATTERN = f"https?://[^{SPACE}]+|www\\.[^{SPACE}]+"
-NON_LETTER_PATTERN = f"[^a-zA-Z{SPACE}]"
-ALPHA_TOKEN_PATTERN = "[a-z]+"
+PREFIX_PATTERN = f"(?U)^In this article[{SPACE}]*"
+URL_PATTERN = f"(?U)https?://[^{SPACE}]+|www\\.[^{SPACE}]+"
+NON_LETTER_PATTERN = f"(?U)[^a-zA-Z{SPACE}]"
+ALPHA_TOKEN_PATTERN = "[a-zA-Z]+"
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -25,7 +25,7 @@ def text_or_empty(text: Column) -> Column:
 
 def strip_space(text: Column) -> Column:
     """Trim every kind of whitespace; SQL ``trim`` takes blanks only."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(text, f"(?U)^[{SPACE}]++|[{SPACE}]++$", "")
 
 
 def strip_prefix(text: Column, pattern: str = PREFIX_PATTERN) -> Column:
@@ -33,13 +33,18 @@ def strip_prefix(text: Column, pattern: str = PREFIX_PATTERN) -> Column:
 
 
 def remove_links(text: Column) -> Column:
-    squeezed = F.regexp_replace(F.regexp_replace(text, URL_PATTERN, ""), f"[{SPACE}]+", " ")
-    return F.trim(squeezed)
+    """URLs out, whitespace runs to one blank, ends trimmed.
+
+    Single blanks, nearly all of the whitespace, are left alone rather than
+    replaced by themselves.
+    """
+    plain = F.regexp_replace(text, URL_PATTERN, "")
+    return F.trim(F.regexp_replace(plain, f"(?U)[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]", " "))
 
 
 def word_count(text: Column) -> Column:
     """Whitespace-separated words; 0 for empty text."""
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+    return F.regexp_count(text, F.lit(f"(?U)[^{SPACE}]+"))
 
 
 def clean_ascii(text: Column) -> Column:
@@ -48,7 +53,9 @@ def clean_ascii(text: Column) -> Column:
 
 
 def alpha_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(clean_ascii(text), F.lit(ALPHA_TOKEN_PATTERN), F.lit(0))
+    """The words of ``clean_ascii(text)``, cut straight from the text."""
+    words = F.regexp_extract_all(text_or_empty(text), F.lit(ALPHA_TOKEN_PATTERN), F.lit(0))
+    return F.transform(words, F.lower)
 
 
 def word_tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:

@@ -115,13 +115,15 @@ def lexicon_hits_by_join(df: DataFrame, id_col: str, text_col: str, lexicon: Dat
 # -- valence ----------------------------------------------------------------
 
 _PUNCT = r"(?:[.!?,;:\-'\"]|!{2,3}|\?{2,3}|\?!\?!?|!\?!\??)"
-_UNWRAP = rf"^{_PUNCT}([^\p{{Punct}}]{{2,}})$|^([^\p{{Punct}}]{{2,}}){_PUNCT}$"
+_BARE = rf"([^\p{{Punct}}{tx.SPACE}]{{2,}})"
+_EDGE = f"[^{tx.SPACE}]"
+_UNWRAP = rf"(?U)(?<!{_EDGE})(?:{_PUNCT}{_BARE}|{_BARE}{_PUNCT})(?!{_EDGE})"
 
 
 def valence_words(text: Column) -> Column:
     """Blank-separated tokens of two or more characters, one-sided punctuation taken off."""
-    parts = F.filter(F.split(text, f"[{tx.SPACE}]+"), lambda w: F.length(w) > 1)
-    return F.transform(parts, lambda w: F.regexp_replace(w, _UNWRAP, "$1$2"))
+    plain = F.regexp_replace(text, _UNWRAP, "$1$2")
+    return F.filter(F.split(plain, f"(?U)[{tx.SPACE}]+"), lambda w: F.length(w) > 1)
 
 
 def _valence_of(word: Column, lexicon: Mapping[str, float]) -> Column:
