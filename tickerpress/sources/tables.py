@@ -23,6 +23,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str,
     return reader.format(fmt).load(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a small scan as many partitions as the cluster has cores.
+
+    A single file with one row group would be read, tokenised and scored by one
+    task.  Inputs with enough splits of their own are returned as they are, so
+    nothing large is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
     """Write a stage table; ``sort_by`` orders rows inside each file, without a global sort."""

@@ -151,7 +151,7 @@ def c3(spark, d):
     SELECT page_id, CASE WHEN has_body THEN array_to_string(ps, ' ')
                     ELSE 'No full text available (Video/Live Blog)' END AS full_text FROM pars""")
 def c4(spark, d):
-    pages = v.table(spark, d, "pages").select("page_id", "html")
+    pages = tb.spread(v.table(spark, d, "pages").select("page_id", "html"), "page_id")
     return ex.extract_body(pages, "html", tag="article", css_class=None)
 
 
@@ -209,7 +209,7 @@ def near_dup_sql(stop_words, max_features, threshold, select):
     v.STOP_WORDS, 5000, 0.9,
     "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT j FROM near)"))
 def c9(spark, d):
-    docs = v.table(spark, d, "documents")
+    docs = tb.spread(v.table(spark, d, "documents"), "doc_id")
     return nd.drop_near_duplicates(docs, "doc_id", "text", stop_words=v.STOP_WORDS).select(
         "doc_id", "n_chars")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickerpress.sources.tables import spread
 from tickerpress.operators.scoring import Lexicon, ValenceRules
 
 ZONE_SHIFT = "INTERVAL 7 HOUR"  # the market zone has no daylight saving time
@@ -55,7 +56,7 @@ def rate_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     dates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate")
     seconds = (F.col("doc_id") * 7919 % 86400).cast("int")
     return docs.join(dates, "doc_id").select(
