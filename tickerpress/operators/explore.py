@@ -142,8 +142,8 @@ def histograms(panel: DataFrame, columns: Sequence[str], bins: int = HISTOGRAM_B
     long = to_long(with_news(panel), [series], columns).where("value IS NOT NULL")
     edges = long.groupBy(series, "feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.lit(float(bins)))
-    place = F.coalesce(F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1)),
-                       F.lit(0))
+    place = F.when(width.isNull(), 0).otherwise(
+        F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1)))
     return (long.join(edges, [series, "feature"])
             .groupBy(series, "feature", place.cast("int").alias("bin"))
             .agg(F.count(F.lit(1)).alias("n")))
