@@ -461,3 +461,31 @@ def flagship(spark, d):
         F.avg("text_vader_compound_mean").alias("mean_compound"),
         F.round(ev.rmse(F.col("diff"), F.lit(0.0)), 4).alias("rmse_zero"))
     return v.rounded(out, "articles_per_day", "mean_polarity", "mean_compound")
+
+
+def _daily_features(spark, d):
+    from tickerpress.plans import features as pf
+    rates = v.rate(spark, d)
+    articles = pf.prepare_articles(v.news_dirty(spark, d), rates)
+    return pf.extract_features(articles, rates, v.LEXICON, v.VALENCE, v.RULES, v.STOP_WORDS,
+                               title=(300, 5), body=(500, 8))
+
+
+@query("daily_features")
+def daily_features(spark, d):
+    """Cleaning, alignment, scores and text vectors down to one row per trading day."""
+    return v.rounded(_daily_features(spark, d))
+
+
+@query("experiment_metrics")
+def experiment_metrics(spark, d):
+    """Every model of the comparison on a panel of scored news, one metric row each."""
+    from tickerpress.plans.experiment import run_experiment
+    whole = pn.build_panel(v.rate(spark, d), light(spark, d))
+    grid = {"n_estimators": (4,), "learning_rate": (0.1,), "max_depth": (2,)}
+    return run_experiment(whole, _LIGHT_EXOG, grid=grid).metrics
+
+
+def light(spark, d):
+    from workload.features import light_features
+    return light_features(spark, d)
