@@ -74,10 +74,14 @@ def describe_features(panel: DataFrame, columns: Sequence[str],
 
 
 def _average_rank(column: str, *keys: str) -> Column:
-    """Rank from 1; equal values share the mean of their places."""
-    by = Window.partitionBy(*keys)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, column))
-    return F.rank().over(by.orderBy(column)) + (ties - 1) / F.lit(2.0)
+    """Rank from 1; equal values share the mean of their places.
+
+    Values are compared to nine digits: a daily mean may differ in its last bit
+    between runs, as partial sums arrive in any order, and must not break a tie.
+    """
+    value = F.round(column, 9)
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
+    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (ties - 1) / F.lit(2.0)
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -135,10 +139,7 @@ def split_summary(panel: DataFrame, series: str = "series_id", date: str = "obs_
 
 def histograms(panel: DataFrame, columns: Sequence[str], bins: int = HISTOGRAM_BINS,
                series: str = "series_id") -> DataFrame:
-    """Counts in equal bins between each feature's extremes, on days with news.
-
-    Values are counted first, so the bins are made from one row per distinct value.
-    """
+    """Counts in equal bins between each feature's extremes, on days with news."""
     long = to_long(with_news(panel), [series], columns).where("value IS NOT NULL")
     edges = long.groupBy(series, "feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.lit(float(bins)))

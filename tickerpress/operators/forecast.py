@@ -65,11 +65,15 @@ def zero_change(panel: DataFrame, splits: Sequence[str] = ("val", "test")) -> Da
     return as_predictions(panel, "zero", F.lit(0.0), splits)
 
 
-def majority_direction(panel: DataFrame, fit_on: Sequence[str] = ("train",),
-                       splits: Sequence[str] = ("val", "test")) -> DataFrame:
+def _majority_call(fit_on: Sequence[str]) -> Column:
     """+1 where rising days are more than half of the fit rows, else -1."""
     rising = F.avg(F.when(_in_splits(fit_on), (F.col(TARGET) > 0).cast("double"))).over(_series(False))
-    called = panel.withColumn("call", F.when(rising > 0.5, 1.0).otherwise(-1.0))
+    return F.when(rising > 0.5, 1.0).otherwise(-1.0)
+
+
+def majority_direction(panel: DataFrame, fit_on: Sequence[str] = ("train",),
+                       splits: Sequence[str] = ("val", "test")) -> DataFrame:
+    called = panel.withColumn("call", _majority_call(fit_on))
     return as_predictions(called, "majority", F.col("call"), splits)
 
 
@@ -78,8 +82,12 @@ def persistence(panel: DataFrame, splits: Sequence[str] = ("val", "test")) -> Da
 
 
 def baselines(panel: DataFrame, splits: Sequence[str] = ("val", "test")) -> DataFrame:
-    return (zero_change(panel, splits).unionByName(majority_direction(panel, splits=splits))
-            .unionByName(persistence(panel, splits)))
+    """The three baselines from one pass over the panel."""
+    called = panel.withColumn("call", _majority_call(("train",))).where(_in_splits(splits))
+    models = F.array(*[F.struct(F.lit(name).alias("model"), value.alias("y_hat")) for name, value in (
+        ("zero", F.lit(0.0)), ("majority", F.col("call")), ("persistence", F.col(AR_LAG)))])
+    rows = called.select(SERIES, DATE, "split", F.col(TARGET).alias("y"), F.inline(models))
+    return rows.select(SERIES, DATE, "split", "model", "y", "y_hat")
 
 
 # -- least squares from sums ---------------------------------------------------

@@ -31,8 +31,8 @@ BODY_TERMS, BODY_RANK = 3_000, 50
 MAX_VOCABULARY = 200_000
 #: Up to this many terms the Gram matrix is formed in one pass and decomposed locally.
 MAX_GRAM_TERMS = 5_000
-#: Tasks that each hold one partial Gram matrix.
-GRAM_TASKS = 2_000
+#: Tasks per core that each fold their rows into one partial Gram matrix.
+GRAM_TASKS_PER_CORE = 4
 
 
 def english_stop_words() -> list[str]:
@@ -215,16 +215,18 @@ def _fix_signs(v: np.ndarray) -> np.ndarray:
 def fit_svd(vectors: DataFrame, vector_col: str, n_terms: int, rank: int) -> SvdModel:
     """Uncentred truncated SVD of the rows, rank clamped to ``[1, n_terms - 1]``.
 
-    The Gram matrix is terms x terms, whatever the number of texts.  Each of at
-    most ``GRAM_TASKS`` tasks folds its rows into one partial matrix, and the
-    partials meet in a tree.  Larger vocabularies use the iterative solver.
+    The Gram matrix is terms x terms, whatever the number of texts.  A few tasks
+    per core, however many input splits, fold their rows into one partial matrix
+    each, and the partials meet in a tree.  Larger vocabularies use the
+    iterative solver.
     """
     k = max(1, min(rank, n_terms - 1))
     rows = MLUtils.convertVectorColumnsFromML(vectors.select(vector_col), vector_col)
     if n_terms > MAX_GRAM_TERMS:
         svd = RowMatrix(rows).computeSVD(k)
         return SvdModel(_fix_signs(svd.V.toArray()), svd.s.toArray())
-    gram = RowMatrix(rows.coalesce(GRAM_TASKS), 0, n_terms).computeGramianMatrix().toArray()
+    tasks = GRAM_TASKS_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism
+    gram = RowMatrix(rows.coalesce(tasks), 0, n_terms).computeGramianMatrix().toArray()
     values, basis = np.linalg.eigh(gram)
     order = np.argsort(values)[::-1][:k]
     return SvdModel(_fix_signs(basis[:, order]), np.sqrt(np.clip(values[order], 0.0, None)))

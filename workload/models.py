@@ -75,10 +75,10 @@ def e4(spark, d):
 
 _RANKS = """
     ranked AS (SELECT series_id, feature,
-        rank() OVER (PARTITION BY series_id, feature ORDER BY value)
-          + (count(*) OVER (PARTITION BY series_id, feature, value) - 1) / CAST(2 AS DOUBLE) AS rx,
-        rank() OVER (PARTITION BY series_id, feature ORDER BY y)
-          + (count(*) OVER (PARTITION BY series_id, feature, y) - 1) / CAST(2 AS DOUBLE) AS ry
+        rank() OVER (PARTITION BY series_id, feature ORDER BY round(value, 9))
+          + (count(*) OVER (PARTITION BY series_id, feature, round(value, 9)) - 1) / CAST(2 AS DOUBLE) AS rx,
+        rank() OVER (PARTITION BY series_id, feature ORDER BY round(y, 9))
+          + (count(*) OVER (PARTITION BY series_id, feature, round(y, 9)) - 1) / CAST(2 AS DOUBLE) AS ry
         FROM long),
     rho AS (SELECT series_id, feature, corr(rx, ry) AS rho FROM ranked GROUP BY 1, 2
             HAVING min(rx) < max(rx) AND min(ry) < max(ry))"""
@@ -103,7 +103,7 @@ _MATRIX = ["diff", "diff_lag1", "news_count", "n_chars_mean"]
 
 
 @query("e6_spearman_matrix", PANEL_SQL + ", wide AS (SELECT series_id, " + ", ".join(
-    f"rank() OVER (PARTITION BY series_id ORDER BY {c}) + (count(*) OVER (PARTITION BY series_id, {c})"
+    f"rank() OVER (PARTITION BY series_id ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY series_id, round({c}, 9))"
     f" - 1) / CAST(2 AS DOUBLE) AS {c}" for c in _MATRIX) + " FROM panel) " + " UNION ALL ".join(
     f"SELECT series_id, '{a}' AS a, '{b}' AS b, {v.r(f'corr({a}, {b})')} AS rho FROM wide GROUP BY 1"
     for a in _MATRIX for b in _MATRIX))
