@@ -40,11 +40,6 @@ def english_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def terms(text: Column, stop_words: Sequence[str], bigrams: bool = True) -> Column:
-    tokens = tx.word_tokens(text, stop_words)
-    return tx.add_bigrams(tokens) if bigrams else tokens
-
-
 def with_terms(df: DataFrame, text_col: str, stop_words: Sequence[str], bigrams: bool = True,
                out: str = "terms") -> DataFrame:
     """Add the term array; stop words go before neighbours are paired."""

@@ -116,9 +116,6 @@ def c2(spark, d):
     return cl.exclude_types(v.news_dirty(spark, d), "media_type").select("ingest_id", "media_type")
 
 
-_EVENT_KINDS = ["click", "error", "login"]
-
-
 @query("c3_merge_hits", f"""
     WITH kinds AS (SELECT * FROM (VALUES ('error', 0), ('click', 1), ('', 2)) k(kind, query_no)),
     hits AS (SELECT query_no, event_id AS ingest_id, 'u' || (event_id % 900) AS url, event_type

@@ -13,7 +13,7 @@ from tickerpress.operators import trees as tr
 from tickerpress.session import write_through
 from workload import views as v
 from workload.articles import aligned
-from workload.features import (DAILY_SQL, FEATURES, PANEL_SQL, SCORED_PANEL_SQL, panel, scored_panel)
+from workload.features import (FEATURES, PANEL_SQL, SCORED_PANEL_SQL, panel, scored_panel)
 
 QUERIES, ORACLES = {}, {}
 
@@ -387,10 +387,9 @@ def m18(spark, d):
 _GROUP = "FROM predictions GROUP BY 1, 2"
 _SIGN = "CASE WHEN sign(y) = sign(y_hat) THEN 1.0 ELSE 0.0 END"
 _RMSE = "sqrt(avg((y - y_hat) * (y - y_hat)))"
-_TP = "count(CASE WHEN y {s} 0 AND {g} THEN 1 END)"
 
 
-def _f1_sql(sign: str, guess: str) -> str:
+def _f1_sql(sign: str, guess: str) -> tuple[str, str]:
     tp = f"count(CASE WHEN y {sign} 0 AND {guess} THEN 1 END)"
     all_ = f"(count(CASE WHEN y {sign} 0 THEN 1 END) + count(CASE WHEN y <> 0 AND {guess} THEN 1 END))"
     return f"coalesce(2.0 * {tp} / nullif({all_}, 0), 0)", all_
