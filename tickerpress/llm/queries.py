@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerpress.llm import mixing, sharding
+from tickerpress.llm import mixing, sharding, token_files
+from tickerpress.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +18,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = token_files.write_segments(_table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"),
+                                          public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_documents(segments)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_mixing": op1_mixing, "op8_token_files": op8_token_files,
+           "op10_sharding": op10_sharding}
 
 ORACLES: dict[str, str] = {}
