@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerpress.llm import mixing, sharding, token_files
+from tickerpress.llm import mixing, sharding, simhash, token_files
 from tickerpress.session import scratch_path
 
 
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = token_files.write_segments(_table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"),
                                           public_tokenizers.path("word_bpe_49k.json"))
@@ -28,7 +32,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op8_token_files": op8_token_files,
+QUERIES = {"op1_mixing": op1_mixing, "op4_simhash": op4_simhash, "op8_token_files": op8_token_files,
            "op10_sharding": op10_sharding}
 
 ORACLES: dict[str, str] = {}
