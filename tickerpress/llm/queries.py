@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerpress.llm import mixing, sharding, simhash, substring_dedup, token_files
+from tickerpress.llm import html_extraction, mixing, sharding, simhash, substring_dedup, token_files
 from tickerpress.session import scratch_path
 
 
@@ -22,6 +22,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_substring_dedup": op2_substring_dedup, "op4_simhash": op4_simhash, "op8_token_files": op8_token_files,
+QUERIES = {"op1_mixing": op1_mixing, "op2_substring_dedup": op2_substring_dedup, "op3_html_extraction": op3_html_extraction,
+           "op4_simhash": op4_simhash, "op8_token_files": op8_token_files,
            "op10_sharding": op10_sharding}
 
 ORACLES = {
