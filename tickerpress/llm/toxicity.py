@@ -30,7 +30,7 @@ FIT_ROWS = 30_000
 #: Learnt lexicon entries at most, the surest first.
 LEXICON = 4_000
 #: Stem lengths looked at besides whole words, and words a task remembers.
-STEMS = (3, 4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 REMEMBERED = 300_000
 #: A learnt entry occurs in so many toxic rows, and its log odds exceed this by two standard errors.
 LEAST_ROWS, LEAST_ODDS = 4, 1.0
@@ -38,7 +38,7 @@ NEAR = 3
 
 GENERAL = frozenset("""
     idiot idiots moron morons stupid dumb loser losers pathetic worthless trash garbage scum clown disgusting
-    ugly filthy imbecile fool jerk bastard bitch asshole crap shit fuck fucking damn hate kill die
+    ugly filthy imbecile fool jerk bastard bitch asshole shit fuck fucking
     dumm dumme dummkopf trottel abschaum widerlich arschloch versager scheisse
     imbécile crétin débile salaud ordure minable dégoûtant connard merde
     estúpido estúpida imbécil basura escoria asqueroso payaso inútil mierda
