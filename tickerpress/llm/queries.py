@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerpress.llm import html_extraction, mixing, sharding, simhash, substring_dedup, token_files, toxicity
+from tickerpress.llm import (html_extraction, mixing, sentencepiece_codec, sharding, simhash, substring_dedup, token_files,
+                             toxicity)
 from tickerpress.session import scratch_path
 
 
@@ -34,6 +35,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_decode(_table(spark, sf_dir, "documents"),
+                                             public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = token_files.write_segments(_table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"),
                                           public_tokenizers.path("word_bpe_49k.json"))
@@ -45,7 +51,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_substring_dedup": op2_substring_dedup, "op3_html_extraction": op3_html_extraction,
-           "op4_simhash": op4_simhash, "op6_toxicity": op6_toxicity, "op8_token_files": op8_token_files,
+           "op4_simhash": op4_simhash, "op6_toxicity": op6_toxicity, "op7_sentencepiece": op7_sentencepiece,
+           "op8_token_files": op8_token_files,
            "op10_sharding": op10_sharding}
 
 ORACLES = {

@@ -32,8 +32,8 @@ from tickerpress.session import write_through
 MAGIC = b"TKP1"
 #: Ids per block and per segment.  A document longer than a segment makes a longer one.
 BLOCK, SEGMENT = 1 << 16, 1 << 20
-#: Words whose ids a task keeps; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Words in the younger half of a task's memory; when it is full, the older half goes.
+REMEMBERED = 250_000
 SEGMENTS = "part int, seq int, payload binary"
 DOCUMENTS = "part int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
@@ -111,13 +111,17 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         """Forgets at most between batches, so a batch finds all its words."""
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        new = [w for w in words if w not in self.known]
+            self.known, self.older = {}, self.known
+        self.known[""] = b""
+        new = words.difference(self.known)
+        self.known.update((w, self.older[w]) for w in new.intersection(self.older))
+        new = list(new.difference(self.older))
         odd = [w for w in new if any(s in w for s in self.special)]
         for w in odd:
             self.known[w] = _little(self.tokenizer.encode(w, add_special_tokens=False).ids)
