@@ -18,6 +18,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -148,6 +149,10 @@ class WordEncoder:
         return [b"".join(map(find, s)) for s in split]
 
 
+#: One per tokenizer and worker process, so that what a task has learnt serves the next.
+_encoder = lru_cache(maxsize=1)(WordEncoder)
+
+
 def _little(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
@@ -169,7 +174,7 @@ def write_segments(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1,
     end = _little([end_id])
 
     def segments(batches: Iterator) -> Iterator[pd.DataFrame]:
-        encoder, part, seq = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, seq = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids, counts, held, size = [], [], [], 0
 
         def out():
