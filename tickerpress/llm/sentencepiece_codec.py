@@ -15,6 +15,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +185,10 @@ class Codec:
             self.known.update(zip(part, found))
 
 
+#: One per model and worker process, so that what a task has learnt serves the next.
+_codec = lru_cache(maxsize=1)(Codec)
+
+
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
                   verify: bool = True, threads: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, ids, n_tokens, decoded, round_trip, parity.
@@ -197,7 +202,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path, threads, verify)
+        codec = _codec(model_path, threads, verify)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
