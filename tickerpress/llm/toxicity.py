@@ -99,6 +99,18 @@ class Words:
         return weight
 
 
+_of_process: dict[int, Words] = {}
+
+
+def _words(lexicon: dict[str, float]) -> Words:
+    """One per worker process and lexicon, so that what a task has looked up serves the next."""
+    key = hash(tuple(sorted(lexicon.items())))
+    if key not in _of_process:
+        _of_process.clear()
+        _of_process[key] = Words(lexicon)
+    return _of_process[key]
+
+
 _CLASS = np.zeros(256, dtype=np.int64)
 for _c in range(256):
     _CLASS[_c] = (1 if chr(_c).isalpha() and _c < 128 and chr(_c).isupper() else 2 if _c >= 128 or chr(_c).isalpha()
@@ -166,7 +178,7 @@ def with_features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in rows.select(*rest).schema])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(lexicon)
+        words = _words(lexicon)
         for batch in batches:
             f = [features(t.as_py(), words) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(f, pa.list_(pa.float64()))],
