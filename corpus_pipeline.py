@@ -4,21 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerpress.llm import mixing
+from tickerpress.llm import mixing, sentencepiece_codec, simhash, substring_dedup, toxicity
 from tickerpress.session import write_through
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5, learnt from ``labels``."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of smallest id."""
+    return simhash.keep_one(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of passages that came earlier."""
+    return substring_dedup.without_repeats(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights; a document that is taken twice appears twice."""
     return mixing.mix(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the text decoded from them."""
+    return sentencepiece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("SimHash near-dedup", drop_near_copies),
+    ("substring dedup", drop_repeated_passages),
     ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode),
 ]
 
 
@@ -30,7 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The stages draw, learn and tokenise, which SQL cannot express.
+#: The stages learn, draw and tokenise, which SQL cannot express.
 ORACLE_SQL = None
 QUERIES = {"pipeline": run}
 ORACLES: dict[str, str] = {}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickerpress.llm import (html_extraction, mixing, sentencepiece_codec, sharding, simhash, substring_dedup, token_files,
+from tickerpress.llm import (ann, embedding_dedup, html_extraction, mixing, sentencepiece_codec, sharding, simhash, substring_dedup, token_files,
                              toxicity)
 from tickerpress.session import scratch_path
 
@@ -31,6 +32,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -46,14 +51,26 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(segments)
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_substring_dedup": op2_substring_dedup, "op3_html_extraction": op3_html_extraction,
-           "op4_simhash": op4_simhash, "op6_toxicity": op6_toxicity, "op7_sentencepiece": op7_sentencepiece,
-           "op8_token_files": op8_token_files,
-           "op10_sharding": op10_sharding}
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_simhash": op4_simhash,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_token_files": op8_token_files,
+    "op9_nearest": op9_nearest,
+    "op10_sharding": op10_sharding,
+}
 
 ORACLES = {
     "op2_substring_dedup": r"""
@@ -72,5 +89,19 @@ kept AS (
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM split LEFT JOIN kept USING (doc_id)
+""",
+    "op5_embedding_dedup": """
+WITH RECURSIVE links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b
+  ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.98),
+reached AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION
+  SELECT reached.x, links.y FROM reached JOIN links ON reached.y = links.x),
+least AS (SELECT x, min(y) AS component_id FROM reached GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.x = vec_id LEFT JOIN counts ON counts.x = vec_id
 """,
 }
