@@ -185,8 +185,10 @@ class Codec:
             self.known.update(zip(part, found))
 
 
-#: One per model and worker process, so that what a task has learnt serves the next.
-_codec = lru_cache(maxsize=1)(Codec)
+@lru_cache(maxsize=1)
+def _codec(path: str, threads: int, verify: bool) -> Codec:
+    """One per model and worker process, so that what a task has learnt serves the next."""
+    return Codec(path, threads, verify)
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",

@@ -149,8 +149,10 @@ class WordEncoder:
         return [b"".join(map(find, s)) for s in split]
 
 
-#: One per tokenizer and worker process, so that what a task has learnt serves the next.
-_encoder = lru_cache(maxsize=1)(WordEncoder)
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One per tokenizer and worker process, so that what a task has learnt serves the next."""
+    return WordEncoder(path)
 
 
 def _little(ids: list[int]) -> bytes:
