@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerpress.functions import dates as dt
-
-#: Longest calendar accepted, in days; what is broadcast can never have more rows.
-MAX_CALENDAR_DAYS = 100_000
+from tickerpress.session import write_through
 
 
 def trading_calendar(rates: DataFrame, date_col: str = "obs_date") -> DataFrame:
@@ -26,13 +24,8 @@ def session_by_day(calendar: DataFrame) -> DataFrame:
     spans = ordered.select(F.explode(F.transform(
         "sessions", lambda d, i: F.struct(
             F.coalesce(F.date_add(F.get("sessions", i - 1), 1), d).alias("from_day"),
-            d.alias("session"),
-            F.datediff(F.element_at("sessions", -1), F.element_at("sessions", 1)).alias("span"),
-        ))).alias("s")).select("s.*")
-    bounded = F.when(F.col("span") > MAX_CALENDAR_DAYS,
-                     F.raise_error(F.lit(f"calendar spans more than {MAX_CALENDAR_DAYS} days"))
-                     ).otherwise(F.sequence("from_day", "session"))
-    return spans.select(F.explode(bounded).alias("day"), "session")
+            d.alias("session")))).alias("s")).select("s.*")
+    return spans.select(F.explode(F.sequence("from_day", "session")).alias("day"), "session")
 
 
 def forward_asof(df: DataFrame, day_col: str, calendar: DataFrame,
@@ -40,13 +33,13 @@ def forward_asof(df: DataFrame, day_col: str, calendar: DataFrame,
     """The first trading date at or after ``day_col``.
 
     Days before the calendar go to its first date; days past its end stay, but
-    for weekends, which roll to Monday.  The day map has at most
-    ``MAX_CALENDAR_DAYS`` rows whatever the corpus size, so it is broadcast and
-    the articles are not shuffled.
+    for weekends, which roll to Monday.  The day map has one row per calendar
+    day.  It is written, so its size is known: Spark broadcasts it below its
+    threshold, and the articles are not shuffled then; beyond it they are.
     """
     first = calendar.agg(F.min("session")).scalar()
-    day_map = F.broadcast(session_by_day(calendar).select(
-        F.col("day").alias("asof_day"), F.col("session").alias(out_col)))
+    day_map = write_through(session_by_day(calendar).select(
+        F.col("day").alias("asof_day"), F.col("session").alias(out_col)), "day-map")
     keyed = df.withColumn("asof_day", F.greatest(F.col(day_col), first))
     joined = keyed.join(day_map, "asof_day", "left")
     return joined.withColumn(out_col, F.coalesce(out_col, dt.roll_weekend(F.col(day_col)))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerpress.functions import text as tx
+from tickerpress.session import write_through
 
 # Harvest floor, excluded media types, shortest article kept.
 DATE_FLOOR = "2021-09-01"
@@ -40,16 +41,21 @@ def exclude_types(df: DataFrame, type_col: str,
 
 
 def keep_first(df: DataFrame, keys: Sequence[str] | Sequence[Column], order: str) -> DataFrame:
-    """One row per key: the one with the smallest ``order``.
+    """One row per key: the one with the smallest ``order``; rows without a key go.
 
     The grouping shuffles 32-byte digests and ids only and combines map-side,
     so a key that holds a third of all rows reaches its reducer as one small
-    row per input split.  The wide rows then meet the winners on the unique id,
-    which cannot skew.
+    row per input split.  Only the losers, rows of keys that occur again, then meet
+    the wide rows, on the unique id, which cannot skew.  They are written first: few
+    losers are broadcast by their known size, and no wide row is shuffled.
     """
     columns = [F.col(k) if isinstance(k, str) else k for k in keys]
-    winners = df.groupBy(tx.digest(*columns).alias("key")).agg(F.min(order).alias(order)).select(order)
-    return df.join(winners, order, "left_semi")
+    keyed = write_through(df.select(tx.digest(*columns).alias("key"), order), "keys")
+    again = write_through(keyed.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+                          .where("n > 1 AND key IS NOT NULL").select("key", "first"), "repeated-keys")
+    later = keyed.join(again, "key").where(F.col(order) > F.col("first")).select(order)
+    losers = write_through(later.unionByName(keyed.where("key IS NULL").select(order)), "losers")
+    return df.join(losers, order, "left_anti")
 
 
 def merge_hits(hits: Iterable[DataFrame], key: str = "url", order: Sequence[str] = ("position",),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickerpress.functions.dates import roll_weekend
 from tickerpress.sources.tables import spread
 from tickerpress.operators.scoring import Lexicon, ValenceRules
 
@@ -37,10 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _daily_price(orders: DataFrame, *keys) -> DataFrame:
-    """Mean price per weekday, in whole cents so that both engines round alike."""
-    day = F.to_date("o_orderdate")
-    return (orders.where(F.dayofweek(day).between(2, 6))
-            .groupBy(*keys, day.alias("obs_date"))
+    """Mean price per weekday, in whole cents so that both engines round alike.
+
+    What is ordered at a weekend counts for the Monday after.
+    """
+    return (orders.groupBy(*keys, roll_weekend(F.to_date("o_orderdate")).alias("obs_date"))
             .agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("s"),
                  F.count(F.lit(1)).alias("n"))
             .select("series_id", "obs_date",
@@ -81,15 +83,18 @@ def news_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEVEL = """CAST((2 * sum(CAST(round(o_totalprice * 100) AS BIGINT)) + count(*))
                                // (2 * count(*)) AS DOUBLE) / CAST(100 AS DOUBLE) AS level"""
 
+_ROLLED = """CAST(CAST(o_orderdate AS DATE) + (CASE dayofweek(o_orderdate)
+                               WHEN 6 THEN 2 WHEN 0 THEN 1 ELSE 0 END) AS DATE)"""
+
 DUCK = {
     "rate": f"""
-        rate AS (SELECT 'ALL' AS series_id, CAST(o_orderdate AS DATE) AS obs_date,
+        rate AS (SELECT 'ALL' AS series_id, {_ROLLED} AS obs_date,
                         {_LEVEL}
-                 FROM orders WHERE dayofweek(o_orderdate) BETWEEN 1 AND 5 GROUP BY 2)""",
+                 FROM orders GROUP BY 2)""",
     "rate_multi": f"""
-        rate_multi AS (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS obs_date,
+        rate_multi AS (SELECT o_orderpriority AS series_id, {_ROLLED} AS obs_date,
                               {_LEVEL}
-                       FROM orders WHERE dayofweek(o_orderdate) BETWEEN 1 AND 5 GROUP BY 1, 2)""",
+                       FROM orders GROUP BY 1, 2)""",
     "news": """
         news AS (SELECT doc_id AS ingest_id, source, split_part(text, chr(10), 1) AS title,
                         'u' || (doc_id % 900) AS url,
