@@ -240,14 +240,14 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     nothing is shuffled.
     """
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    rows = pages.select(*rest, F.col(html_col).alias("html"))
+    rows = pages.select(*rest, F.col(html_col).alias("_html"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*rest).schema])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [main_text(h.as_py()) for h in part.column("html")]
+                texts = [main_text(h.as_py()) for h in part.column("_html")]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in rest] + [pa.array(texts, pa.string()),
                                                       pa.array([len(t) for t in texts], pa.int64())],

@@ -98,11 +98,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mixed corpus: every row as often as the mix takes it, with the columns of ``docs``."""
     plan = plan_mix(docs, id_col, text_col, source_col, seed).where("copies > 0")
     units = plan.select("source", "doc_id", "copies").distinct().alias("u")
-    d = docs.alias("d")
-    return (d.join(units, F.col(f"d.{source_col}").eqNullSafe(F.col("u.source"))
-                   & F.col(f"d.{id_col}").eqNullSafe(F.col("u.doc_id")))
-            .select("d.*", F.explode(F.sequence(F.lit(1), F.col("u.copies"))).alias("_copy"))
-            .select(*docs.columns))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("of")).alias("d")
+    return (rows.join(units, F.col("d.of").eqNullSafe(F.col("u.source")) & F.col("d.id").eqNullSafe(F.col("u.doc_id")))
+            .select("row", F.explode(F.sequence(F.lit(1), F.col("u.copies")))).select("row.*"))
 
 
 def _round(units: DataFrame, seed: int) -> DataFrame:

@@ -106,8 +106,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows that repeat that id stay with it; null ids stay only in a component that has no other.
     """
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
+    return rows.join(gone, rows["id"].eqNullSafe(gone["doc_id"]), "left_anti").select("row.*")
 
 
 def links(prints: DataFrame) -> DataFrame:

@@ -86,27 +86,28 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A column ``n_chars`` is counted anew for the texts that change.
     """
     removed = write_through(find_repeats(docs, id_col, text_col, window), "repeat-spans")
-    keyed = docs.withColumns(_key_columns(id_col, text_col))
-    rest = [c for c in docs.columns if c != text_col]
-    joined = keyed.join(removed, (keyed["_doc"] == removed["doc"]) & (keyed["_tie"] == removed["tie"]), "left")
-    cut = _cut_text(window)
-    text = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("spans")))
-    out = joined.select(*rest, text.alias(text_col), F.col("spans").isNotNull().alias("_changed"))
+    key = _key_columns(id_col, text_col)
+    rows = docs.select(F.struct("*").alias("row"), key["doc"].alias("doc"), key["tie"].alias("tie"))
+    text, spans_ = F.col("row")[text_col], F.col("spans")
+    out = rows.join(removed, ["doc", "tie"], "left").select(
+        "row", spans_.isNotNull().alias("changed"),
+        F.when(spans_.isNull(), text).otherwise(_cut_text(window)(text, spans_)).alias("cut"))
+    columns = {c: F.col("row")[c].alias(c) for c in docs.columns} | {text_col: F.col("cut").alias(text_col)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.length(text_col).cast(docs.schema["n_chars"].dataType))
-                             .otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        counted = F.when(F.col("changed"), F.length("cut").cast(docs.schema["n_chars"].dataType))
+        columns["n_chars"] = counted.otherwise(F.col("row")["n_chars"]).alias("n_chars")
+    return out.select(*[columns[c] for c in docs.columns])
 
 
 def _key_columns(id_col: str, text_col: str) -> dict:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return {"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)),
-            "_tie": F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int")}
+    return {"doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)),
+            "tie": F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int")}
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = _key_columns(id_col, text_col)
-    return docs.select(key["_doc"].alias("doc"), key["_tie"].alias("tie"), F.col(id_col).isNotNull().alias("known"),
+    return docs.select(key["doc"].alias("doc"), key["tie"].alias("tie"), F.col(id_col).isNotNull().alias("known"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

@@ -34,7 +34,7 @@ MAGIC = b"TKP1"
 #: Ids per block and per segment.  A document longer than a segment makes a longer one.
 BLOCK, SEGMENT = 1 << 16, 1 << 20
 #: Words in the younger half of a task's memory; when it is full, the older half goes.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 SEGMENTS = "part int, seq int, payload binary"
 DOCUMENTS = "part int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
