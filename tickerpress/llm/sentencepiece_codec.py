@@ -29,7 +29,7 @@ MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Segments in the younger half of a task's memory; when it is full, the older half goes.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
