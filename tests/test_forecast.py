@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tickerpress.operators import arma
 from tickerpress.operators import evaluate as ev
 from tickerpress.operators import forecast as fc
 from tickerpress.operators import trees as tr
@@ -12,13 +13,15 @@ START = dtm.date(2000, 1, 1)
 N = 400
 
 
-def simulate(phi=0.5, theta=0.0, beta=0.0, n=N, seed=0):
+def simulate(phi=0.5, theta=0.0, beta=0.0, n=N, seed=0, keep=0.0):
+    """Regression on x with ARMA(1, 1) errors; ``keep`` is the autocorrelation of x."""
     rng = np.random.default_rng(seed)
-    e, x = rng.normal(size=n + 1), rng.normal(size=n)
-    u = np.zeros(n)
+    e, fresh = rng.normal(size=n + 1), rng.normal(size=n)
+    u, x = np.zeros(n), np.zeros(n)
     for t in range(n):
-        u[t] = (phi * u[t - 1] if t else 0.0) + e[t + 1] + theta * e[t] + beta * x[t]
-    return u, x
+        u[t] = (phi * u[t - 1] if t else 0.0) + e[t + 1] + theta * e[t]
+        x[t] = (keep * x[t - 1] if t else 0.0) + fresh[t]
+    return u + beta * x, x
 
 
 def panel_of(spark, series):
@@ -42,68 +45,87 @@ def panel(spark, data):
     return panel_of(spark, data).cache()
 
 
-def design(y, x, p, rows):
-    cols = [np.ones(len(rows))] + [y[rows - i] for i in range(1, p + 1)] + [x[rows]]
-    return np.column_stack(cols)
-
-
-def test_lagged_regression_against_lstsq(spark, panel, data):
-    fitted, _, xs = fc.fit_arma(panel, 2, 0, ["x"])
-    assert xs == ["const", "y_lag1", "y_lag2", "x"]
-    for r in fitted.collect():
-        y, x = data[r["series_id"]]
+def test_autoregression_is_least_squares_on_the_lags(panel, data):
+    for r in fc.fit_arma(panel, 2, 0).collect():
+        y, _ = data[r["series_id"]]
         rows = np.arange(2, int(N * .7))
-        want, rss, *_ = np.linalg.lstsq(design(y, x, 2, rows), y[rows], rcond=None)
-        np.testing.assert_allclose(r["coef"], want, atol=1e-8)
+        z = np.column_stack([np.ones(len(rows)), y[rows - 1], y[rows - 2]])
+        want, rss, *_ = np.linalg.lstsq(z, y[rows], rcond=None)
+        mean, *phi = r["coef"]
+        np.testing.assert_allclose([mean * (1 - sum(phi)), *phi], want, atol=1e-8)
         assert r["rss"] == pytest.approx(rss[0]) and r["n"] == len(rows)
 
 
+def test_regressions_with_arma_errors_are_recovered(spark):
+    cases = {"ar": (0.7, 0.0, 2.0), "arma": (0.5, 0.6, 1.0), "both": (-0.3, -0.4, 0.5)}
+    data = panel_of(spark, {k: simulate(phi, theta, b, 4000, 7, 0.8) for k, (phi, theta, b) in cases.items()})
+    terms = fc.term_names(1, 1, ["x"])
+    for r in fc.fit_arma(data, 1, 1, ["x"]).collect():
+        got, (phi, theta, b) = dict(zip(terms, r["coef"])), cases[r["series_id"]]
+        assert got["x"] == pytest.approx(b, abs=0.06) and got["ar1"] == pytest.approx(phi, abs=0.06)
+        assert got["ma1"] == pytest.approx(theta, abs=0.08)
+    errors = fc.rolling_forecast(data, 1, 1, ["x"], splits=("test",)).groupBy("series_id").agg(
+        ev.rmse(F.col("y"), F.col("y_hat")).alias("rmse"))
+    assert all(r["rmse"] == pytest.approx(1.0, abs=0.06) for r in errors.collect())
+
+
+def one_step(coef, y, x, p, q):
+    """Forecasts by a plain loop."""
+    c, b, phi, theta = coef[0], coef[1], coef[2:2 + p], coef[2 + p:]
+    u, e, out = y - c - b * x, np.zeros(len(y)), np.full(len(y), np.nan)
+    for t in range(p, len(y)):
+        step = sum(phi[i] * u[t - 1 - i] for i in range(p)) + sum(
+            theta[j] * e[t - 1 - j] for j in range(q) if t - 1 - j >= p)
+        out[t], e[t] = c + b * x[t] + step, u[t] - step
+    return out, u, e
+
+
+def test_rolling_and_horizon_forecasts_against_a_loop(panel, data):
+    y, x = data["a"]
+    at, end = int(N * .7), int(N * .85)
+    coef = np.array(fc.fit_orders(panel, [(2, 1)], ["x"]).where("series_id = 'a'").first()["coef"])
+    want, u, e = one_step(coef, y, x, 2, 1)
+    rolled = fc.rolling_forecast(panel, 2, 1, ["x"]).where("series_id = 'a'").orderBy("obs_date").collect()
+    np.testing.assert_allclose([r["y_hat"] for r in rolled], want[at:end], atol=1e-8)
+    got = fc.horizon_forecast(panel, [(0, 0), (2, 1)], ["x"]).where("series_id = 'a' AND p = 2").orderBy("obs_date").collect()
+    assert len(got) == end - at and {r["split"] for r in got} == {"val"}
+    lags, shock = [u[at - 1], u[at - 2]], e[at - 1]
+    for t, r in enumerate(got):
+        step = coef[2] * lags[0] + coef[3] * lags[1] + coef[4] * shock
+        assert r["y_hat"] == pytest.approx(coef[0] + coef[1] * x[at + t] + step, abs=1e-8)
+        lags, shock = [step, lags[0]], 0.0
+
+
 def test_expanding_refit_against_refits_from_scratch(panel, data):
-    out = fc.expanding_refit(panel, 1, 0, ["x"]).where("series_id = 'a'").orderBy("obs_date").collect()
+    out = fc.expanding_refit(panel, 1, 1, ["x"]).where("series_id = 'a'").orderBy("obs_date").collect()
     y, x = data["a"]
     first = int(N * .85)
     assert len(out) == N - first
     for k in (0, 17, N - first - 1):
-        rows = np.arange(1, first + k)
-        coef = np.linalg.lstsq(design(y, x, 1, rows), y[rows], rcond=None)[0]
-        want = design(y, x, 1, np.array([first + k]))[0] @ coef
-        assert out[k]["y_hat"] == pytest.approx(want, abs=1e-8)
+        m = arma.fit(y[:first + k], x[:first + k, None], 1, 1)
+        want = one_step(m.values, y[:first + k + 1], x[:first + k + 1], 1, 1)[0][-1]
+        assert out[k]["y_hat"] == pytest.approx(want, abs=1e-4)
+
+
+def test_short_series_and_gaps_give_null_forecasts(spark):
+    short = panel_of(spark, {"s": simulate(n=12)})
+    for out in (fc.expanding_refit(short, 3, 3, ["x"]), fc.rolling_forecast(short, 3, 3, ["x"], splits=("test",))):
+        assert [r["y_hat"] for r in out.collect()] == [None, None]
+    holes = panel_of(spark, {"h": simulate(n=100)}).withColumn("x", F.when(F.dayofmonth("obs_date") != 28, F.col("x")))
+    out = fc.rolling_forecast(holes, 1, 0, ["x"], splits=("val", "test")).collect()
+    assert len(out) == 30 and sum(r["y_hat"] is None for r in out) == sum(r["obs_date"].day == 28 for r in out)
 
 
 def test_constant_regressor_does_not_break_the_solve(spark, panel):
-    fitted, _, _ = fc.fit_arma(panel.withColumn("x", F.lit(0.0)), 1, 0, ["x"])
-    for r in fitted.collect():
-        assert r["coef"][2] == 0.0 and np.isfinite(r["coef"]).all()
+    for r in fc.fit_arma(panel.withColumn("x", F.lit(0.0)), 1, 0, ["x"]).collect():
+        assert r["coef"][1] == pytest.approx(0.0) and np.isfinite(r["coef"]).all()
 
 
-def test_moving_average_terms_are_found(spark):
+def test_orders_are_found(spark):
     data = panel_of(spark, {"m": simulate(phi=0.5, theta=0.6, n=3000, seed=5)})
-    fitted, _, xs = fc.fit_arma(data, 1, 1)
-    coef = dict(zip(xs, fitted.first()["coef"]))
-    assert coef["y_lag1"] == pytest.approx(0.5, abs=0.08)
-    assert coef["e_lag1"] == pytest.approx(0.6, abs=0.08)
     best = fc.best_order(fc.order_by_aic(data)).first()
     assert best["p"] >= 1 and best["q"] >= 1
-
-
-def test_horizon_forecast_against_a_loop(panel, data):
-    fits, rows, xs = fc.fit_orders(panel, [(0, 0), (2, 1)], ["x"])
-    paths = fc.horizon_forecast(fits, rows, xs, ["x"]).where("series_id = 'a'")
-    coef = dict(zip(xs, fits.where("series_id = 'a' AND p = 2").first()["coef"]))
-    y, x = data["a"]
-    at = int(N * .7)
-    eve = rows.where((F.col("series_id") == "a") & (F.col("split") == "val")).orderBy("obs_date").first()
-    lags, shock = [eve["y_lag1"], eve["y_lag2"]], eve["e_lag1"]
-    assert lags == [y[at - 1], y[at - 2]]
-    got = [r["y_hat"] for r in paths.where("p = 2").orderBy("obs_date").collect()]
-    assert len(got) == int(N * .85) - at
-    for t, value in enumerate(got):
-        want = (coef["const"] + coef["y_lag1"] * lags[0] + coef["y_lag2"] * lags[1]
-                + coef["e_lag1"] * shock + coef["x"] * x[at + t])
-        assert value == pytest.approx(want, abs=1e-9)
-        lags, shock = [want, lags[0]], 0.0
-    white = [r["y_hat"] for r in paths.where("p = 0").collect()]
-    assert np.std(white) > 0  # the known exogenous value still moves the forecast
+    assert {"aic", "bic", "hqic", "loglik"} <= set(best.asDict())
 
 
 def test_order_by_validation_gives_one_order_per_series(panel):
@@ -165,6 +187,12 @@ def test_metric_table(spark):
     assert row["skill"] == round((1 - np.sqrt(13 / 4) / np.sqrt(10 / 4)) * 100, 2)
 
 
+def test_missing_forecasts_are_counted(spark):
+    df = scores(spark, [(1, 1), (2, 5)]).withColumn("y_hat", F.when(F.col("y") == 1, F.col("y_hat")))
+    row = ev.metric_table(df).first()
+    assert (row["n"], row["n_missing"], row["rmse"]) == (2, 1, 0.0)
+
+
 def test_all_zero_predictions_have_no_direction(spark):
     row = ev.metric_table(scores(spark, [(1, 0), (-1, 0)])).first()
     assert row["da"] is None and row["f1_up"] is None and row["f1_macro"] is None

@@ -73,7 +73,10 @@ DIGITS = {"rmse": 2, "mae": 2, "da": 1, "f1_up": 3, "f1_macro": 3, "skill": 2}
 
 def metric_table(predictions: DataFrame, by: Sequence[str] = ("model", "split"),
                  digits: dict[str, int] | None = None) -> DataFrame:
-    """All metrics per model and split, rounded."""
+    """All metrics per model and split, rounded.
+
+    ``n`` counts all rows, ``n_missing`` those without truth or forecast; errors are those of the other rows.
+    """
     digits = digits or DIGITS
     y, p = F.col("y"), F.col("y_hat")
     metrics = {
@@ -83,8 +86,10 @@ def metric_table(predictions: DataFrame, by: Sequence[str] = ("model", "split"),
         "f1_macro": unless_all_zero(f1_macro(y, p), p),
         "skill": skill(y, p),
     }
-    return predictions.where("y IS NOT NULL AND y_hat IS NOT NULL").groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+    missing = y.isNull() | p.isNull()
+    known = predictions.withColumns({"y": F.when(~missing, y), "y_hat": F.when(~missing, p), "missing_": missing.cast("int")})
+    return known.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("missing_").alias("n_missing"),
         *[F.round(m, digits[name]).alias(name) for name, m in metrics.items()])
 
 

@@ -180,7 +180,7 @@ def permutation_null(panel: DataFrame, columns: Sequence[str], n_permutations: i
                 F.sequence(F.lit(1), F.lit(n_permutations))).alias("permutation"))
              .select(series, "permutation", "ry", F.row_number().over(
                  Window.partitionBy(series, "permutation")
-                 .orderBy(F.xxhash64(F.col(series), F.col(date), F.col("permutation")), date))
+                 .orderBy(F.md5(F.concat_ws("|", series, date, "permutation")), date))
                  .alias("place")))
     joined = dealt.join(placed.drop("ry", date), [series, "place"])
     rhos = joined.groupBy(series, "permutation").agg(*[

@@ -1,9 +1,9 @@
-"""Baselines and lagged regressions of the daily change, per series.
+"""Baselines and regressions with ARMA errors of the daily change, per series.
 
-Regressions are fitted from sums of products: one aggregate per series, however
-long the panel, and a small batched solve.  A grid of orders shares the sums of
-its largest design.  Moving-average terms are lagged residuals of a long
-autoregression (Hannan & Rissanen 1982), not maximum likelihood.
+A series is one calendar long.  The fits iterate over its rows, so each series is
+one group of a grouped map, and many series are fitted side by side.  Rows
+whose target or regressors are missing take no part in a fit; a row that cannot be
+forecast, or comes before the fit has enough rows, has a null forecast.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tickerpress.operators import arma
 from tickerpress.operators.panel import AR_LAG
 
 SERIES, DATE, TARGET = "series_id", "obs_date", "diff"
@@ -27,9 +27,6 @@ EXOGENOUS = ("title_vader_compound_mean", "title_lm_polarity_mean",
 ORDERS_BY_RMSE = tuple(itertools.product((0, 1), (0, 1)))
 ORDERS_BY_AIC = tuple(itertools.product((0, 1, 2), (0, 1, 2)))
 
-#: Length of the autoregression whose residuals stand in for the shocks.
-LONG_ORDER = 8
-
 
 def _in_splits(splits: Sequence[str]) -> Column:
     return F.col("split").isin(*splits)
@@ -90,231 +87,146 @@ def baselines(panel: DataFrame, splits: Sequence[str] = ("val", "test")) -> Data
     return rows.select(SERIES, DATE, "split", "model", "y", "y_hat")
 
 
-# -- least squares from sums ---------------------------------------------------
-
-def _solve(xtx: np.ndarray, xty: np.ndarray) -> np.ndarray:
-    """Least squares from the normal equations; the shortest solution where they are singular."""
-    size = np.sqrt(np.maximum(np.diagonal(xtx, axis1=-2, axis2=-1), 0.0))
-    size = np.where(size > 0, size, 1.0)
-    scaled = xtx / (size[..., :, None] * size[..., None, :])
-    inverse = np.linalg.pinv(scaled, rcond=1e-12, hermitian=True)
-    return (inverse @ (xty / size)[..., None])[..., 0] / size
-
-
-FIT_TYPE = T.StructType([T.StructField("coef", T.ArrayType(T.DoubleType())),
-                         T.StructField("rss", T.DoubleType())])
-
-
-@F.pandas_udf(FIT_TYPE)
-def solve_normal(xtx: pd.Series, xty: pd.Series, yty: pd.Series, use: pd.Series) -> pd.DataFrame:
-    """Coefficients of the used columns (0 for the others) and the residual sum of squares."""
-    k = len(xty.iloc[0])
-    a = np.stack(xtx.to_numpy()).reshape(-1, k, k).astype(float)
-    b = np.stack(xty.to_numpy()).astype(float)
-    mask = np.stack(use.to_numpy()).astype(float)
-    coef = _solve(a * mask[:, :, None] * mask[:, None, :], b * mask) * mask
-    fitted = np.einsum("ni,nij,nj->n", coef, a, coef)
-    rss = np.maximum(yty.to_numpy() - 2 * np.einsum("ni,ni->n", coef, b) + fitted, 0.0)
-    return pd.DataFrame({"coef": list(coef), "rss": rss})
-
+# -- regressions with ARMA errors ----------------------------------------------
 
-def _products(columns: Sequence[Column], total) -> Column:
-    """Row-major array of ``total(x_i * x_j)``; the mirror half is not summed twice."""
-    sums = {}
-    for i, j in itertools.combinations_with_replacement(range(len(columns)), 2):
-        sums[i, j] = sums[j, i] = total(columns[i] * columns[j])
-    return F.array(*[sums[i, j] for i in range(len(columns)) for j in range(len(columns))])
+FITS = f"{SERIES} string, p int, q int, n long, coef array<double>, rss double"
 
 
-def normal_equations(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
-    """Sums of products per group, over rows without nulls."""
-    complete = df.dropna(subset=[y, *xs])
-    columns, target = [F.col(x).cast("double") for x in xs], F.col(y)
-    return complete.groupBy(*by).agg(
-        _products(columns, F.sum).alias("xtx"),
-        F.array(*[F.sum(c * target) for c in columns]).alias("xty"),
-        F.sum(target * target).alias("yty"), F.count(F.lit(1)).alias("n"))
+def term_names(p: int, q: int, exog: Sequence[str] = ()) -> list[str]:
+    """Terms in the order of ``coef``: mean, regressors, AR and MA terms."""
+    return ["const", *exog, *[f"ar{i}" for i in range(1, p + 1)], *[f"ma{i}" for i in range(1, q + 1)]]
 
 
-def _all_used(xs: Sequence[str]) -> Column:
-    return F.array(*[F.lit(1.0) for _ in xs])
+class _Series:
+    """One series in order of date: its usable rows as arrays, and where they lie."""
 
+    def __init__(self, rows: pd.DataFrame, exog: Sequence[str]):
+        self.rows = rows.sort_values(DATE, kind="stable").reset_index(drop=True)
+        self.x = self.rows[list(exog)].to_numpy(dtype=float).reshape(len(rows), len(exog))
+        self.y = self.rows[TARGET].to_numpy(dtype=float)
+        self.whole = np.flatnonzero(np.isfinite(self.y) & np.isfinite(self.x).all(axis=1))
+        self.split = self.rows["split"].to_numpy()
 
-def fit_least_squares(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
-    """``(by, n, coef, rss)``; ``coef`` is in the order of ``xs``."""
-    sums = normal_equations(df, by, y, xs)
-    solved = sums.withColumn("fit", solve_normal("xtx", "xty", "yty", _all_used(xs)))
-    return solved.select(*by, "n", "fit.coef", "fit.rss")
+    def upto(self, splits: Sequence[str]):
+        """Usable rows of the splits."""
+        at = self.whole[np.isin(self.split[self.whole], list(splits))]
+        return self.y[at], self.x[at]
 
+    def predictions(self, model: str, splits: Sequence[str], y_hat: np.ndarray) -> pd.DataFrame:
+        due = np.isin(self.split, list(splits))
+        out = self.rows.loc[due, [SERIES, DATE, "split", TARGET]].rename(columns={TARGET: "y"})
+        return out.assign(model=model, y_hat=y_hat[due])[[SERIES, DATE, "split", "model", "y", "y_hat"]]
 
-def dot(coef: str, xs: Sequence[str]) -> Column:
-    total = F.lit(0.0)
-    for i, x in enumerate(xs):
-        total = total + F.get(coef, F.lit(i)) * F.col(x)
-    return total
 
+def _by_series(panel: DataFrame, exog: Sequence[str], work, schema: str) -> DataFrame:
+    """``work(series)`` for every series; one group is one calendar long."""
+    rows = panel.select(F.col(SERIES).cast("string").alias(SERIES), DATE, "split",
+                        F.col(TARGET).cast("double").alias(TARGET), *[F.col(c).cast("double").alias(c) for c in exog])
+    return rows.groupBy(SERIES).applyInPandas(lambda pdf: work(_Series(pdf, exog)), schema)
 
-def coefficient_table(fitted: DataFrame, xs: Sequence[str],
-                      by: Sequence[str] = (SERIES,)) -> DataFrame:
-    """``(by, term, coef)`` rows of a fit."""
-    names = F.array(*[F.lit(x) for x in xs])
-    return fitted.select(*by, F.inline(F.arrays_zip(names.alias("term"), F.col("coef"))))
 
+def _prediction_schema(panel: DataFrame) -> str:
+    return (f"{SERIES} string, {DATE} {panel.schema[DATE].dataType.simpleString()}, split string, model string, "
+            "y double, y_hat double")
 
-# -- designs -------------------------------------------------------------------
-
-def add_lags(df: DataFrame, column: str, n: int, prefix: str) -> DataFrame:
-    w = _series()
-    return df.withColumns({f"{prefix}{i}": F.lag(column, i).over(w) for i in range(1, n + 1)}) \
-        if n else df
-
-
-def lag_names(p: int, q: int) -> list[str]:
-    return [f"y_lag{i}" for i in range(1, p + 1)] + [f"e_lag{i}" for i in range(1, q + 1)]
 
+def fit_orders(panel: DataFrame, orders: Sequence[tuple[int, int]], exog: Sequence[str] = (),
+               fit_on: Sequence[str] = ("train",)) -> DataFrame:
+    """``FITS`` rows, every order fitted on the same rows of each series; too short series have a null fit."""
+    skip = max(p for p, _ in orders)
 
-def design(panel: DataFrame, p: int, q: int, exog: Sequence[str] = (),
-           fit_on: Sequence[str] = ("train",), long_order: int = LONG_ORDER
-           ) -> tuple[DataFrame, list[str]]:
-    """The panel with constant, target lags and lagged long-autoregression residuals.
+    def work(s: _Series) -> pd.DataFrame:
+        y, x = s.upto(fit_on)
+        out = []
+        for p, q in orders:
+            m = arma.fit(y, x, p, q, skip)
+            out.append((s.rows[SERIES].iloc[0], p, q, m.n if m else 0, list(m.values) if m else None, m.rss if m else None))
+        return pd.DataFrame(out, columns=[SERIES, "p", "q", "n", "coef", "rss"])
 
-    Residual coefficients come from the fit rows; the residuals themselves run
-    on through the later rows, as actual values arrive.
-    """
-    m = max(p, long_order if q else 0)
-    rows = add_lags(panel.withColumn("const", F.lit(1.0)), TARGET, m, "y_lag")
-    if q:
-        long_xs = ["const", *lag_names(m, 0)]
-        fitted = fit_least_squares(rows.where(_in_splits(fit_on)), [SERIES], TARGET, long_xs)
-        rows = rows.join(fitted.select(SERIES, F.col("coef").alias("long_coef")), SERIES, "left")
-        rows = rows.withColumn("shock", F.col(TARGET) - dot("long_coef", long_xs))
-        rows = add_lags(rows, "shock", q, "e_lag")
-    return rows, ["const", *lag_names(p, q), *exog]
+    return _by_series(panel, exog, work, FITS)
 
 
-def _fit_rows(rows: DataFrame, fit_on: Sequence[str]) -> DataFrame:
-    return rows.where(_in_splits(fit_on))
+def fit_arma(panel: DataFrame, p: int, q: int, exog: Sequence[str] = (),
+             fit_on: Sequence[str] = ("train",)) -> DataFrame:
+    """``FITS`` rows of one order, one per series."""
+    return fit_orders(panel, [(p, q)], exog, fit_on)
 
 
-def fit_arma(panel: DataFrame, p: int, q: int, exog: Sequence[str] = (),
-             fit_on: Sequence[str] = ("train",)) -> tuple[DataFrame, DataFrame, list[str]]:
-    """``(fit per series, design rows, column names)`` of one order."""
-    rows, xs = design(panel, p, q, exog, fit_on)
-    return fit_least_squares(_fit_rows(rows, fit_on), [SERIES], TARGET, xs), rows, xs
+def coefficient_table(fits: DataFrame, terms: Sequence[str], by: Sequence[str] = (SERIES,)) -> DataFrame:
+    """``(by, term, coef)`` rows of the fits of one order."""
+    names = F.array(*[F.lit(x) for x in terms])
+    return fits.where("coef IS NOT NULL").select(*by, F.inline(F.arrays_zip(names.alias("term"), F.col("coef"))))
 
 
 def rolling_forecast(panel: DataFrame, p: int, q: int, exog: Sequence[str] = (),
                      fit_on: Sequence[str] = ("train",), splits: Sequence[str] = ("val",),
                      model: str | None = None) -> DataFrame:
-    """One step ahead with fixed coefficients, actual values entering as lags."""
-    fitted, rows, xs = fit_arma(panel, p, q, exog, fit_on)
-    joined = rows.join(fitted.select(SERIES, "coef"), SERIES)
+    """One step ahead with fixed coefficients, actual values entering as they arrive."""
     name = model or f"arma({p},0,{q})" + ("+news" if exog else "")
-    return as_predictions(joined, name, dot("coef", xs), splits)
-
-
-# -- order grids ---------------------------------------------------------------
+    return _by_series(panel, exog, lambda s: s.predictions(name, splits, _rolled(s, p, q, fit_on)),
+                      _prediction_schema(panel))
 
-def fit_orders(panel: DataFrame, orders: Sequence[tuple[int, int]], exog: Sequence[str] = (),
-               fit_on: Sequence[str] = ("train",)) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Every order fitted on the same rows from one set of sums.
-
-    Returns ``(series, p, q, n, coef, rss)`` with ``coef`` in the largest
-    design's order, the design rows and the column names.
-    """
-    top_p, top_q = max(p for p, _ in orders), max(q for _, q in orders)
-    rows, xs = design(panel, top_p, top_q, exog, fit_on)
-    sums = normal_equations(_fit_rows(rows, fit_on), [SERIES], TARGET, xs)
 
-    def use(p, q):
-        kept = {"const", *lag_names(p, 0), *[f"e_lag{i}" for i in range(1, q + 1)], *exog}
-        return F.array(*[F.lit(1.0 if x in kept else 0.0) for x in xs])
+def _rolled(s: _Series, p: int, q: int, fit_on: Sequence[str]) -> np.ndarray:
+    out = np.full(len(s.y), np.nan)
+    m = arma.fit(*s.upto(fit_on), p, q)
+    if m:
+        out[s.whole] = m.fitted(s.y[s.whole], s.x[s.whole])
+    return out
 
-    grid = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), use(p, q).alias("use"))
-                     for p, q in orders])
-    solved = sums.select("*", F.inline(grid)).withColumn(
-        "fit", solve_normal("xtx", "xty", "yty", "use"))
-    return solved.select(SERIES, "p", "q", "n", "fit.coef", "fit.rss"), rows, xs
 
+# -- order grids ---------------------------------------------------------------
 
 def order_table(fits: DataFrame, n_exog: int = 0) -> DataFrame:
-    """AIC and BIC per order, Gaussian likelihood, the variance counted as a parameter."""
+    """Log-likelihood, AIC, BIC and HQIC per order, Gaussian, the variance counted as a parameter."""
     n, k = F.col("n"), F.col("p") + F.col("q") + F.lit(2 + n_exog)
     fit = n * (F.log(F.lit(2 * np.pi) * F.col("rss") / n) + 1.0)
-    return fits.select(SERIES, "p", "q", "n", F.round(fit + 2.0 * k, 2).alias("aic"),
-                       F.round(fit + F.log(n) * k, 2).alias("bic"))
+    return fits.where("coef IS NOT NULL").select(
+        SERIES, "p", "q", "n", F.round(-fit / 2, 2).alias("loglik"), F.round(fit + 2.0 * k, 2).alias("aic"),
+        F.round(fit + F.log(n) * k, 2).alias("bic"), F.round(fit + 2.0 * F.log(F.log(n)) * k, 2).alias("hqic"))
 
 
 def best_order(table: DataFrame, criterion: str = "aic") -> DataFrame:
     """The order with the smallest criterion per series, ties to the smaller order."""
-    w = Window.partitionBy(SERIES).orderBy(criterion, "p", "q")
+    w = Window.partitionBy(SERIES).orderBy(F.col(criterion).asc_nulls_last(), "p", "q")
     return table.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
 
 
-def horizon_forecast(fits: DataFrame, rows: DataFrame, xs: Sequence[str], exog: Sequence[str],
-                     split: str = "val") -> DataFrame:
+def horizon_forecast(panel: DataFrame, orders: Sequence[tuple[int, int]], exog: Sequence[str] = (),
+                     split: str = "val", fit_on: Sequence[str] = ("train",)) -> DataFrame:
     """Forecasts of a whole split from its eve, later exogenous values known.
 
-    ``(series, p, q, obs_date, y, y_hat)``.  Predictions feed the target lags
-    and future shocks are zero.  The recursion folds over one ordered array per
-    series and order, as long as the split.
+    Prediction rows with ``p`` and ``q``.  Predictions feed the autoregression and future shocks are zero.
     """
-    p = sum(x.startswith("y_lag") for x in xs)
-    q = sum(x.startswith("e_lag") for x in xs)
-    at = {x: i for i, x in enumerate(xs)}
-
-    def lags(prefix, n):
-        names = [f"{prefix}{i}" for i in range(1, n + 1)]
-        return F.array(*[F.col(x) for x in names]).cast("array<double>")
-
-    def weights(prefix, n):
-        return [F.get("coef", F.lit(at[f"{prefix}{i}"])) for i in range(1, n + 1)]
-
-    future = rows.where(_in_splits([split])).join(fits.select(SERIES, "p", "q", "coef"), SERIES)
-    base = F.get("coef", F.lit(0))
-    for x in exog:
-        base = base + F.get("coef", F.lit(at[x])) * F.col(x)
-    step = F.struct(F.col(DATE), F.col(TARGET).alias("y"), base.alias("base"),
-                    lags("y_lag", p).alias("ys"), lags("e_lag", q).alias("es"))
-    path = future.groupBy(SERIES, "p", "q").agg(
-        F.sort_array(F.collect_list(step)).alias("steps"), F.first("coef").alias("coef"))
-    start = F.struct(F.get("steps", F.lit(0))["ys"].alias("ys"),
-                     F.get("steps", F.lit(0))["es"].alias("es"),
-                     F.expr("cast(array() as array<double>)").alias("out"))
-
-    def advance(state, row):
-        y = row["base"]
-        for i, w in enumerate(weights("y_lag", p)):
-            y = y + w * F.get(state["ys"], F.lit(i))
-        for i, w in enumerate(weights("e_lag", q)):
-            y = y + w * F.get(state["es"], F.lit(i))
-        shift = lambda a, head, n: F.slice(F.concat(F.array(head), a), 1, n) if n else a
-        return F.struct(shift(state["ys"], y, p).alias("ys"),
-                        shift(state["es"], F.lit(0.0), q).alias("es"),
-                        F.concat(state["out"], F.array(y)).alias("out"))
-
-    folded = path.withColumn("out", F.aggregate("steps", start, advance, lambda s: s["out"]))
-    pairs = F.arrays_zip(F.col("steps"), F.col("out"))
-    return folded.select(SERIES, "p", "q", F.explode(pairs).alias("x")).select(
-        SERIES, "p", "q", F.col(f"x.steps.{DATE}").alias(DATE), F.col("x.steps.y").alias("y"),
-        F.col("x.out").alias("y_hat"))
+    skip = max(p for p, _ in orders)
+
+    def work(s: _Series) -> pd.DataFrame:
+        y, x = s.upto(fit_on)
+        due = np.flatnonzero((s.split == split) & np.isfinite(s.x).all(axis=1))
+        parts = []
+        for p, q in orders:
+            out, m = np.full(len(s.y), np.nan), arma.fit(y, x, p, q, skip)
+            if m and len(due):
+                out[due] = m.path(y, x, s.x[due])
+            parts.append(s.predictions(f"arma({p},0,{q})", [split], out).assign(p=p, q=q))
+        return pd.concat(parts)
+
+    return _by_series(panel, exog, work, _prediction_schema(panel) + ", p int, q int")
 
 
 def order_by_validation(panel: DataFrame, orders: Sequence[tuple[int, int]] = ORDERS_BY_RMSE,
                         exog: Sequence[str] = ()) -> DataFrame:
     """``(series, p, q, rmse)`` of multi-step validation forecasts, best order per series."""
-    fits, rows, xs = fit_orders(panel, orders, exog)
-    paths = horizon_forecast(fits, rows, xs, exog)
     error = F.col("y") - F.col("y_hat")
-    scores = paths.groupBy(SERIES, "p", "q").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    scores = horizon_forecast(panel, orders, exog).groupBy(SERIES, "p", "q").agg(
+        F.sqrt(F.avg(error * error)).alias("rmse"))
     return best_order(scores, "rmse")
 
 
 def order_by_aic(panel: DataFrame, orders: Sequence[tuple[int, int]] = ORDERS_BY_AIC,
                  exog: Sequence[str] = (), fit_on: Sequence[str] = ("train",)) -> DataFrame:
-    """AIC and BIC of every order, from the training rows only."""
-    fits, _, _ = fit_orders(panel, orders, exog, fit_on)
-    return order_table(fits, len(exog))
+    """Information criteria of every order, from the training rows only."""
+    return order_table(fit_orders(panel, orders, exog, fit_on), len(exog))
 
 
 def rolling_best_order(panel: DataFrame, exog: Sequence[str] = (),
@@ -324,15 +236,20 @@ def rolling_best_order(panel: DataFrame, exog: Sequence[str] = (),
     The order is chosen on the training rows.  Validation rows use coefficients
     of the training rows, test rows those of training and validation rows.
     """
-    chosen = best_order(order_by_aic(panel, orders, exog)).select(SERIES, "p", "q")
-    out = None
+    skip, name, out = max(p for p, _ in orders), "arimax" if exog else "arima", None
     for fit_on, split in ((("train",), "val"), (("train", "val"), "test")):
+        # The order is invariant to the scale of the regressors.
         scaled = standardise(panel, exog, fit_on) if exog else panel
-        fits, rows, xs = fit_orders(scaled, orders, exog, fit_on)
-        fits = fits.join(chosen, [SERIES, "p", "q"], "left_semi")
-        name = "arimax" if exog else "arima"
-        part = as_predictions(rows.join(fits.select(SERIES, "coef"), SERIES), name,
-                              dot("coef", xs), [split])
+
+        def work(s: _Series, fit_on=fit_on, split=split) -> pd.DataFrame:
+            y, x = s.upto(["train"])
+            fits = [m for p, q in orders if (m := arma.fit(y, x, p, q, skip))]
+            if not fits:
+                return s.predictions(name, [split], np.full(len(s.y), np.nan))
+            best = min(fits, key=lambda m: (round(m.n * np.log(max(m.rss, 1e-300) / m.n) + 2 * (m.p + m.q), 2), m.p, m.q))
+            return s.predictions(name, [split], _rolled(s, best.p, best.q, fit_on))
+
+        part = _by_series(scaled, exog, work, _prediction_schema(panel))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -340,22 +257,18 @@ def rolling_best_order(panel: DataFrame, exog: Sequence[str] = (),
 # -- refits on expanding history ----------------------------------------------
 
 def expanding_refit(panel: DataFrame, p: int = 1, q: int = 0, exog: Sequence[str] = (),
-                    splits: Sequence[str] = ("test",), fit_on: Sequence[str] = ("train", "val"),
-                    model: str = "expanding") -> DataFrame:
-    """One step ahead, coefficients refitted on all earlier rows at every step.
+                    splits: Sequence[str] = ("test",), model: str = "expanding") -> DataFrame:
+    """One step ahead, all coefficients refitted on all earlier rows at every step.
 
-    The normal equations of every step are running sums over the series, so a
-    refit costs one row of sums and a small solve, not a pass over its history.
+    A refit starts from the last one, so it takes a step or two.
     """
-    rows, xs = design(panel, p, q, exog, fit_on)
-    complete = rows.dropna(subset=[TARGET, *xs])
-    before = _series().rowsBetween(Window.unboundedPreceding, -1)
-    columns, target = [F.col(x).cast("double") for x in xs], F.col(TARGET)
-    sums = complete.select(
-        "*", _products(columns, lambda c: F.sum(c).over(before)).alias("xtx"),
-        F.array(*[F.sum(c * target).over(before) for c in columns]).alias("xty"),
-        F.sum(target * target).over(before).alias("yty"),
-        F.count(F.lit(1)).over(before).alias("n_before"))
-    due = sums.where(_in_splits(splits) & (F.col("n_before") >= len(xs)))
-    solved = due.withColumn("fit", solve_normal("xtx", "xty", "yty", _all_used(xs)))
-    return as_predictions(solved.withColumn("coef", F.col("fit.coef")), model, dot("coef", xs), splits)
+    def work(s: _Series) -> pd.DataFrame:
+        out, now = np.full(len(s.y), np.nan), None
+        y, x = s.y[s.whole], s.x[s.whole]
+        for i in np.flatnonzero(np.isin(s.split[s.whole], list(splits))):
+            now = arma.fit(y[:i], x[:i], p, q, start=now)
+            if now:
+                out[s.whole[i]] = now.fitted(y[:i + 1], x[:i + 1])[-1]
+        return s.predictions(model, splits, out)
+
+    return _by_series(panel, exog, work, _prediction_schema(panel))

@@ -99,16 +99,18 @@ def e5(spark, d):
     return v.rounded(ex.top_correlations(pn.only_splits(whole, "train"), columns))
 
 
-_MATRIX = ["diff", "diff_lag1", "news_count", "n_chars_mean"]
+# The scores that are described first.
+_MAIN = ["text_vader_compound_mean", "text_lm_polarity_mean", "title_vader_compound_mean", "text_lm_unc_ratio_mean"]
+_MATRIX = ["diff", "diff_lag1", "news_count", *_MAIN]
 
 
-@query("e6_spearman_matrix", PANEL_SQL + ", wide AS (SELECT series_id, " + ", ".join(
+@query("e6_spearman_matrix", SCORED_PANEL_SQL + ", wide AS (SELECT series_id, " + ", ".join(
     f"rank() OVER (PARTITION BY series_id ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY series_id, round({c}, 9))"
     f" - 1) / CAST(2 AS DOUBLE) AS {c}" for c in _MATRIX) + " FROM panel) " + " UNION ALL ".join(
     f"SELECT series_id, '{a}' AS a, '{b}' AS b, {v.r(f'corr({a}, {b})')} AS rho FROM wide GROUP BY 1"
     for a in _MATRIX for b in _MATRIX))
 def e6(spark, d):
-    return v.rounded(ex.spearman_matrix(panel(spark, d), _MATRIX))
+    return v.rounded(ex.spearman_matrix(scored_panel(spark, d), _MATRIX))
 
 
 @query("e7_split_summary", PANEL_SQL + f"""
@@ -121,14 +123,15 @@ def e7(spark, d):
     return v.rounded(ex.split_summary(panel(spark, d)), "articles_per_day", "share_up")
 
 
-@query("e8_histograms", PANEL_SQL + ", " + long_sql(
-    ["news_count", "n_chars_mean", "n_chars_max"], where="WHERE news_count > 0") + """,
+@query("e8_histograms", SCORED_PANEL_SQL + ", exact AS (SELECT series_id, news_count, "
+       + ", ".join(f"{v.r(c, 9)} AS {c}" for c in _MAIN) + " FROM panel), "
+       + long_sql(_MAIN, where="WHERE news_count > 0").replace("FROM panel", "FROM exact") + """,
     edges AS (SELECT series_id, feature, min(value) AS lo, max(value) AS hi FROM long GROUP BY 1, 2)
     SELECT series_id, feature, CASE WHEN hi > lo THEN CAST(least(floor((value - lo)
            / ((hi - lo) / CAST(40 AS DOUBLE))), 39) AS INTEGER) ELSE 0 END AS bin, count(*) AS n
     FROM long JOIN edges USING (series_id, feature) GROUP BY 1, 2, 3""")
 def e8(spark, d):
-    return ex.histograms(panel(spark, d), ["news_count", "n_chars_mean", "n_chars_max"])
+    return ex.histograms(v.rounded(scored_panel(spark, d), *_MAIN, digits=9), _MAIN)
 
 
 @query("e9_profile", SCORED_PANEL_SQL + """
@@ -142,10 +145,25 @@ def e9(spark, d):
                       pn.lexicon_columns(whole.columns), pn.vector_columns(whole.columns))
 
 
-@query("e10_permutation_null")
+_WIDE_RANKS = ", ".join(
+    f"rank() OVER (PARTITION BY series_id ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY series_id, "
+    f"round({c}, 9)) - 1) / CAST(2 AS DOUBLE) AS {c}" for c in ["diff", *_MEANS])
+_BEST = ", ".join(f"CASE WHEN min({c}) < max({c}) THEN abs(corr({c}, ry)) END" for c in _MEANS)
+
+
+@query("e10_permutation_null", SCORED_PANEL_SQL + f""",
+    ordered AS (SELECT series_id, obs_date, {_WIDE_RANKS},
+        row_number() OVER (PARTITION BY series_id ORDER BY obs_date) AS place FROM panel WHERE split = 'train'),
+    dealt AS (SELECT series_id, permutation, diff AS ry, row_number() OVER (PARTITION BY series_id, permutation
+        ORDER BY md5(concat_ws('|', series_id, CAST(obs_date AS VARCHAR), permutation)), obs_date) AS place
+        FROM ordered, range(1, 201) p(permutation)),
+    best AS (SELECT series_id, permutation, greatest({_BEST}, 0.0) AS best
+        FROM dealt JOIN ordered USING (series_id, place) GROUP BY 1, 2)
+    SELECT series_id, count(*) AS n_permutations, {v.r('quantile_cont(best, 0.95)')} AS threshold,
+           {v.r('avg(best)')} AS mean_best FROM best GROUP BY 1""")
 def e10(spark, d):
-    train = pn.only_splits(panel(spark, d), "train")
-    return v.rounded(ex.permutation_null(train, ["news_count", "n_chars_mean", "n_chars_max"], 200))
+    train = pn.only_splits(scored_panel(spark, d), "train")
+    return v.rounded(ex.permutation_null(train, _MEANS, 200))
 
 
 # -- forecasts -----------------------------------------------------------------
@@ -211,7 +229,15 @@ def m4(spark, d):
     return v.rounded(fc.persistence(price_panel(spark, d)))
 
 
-_LIGHT_EXOG = ["news_count", "n_chars_mean"]
+#: The regressors of the comparison: mean scores of titles and texts.
+_EXOG = list(fc.EXOGENOUS)
+
+
+def _news_panel(spark, d):
+    """One series with its scores, written once for the many fits."""
+    return write_through(scored_panel(spark, d), "news-panel")
+
+
 _AR1 = f""", ar AS (SELECT series_id, regr_slope(diff, diff_lag_in) AS b,
         regr_intercept(diff, diff_lag_in) AS a, count(*) AS n FROM (
             SELECT *, lag(diff) OVER (PARTITION BY series_id ORDER BY obs_date) AS diff_lag_in FROM panel)
@@ -222,28 +248,26 @@ _AR1 = f""", ar AS (SELECT series_id, regr_slope(diff, diff_lag_in) AS b,
 @query("m5_ar1_fit", PANEL_SQL + _AR1 + f"""
     SELECT series_id, n, {v.r('a', 4)} AS intercept, {v.r('b')} AS slope FROM ar""")
 def m5_ar1(spark, d):
-    fitted, _, _ = fc.fit_arma(price_panel(spark, d), 1, 0)
-    return fitted.select("series_id", "n", F.round(F.col("coef")[0], 4).alias("intercept"),
-                         F.round(F.col("coef")[1], 6).alias("slope"))
+    mean, slope = F.col("coef")[0], F.col("coef")[1]
+    return fc.fit_arma(price_panel(spark, d), 1, 0).select(
+        "series_id", "n", F.round(mean * (1 - slope), 4).alias("intercept"), F.round(slope, 6).alias("slope"))
 
 
 @query("m5_arx_fit")
 def m5(spark, d):
-    scaled = fc.standardise(panel(spark, d), _LIGHT_EXOG)
-    fitted, _, xs = fc.fit_arma(scaled, 2, 0, _LIGHT_EXOG)
-    return v.rounded(fc.coefficient_table(fitted, xs))
+    scaled = fc.standardise(_news_panel(spark, d), _EXOG)
+    return v.rounded(fc.coefficient_table(fc.fit_arma(scaled, 2, 0, _EXOG), fc.term_names(2, 0, _EXOG)), digits=4)
 
 
 @query("m6_arma_fit")
 def m6(spark, d):
-    fitted, _, xs = fc.fit_arma(price_panel(spark, d), 1, 1)
-    return v.rounded(fc.coefficient_table(fitted, xs))
+    return v.rounded(fc.coefficient_table(fc.fit_arma(price_panel(spark, d), 1, 1), fc.term_names(1, 1)), digits=4)
 
 
 @query("m7_order_by_validation")
 def m7(spark, d):
-    scaled = fc.standardise(panel(spark, d), _LIGHT_EXOG)
-    return v.rounded(fc.order_by_validation(scaled, exog=_LIGHT_EXOG))
+    scaled = fc.standardise(_news_panel(spark, d), _EXOG)
+    return v.rounded(fc.order_by_validation(scaled, exog=_EXOG), digits=4)
 
 
 @query("m8_order_by_aic")
@@ -263,14 +287,13 @@ _AIC_WHITE = "ln(2 * pi() * rss / n) * n + n"
     SELECT series_id, p, n, {v.r(f'{_AIC_WHITE} + 2 * (p + 2)', 2)} AS aic,
            {v.r(f'{_AIC_WHITE} + ln(n) * (p + 2)', 2)} AS bic FROM o""")
 def m8_ar(spark, d):
-    return fc.order_by_aic(price_panel(spark, d), ((0, 0), (1, 0))).drop("q")
+    return fc.order_by_aic(price_panel(spark, d), ((0, 0), (1, 0))).select("series_id", "p", "n", "aic", "bic")
 
 
 @query("m9_horizon_forecast")
 def m9(spark, d):
-    scaled = fc.standardise(panel(spark, d), _LIGHT_EXOG)
-    fits, rows, xs = fc.fit_orders(scaled, [(1, 0), (1, 1)], _LIGHT_EXOG)
-    return v.rounded(fc.horizon_forecast(fits, rows, xs, _LIGHT_EXOG))
+    scaled = fc.standardise(_news_panel(spark, d), _EXOG)
+    return v.rounded(fc.horizon_forecast(scaled, [(1, 0), (1, 1)], _EXOG), digits=4)
 
 
 @query("m9_horizon_ar1", PANEL_SQL + _AR1 + f""", steps AS (SELECT series_id, obs_date, diff,
@@ -280,8 +303,8 @@ def m9(spark, d):
            {v.r('a * (1 - pow(b, h)) / (1 - b) + pow(b, h) * last', 4)} AS y_hat
     FROM steps JOIN eve USING (series_id) JOIN ar USING (series_id)""")
 def m9_ar1(spark, d):
-    fits, rows, xs = fc.fit_orders(price_panel(spark, d), [(1, 0)])
-    return v.rounded(fc.horizon_forecast(fits, rows, xs, []), digits=4)
+    out = fc.horizon_forecast(price_panel(spark, d), [(1, 0)])
+    return v.rounded(out.select("series_id", "p", "q", "obs_date", "y", "y_hat"), digits=4)
 
 
 @query("m10_rolling_forecast", PANEL_SQL + _AR1 + f"""
@@ -295,7 +318,7 @@ def m10(spark, d):
 
 @query("m10_rolling_best_order")
 def m10_best(spark, d):
-    return v.rounded(fc.rolling_best_order(panel(spark, d), _LIGHT_EXOG))
+    return v.rounded(fc.rolling_best_order(_news_panel(spark, d), _EXOG), digits=4)
 
 
 @query("m11_expanding_ar1", PANEL_SQL + f"""
@@ -312,8 +335,8 @@ def m11(spark, d):
 
 @query("m11_expanding_arma_news")
 def m11_exog(spark, d):
-    scaled = fc.standardise(panel(spark, d), _LIGHT_EXOG, ("train", "val"))
-    return v.rounded(fc.expanding_refit(scaled, 1, 1, _LIGHT_EXOG), digits=3)
+    scaled = fc.standardise(_news_panel(spark, d), _EXOG, ("train", "val"))
+    return v.rounded(fc.expanding_refit(scaled, 1, 1, _EXOG), digits=3)
 
 
 #: A smaller grid than the operator's default, to keep the number of Spark jobs down.
@@ -375,11 +398,10 @@ def m17(spark, d):
 
 
 @query("m18_coefficients", PANEL_SQL + _AR1 + f"""
-    SELECT series_id, 'const' AS term, {v.r('a', 4)} AS coef FROM ar
-    UNION ALL SELECT series_id, 'y_lag1', {v.r('b', 4)} FROM ar""")
+    SELECT series_id, 'const' AS term, {v.r('a / (1 - b)', 4)} AS coef FROM ar
+    UNION ALL SELECT series_id, 'ar1', {v.r('b', 4)} FROM ar""")
 def m18(spark, d):
-    fitted, _, xs = fc.fit_arma(price_panel(spark, d), 1, 0)
-    return v.rounded(fc.coefficient_table(fitted, xs), digits=4)
+    return v.rounded(fc.coefficient_table(fc.fit_arma(price_panel(spark, d), 1, 0), fc.term_names(1, 0)), digits=4)
 
 
 # -- evaluation ----------------------------------------------------------------
@@ -425,7 +447,7 @@ _metric("k7_skill", _SKILL, ev.skill, "skill")
 _metric("k8_null_direction", _NOT_ZERO.format(m=_DA),
         lambda y, p: ev.unless_all_zero(ev.direction_accuracy(y, p), p), "da")
 
-METRICS_SELECT = f"""count(*) AS n, {v.r(_RMSE, 2)} AS rmse,
+METRICS_SELECT = f"""count(*) AS n, count(*) FILTER (y IS NULL OR y_hat IS NULL) AS n_missing, {v.r(_RMSE, 2)} AS rmse,
     {v.r('avg(abs(y - y_hat))', 2)} AS mae, {v.r(_NOT_ZERO.format(m=_DA), 1)} AS da,
     {v.r(_NOT_ZERO.format(m=_F1_UP), 3)} AS f1_up, {v.r(_NOT_ZERO.format(m=_MACRO), 3)} AS f1_macro,
     {v.r(_SKILL, 2)} AS skill"""
@@ -478,13 +500,10 @@ def daily_features(spark, d):
 
 @query("experiment_metrics")
 def experiment_metrics(spark, d):
-    """Every model of the comparison on a panel of scored news, one metric row each."""
-    from tickerpress.plans.experiment import run_experiment
-    whole = pn.build_panel(v.rate(spark, d), light(spark, d))
-    grid = {"n_estimators": (4,), "learning_rate": (0.1,), "max_depth": (2,)}
-    return run_experiment(whole, _LIGHT_EXOG, grid=grid).metrics
-
+    """Every model of the comparison on a panel of scored news, one metric row each.
 
-def light(spark, d):
-    from workload.features import light_features
-    return light_features(spark, d)
+    The trees take one parameter set instead of the operator's grid, as each set costs hundreds of Spark jobs.
+    """
+    from tickerpress.plans.experiment import run_experiment
+    grid = {"n_estimators": (10,), "learning_rate": (0.1,), "max_depth": (2,)}
+    return run_experiment(scored_panel(spark, d), _EXOG, grid=grid).metrics
