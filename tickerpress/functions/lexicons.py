@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-# Finance word lists by category, in alphabetical order.  A word
-# may be in more than one list and counts in each.
+# Finance word lists by category.  A word may be in more than one
+# list and counts in each.
 POSITIVE = """
     achieve achieved achievement advance advancing advantage beat beats benefit beneficial better
     boom booming boost boosted breakthrough confident confidence efficient efficiency gain gains

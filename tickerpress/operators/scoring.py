@@ -1,40 +1,46 @@
 """Lexicon and valence scores per text.
 
-Scores are computed inside the row: tokens are tested against literal sets,
-which Spark turns into hash lookups, so no text row is exploded or shuffled.
+Scores are computed inside the row, so no text row is exploded or shuffled: lexicon
+tokens are tested against literal sets, which Spark turns into hash lookups, and the
+valence rules run over Arrow batches of token arrays.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from tickerpress.functions import lexicons as lx
 from tickerpress.functions import text as tx
 
-#: Most lexicon words that are put into an expression as literals.
-MAX_INLINE_WORDS = 50_000
-
+# Names of the score columns.
 LM_SCORES = ("lm_pos", "lm_neg", "lm_unc", "lm_polarity", "lm_unc_ratio", "lm_hit")
 VALENCE_SCORES = ("vader_neg", "vader_neu", "vader_pos", "vader_compound")
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Word lists per category; categories may overlap."""
+    """Word lists per category; categories may overlap.
+
+    ``more`` holds further categories, each counted in a column of its own.
+    """
 
     positive: Sequence[str] = field(default_factory=lambda: list(lx.POSITIVE))
     negative: Sequence[str] = field(default_factory=lambda: list(lx.NEGATIVE))
     uncertainty: Sequence[str] = field(default_factory=lambda: list(lx.UNCERTAINTY))
+    more: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
     @property
     def words(self) -> list[str]:
-        return sorted({*self.positive, *self.negative, *self.uncertainty})
+        return sorted({*self.positive, *self.negative, *self.uncertainty,
+                       *(w for words in self.more.values() for w in words)})
 
 
 @dataclass(frozen=True)
@@ -49,15 +55,13 @@ class ValenceRules:
 
 
 def lexicon_from_table(df: DataFrame, term: str = "term", category: str = "category") -> Lexicon:
-    """Read a ``(term, category)`` table whose size is checked before it is collected."""
-    rows = df.select(term, category).distinct().limit(MAX_INLINE_WORDS + 1).collect()
-    if len(rows) > MAX_INLINE_WORDS:
-        raise ValueError(f"lexicon above {MAX_INLINE_WORDS} words: use lexicon_hits_by_join")
+    """Read a ``(term, category)`` table, all categories; for one that no task can hold see `lexicon_hits_by_join`."""
     words = defaultdict(list)
-    for row in rows:
+    for row in df.select(term, category).dropna().distinct().collect():
         words[row[1]].append(row[0])
-    return Lexicon(sorted(words["positive"]), sorted(words["negative"]),
-                   sorted(words["uncertainty"]))
+    lists = {name: sorted(w) for name, w in words.items()}
+    main = [lists.pop(name, []) for name in ("positive", "negative", "uncertainty")]
+    return Lexicon(*main, more=dict(sorted(lists.items())))
 
 
 def _in(token: Column, words: Sequence[str]) -> Column:
@@ -79,7 +83,8 @@ def lexicon_counts(df: DataFrame, text_col: str, prefix: str = "",
         *[F.col(c) for c in df.columns], F.size(tokens).alias(f"{prefix}n_tokens"),
         count(lexicon.positive).alias(f"{prefix}lm_pos"),
         count(lexicon.negative).alias(f"{prefix}lm_neg"),
-        count(lexicon.uncertainty).alias(f"{prefix}lm_unc"))
+        count(lexicon.uncertainty).alias(f"{prefix}lm_unc"),
+        *[count(words).alias(f"{prefix}lm_{name}") for name, words in lexicon.more.items()])
 
 
 def lexicon_ratios(df: DataFrame, prefix: str = "") -> DataFrame:
@@ -103,15 +108,23 @@ def score_lexicon(df: DataFrame, text_col: str, prefix: str = "",
 def lexicon_hits_by_join(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
     """Hits per ``(id, category)`` for a lexicon table of any size.
 
-    Only tokens that meet the lexicon are shuffled back to their text, and they
-    are counted per text and term before the join.
+    Terms are counted inside the row; a text meets the lexicon with one row per
+    distinct term.  The planner broadcasts a lexicon below its threshold;
+    beyond it a frequent term is split by adaptive execution.
     """
-    tokens = tx.unnest(df, [id_col], tx.alpha_tokens(F.col(text_col)), "term")
-    counted = tokens.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
-    return (counted.join(lexicon.select("term", "category").distinct(), "term")
+    terms = tx.unnest(df, [id_col], _term_counts(tx.alpha_tokens(F.col(text_col))), "t")
+    return (terms.select(id_col, "t.term", "t.n")
+            .join(lexicon.select("term", "category").distinct(), "term")
             .groupBy(id_col, "category").agg(F.sum("n").alias("hits")))
 
 
+@arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])))
+def _term_counts(tokens: pa.Array) -> pa.Array:
+    counted = [list(Counter(row).items()) if row else [] for row in tokens.to_pylist()]
+    return pa.array([[{"term": t, "n": n} for t, n in row] for row in counted],
+                    pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())])))
+
+
 # -- valence ----------------------------------------------------------------
 
 _PUNCT = r"(?:[.!?,;:\-'\"]|!{2,3}|\?{2,3}|\?!\?!?|!\?!\??)"
@@ -126,127 +139,108 @@ def valence_words(text: Column) -> Column:
     return F.filter(F.split(plain, f"(?U)[{tx.SPACE}]+"), lambda w: F.length(w) > 1)
 
 
-def _valence_of(word: Column, lexicon: Mapping[str, float]) -> Column:
-    """The word's valence.  Words are grouped by value, so this is one set lookup per value."""
-    groups = defaultdict(list)
-    for term, value in lexicon.items():
-        groups[float(value)].append(term)
-    out = F.lit(0.0)
-    for value, terms in sorted(groups.items()):
-        out = F.when(_in(word, sorted(terms)), F.lit(value)).otherwise(out)
-    return out
-
-
-def _shouted(word: Column) -> Column:
-    return (word == F.upper(word)) & (word != F.lower(word))
-
-
-def _context_step(hit: Column, back: int, mixed_caps: Column, known: Sequence[str],
-                  rules: ValenceRules) -> Column:
-    """The valence after the word ``back`` places before the hit has been heard."""
-    v, prev = hit["v"], hit[f"w{back}"]
-    low = F.lower(prev)
-    fade = {1: 1.0, 2: 0.95, 3: 0.9}[back]
-    degree = (F.when(_in(low, rules.boosters), F.lit(lx.BOOST))
-              .when(_in(low, rules.dampeners), F.lit(-lx.BOOST)))
-    sign = F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    loud = F.when(_shouted(prev) & mixed_caps,
-                  F.when(v > 0, F.lit(lx.CAPITALS)).otherwise(F.lit(-lx.CAPITALS))
-                  ).otherwise(F.lit(0.0))
-    boosted = v + F.coalesce((degree * sign + loud) * F.lit(fade), F.lit(0.0))
-    negated = _in(low, rules.negations) | low.contains("n't")
-    turned = F.when(negated, boosted * F.lit(lx.NEGATION)).otherwise(boosted)
-    if back > 1:
-        between = [F.lower(hit[f"w{k}"]) for k in range(1, back)]
-        emphatic = reduce(lambda a, b: a | b, [F.coalesce(w.isin("so", "this"), F.lit(False))
-                                               for w in between])
-        turned = F.when((low == "never") & emphatic,
-                        boosted * F.lit(1.5 if back == 2 else 1.25)).otherwise(turned)
-    heard = prev.isNotNull() & ~_in(low, known)
-    return F.when(heard, turned).otherwise(v)
+_SUMS = "struct<words: int, total: double, up: double, down: double, moved: int>"
+_FADE = {1: 1.0, 2: 0.95, 3: 0.9}
+
+
+class _Valence:
+    """The rules, applied to the words of one text."""
+
+    def __init__(self, lexicon: Mapping[str, float], rules: ValenceRules):
+        self.lexicon, self.rules = dict(lexicon), rules
+        self.degree = dict.fromkeys(rules.dampeners, -lx.BOOST) | dict.fromkeys(rules.boosters, lx.BOOST)
+        self.negations = frozenset(rules.negations)
+        skipped = {*rules.boosters, *rules.dampeners} if rules.context else set()
+        self.scored = {w: float(v) for w, v in lexicon.items() if w not in skipped}
+
+    def sums(self, words: list[str]) -> tuple[int, float, float, float, int]:
+        low = [w.lower() for w in words]
+        hits = [i for i, w in enumerate(low) if w in self.scored]
+        total, up, down, moved = 0.0, 0.0, 0.0, 0
+        mixed, turn = False, -1
+        if hits and self.rules.context:
+            shouted = sum(map(_shouted, words))
+            mixed = 0 < shouted < len(words)
+            turn = low.index(self.rules.contrast) if self.rules.contrast in low else -1
+        for i in hits:
+            v = self.scored[low[i]]
+            if self.rules.context:
+                v = self._heard(v, i, words, low, mixed)
+                v *= 1.0 if turn < 0 or i == turn else 0.5 if i < turn else 1.5
+            total += v
+            if v > 0:
+                up += v + 1.0
+            elif v < 0:
+                down += v - 1.0
+            moved += v != 0
+        return len(words), total, up, down, moved
+
+    def _heard(self, v: float, i: int, words: list[str], low: list[str], mixed: bool) -> float:
+        """The valence of word i after its neighbours have been heard."""
+        if low[i] == "kind" and i + 1 < len(low) and low[i + 1] == "of":
+            return 0.0
+        if mixed and _shouted(words[i]):
+            v += lx.CAPITALS if v > 0 else -lx.CAPITALS if v < 0 else 0.0
+        for back in (1, 2, 3):
+            if v == 0 or back > i:
+                break
+            before = low[i - back]
+            if before in self.lexicon:
+                continue
+            if before in self.degree:
+                loud = 0.0
+                if mixed and _shouted(words[i - back]):
+                    loud = lx.CAPITALS if v > 0 else -lx.CAPITALS
+                v += (self.degree[before] * (-1.0 if v < 0 else 1.0) + loud) * _FADE[back]
+            if back > 1 and before == "never" and {"so", "this"} & set(low[i - back + 1:i]):
+                v *= 1.5 if back == 2 else 1.25
+            elif before in self.negations or "n't" in before:
+                v *= lx.NEGATION
+        if i and low[i - 1] == "least" and "least" not in self.lexicon and not (i > 1 and low[i - 2] in ("at", "very")):
+            v *= lx.NEGATION
+        return v
+
+
+def _shouted(word: str) -> bool:
+    return word == word.upper() and word != word.lower()
+
+
+def _valence_sums(lexicon: Mapping[str, float], rules: ValenceRules):
+    scorer = _Valence(lexicon, rules)
+    names, kinds = ["words", "total", "up", "down", "moved"], [pa.int32(), *[pa.float64()] * 3, pa.int32()]
+
+    @arrow_udf(_SUMS)
+    def sums(words: pa.Array) -> pa.Array:
+        rows = list(zip(*[scorer.sums(w or []) for w in words.to_pylist()])) or [[]] * 5
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names)
+
+    return sums
 
 
 def score_valence(df: DataFrame, text_col: str, lexicon: Mapping[str, float], prefix: str = "",
                   rules: ValenceRules | None = None) -> DataFrame:
     """Add negative, neutral and positive shares and the normalised compound.
 
-    ``lexicon`` maps lower-case terms to valences.  The context rules are those
+    ``lexicon`` maps lower-case terms to valences, of any number.  The context rules are those
     of Hutto & Gilbert (2014): degree words, negation within three words,
     capitals, "but", exclamation and question marks.
     """
-    if not lexicon or len(lexicon) > MAX_INLINE_WORDS:
-        raise ValueError(f"valence lexicon must have 1 to {MAX_INLINE_WORDS} words")
+    if not lexicon:
+        raise ValueError("the valence lexicon is empty")
     rules = rules or ValenceRules()
-    known = sorted(lexicon)
-    skipped = [*rules.boosters, *rules.dampeners] if rules.context else []
-    words, hits = f"{prefix}words", f"{prefix}valence_hits"
     text = tx.text_or_empty(F.col(text_col))
-    df_cols = [F.col(c) for c in df.columns]
-    staged = df.withColumn(words, valence_words(text))
-
-    def previous(i, k):
-        return F.when(i >= k, F.get(words, i - k))
-
-    mixed_caps = F.col(f"{prefix}mixed_caps")
-    n_shouted = F.size(F.filter(words, _shouted))
-    staged = staged.withColumns({
-        f"{prefix}mixed_caps": (n_shouted > 0) & (n_shouted < F.size(words)),
-        hits: F.filter(
-            F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
-            lambda x: _in(F.lower(x["w"]), known) & ~_in(F.lower(x["w"]), skipped)),
-    })
-    first_valence = lambda x: _valence_of(F.lower(x["w"]), lexicon)
-    if not rules.context:
-        staged = staged.withColumn(hits, F.transform(
-            hits, lambda x: F.struct(x["i"].alias("i"), first_valence(x).alias("v"))))
-        amplifier = F.lit(0.0)
-    else:
-        def opened(x):
-            v = first_valence(x)
-            shout = F.when(_shouted(x["w"]) & mixed_caps, F.signum(v) * F.lit(lx.CAPITALS)
-                           ).otherwise(F.lit(0.0))
-            kind_of = (F.lower(x["w"]) == "kind") & F.coalesce(
-                F.lower(F.get(words, x["i"] + 1)) == "of", F.lit(False))
-            return F.struct(x["i"].alias("i"),
-                            F.when(kind_of, F.lit(0.0)).otherwise(v + shout).alias("v"),
-                            *[previous(x["i"], k).alias(f"w{k}") for k in (1, 2, 3)])
-
-        staged = staged.withColumn(hits, F.transform(hits, opened))
-        def heard(back):
-            return lambda h: F.struct(
-                h["i"].alias("i"),
-                F.when(h["v"] == 0, h["v"]).otherwise(
-                    _context_step(h, back, mixed_caps, known, rules)).alias("v"),
-                *[h[f"w{k}"].alias(f"w{k}") for k in (1, 2, 3)])
-
-        for back in (1, 2, 3):
-            staged = staged.withColumn(hits, F.transform(hits, heard(back)))
-        turn = F.array_position(F.transform(words, F.lower), rules.contrast) - 1
-        least = lambda h: ((F.lower(h["w1"]) == "least") & ~_in(F.lower(h["w1"]), known)
-                           & ~F.coalesce(F.lower(h["w2"]).isin("at", "very"), F.lit(False)))
-        staged = staged.withColumn(f"{prefix}turn", turn)
-        at = F.col(f"{prefix}turn")
-        staged = staged.withColumn(hits, F.transform(hits, lambda h: F.struct(
-            h["i"].alias("i"),
-            (h["v"] * F.when(F.coalesce(least(h), F.lit(False)), F.lit(lx.NEGATION)).otherwise(1.0)
-             * F.when(at < 0, 1.0).when(h["i"] < at, 0.5).when(h["i"] > at, 1.5).otherwise(1.0)
-             ).alias("v"))))
+    amplifier = F.lit(0.0)
+    if rules.context:
         questions = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))
         exclaims = F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))
         amplifier = (F.least(exclaims, F.lit(lx.MAX_EXCLAMATIONS)) * F.lit(lx.EXCLAMATION)
                      + F.when(questions > 3, F.lit(lx.MANY_QUESTIONS))
                      .when(questions > 1, questions * F.lit(lx.QUESTION)).otherwise(F.lit(0.0)))
-    start = F.struct(F.lit(0.0).alias("all"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"),
-                     F.lit(0).alias("moved"))
-    sums = F.aggregate(hits, start, lambda s, h: F.struct(
-        (s["all"] + h["v"]).alias("all"),
-        (s["up"] + F.when(h["v"] > 0, h["v"] + 1.0).otherwise(0.0)).alias("up"),
-        (s["down"] + F.when(h["v"] < 0, h["v"] - 1.0).otherwise(0.0)).alias("down"),
-        (s["moved"] + F.when(h["v"] != 0, 1).otherwise(0)).alias("moved")))
-    staged = staged.select(*df_cols, F.size(words).alias("n_words_"), sums.alias("sums_"),
-                           amplifier.alias("amp_"))
-    total, up, down = (F.col(f"sums_.{c}") for c in ("all", "up", "down"))
-    amp, neutral = F.col("amp_"), (F.col("n_words_") - F.col("sums_.moved")).cast("double")
+    df_cols = [F.col(c) for c in df.columns]
+    staged = df.select(*df_cols, _valence_sums(lexicon, rules)(valence_words(text)).alias("sums_"),
+                       amplifier.alias("amp_"))
+    total, up, down = (F.col(f"sums_.{c}") for c in ("total", "up", "down"))
+    amp, neutral = F.col("amp_"), (F.col("sums_.words") - F.col("sums_.moved")).cast("double")
     staged = staged.select(
         *df_cols, neutral.alias("neu_"),
         (total + F.signum(total) * amp).alias("all_"),

@@ -162,7 +162,7 @@ _BEST = ", ".join(f"CASE WHEN min({c}) < max({c}) THEN abs(corr({c}, ry)) END" f
     SELECT series_id, count(*) AS n_permutations, {v.r('quantile_cont(best, 0.95)')} AS threshold,
            {v.r('avg(best)')} AS mean_best FROM best GROUP BY 1""")
 def e10(spark, d):
-    train = pn.only_splits(scored_panel(spark, d), "train")
+    train = pn.only_splits(_news_panel(spark, d), "train")
     return v.rounded(ex.permutation_null(train, _MEANS, 200))
 
 
