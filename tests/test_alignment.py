@@ -3,6 +3,7 @@ import datetime as dtm
 import pytest
 from pyspark.sql import functions as F
 
+from tickerpress.functions import dates as dt
 from tickerpress.operators import alignment as al
 from tickerpress.operators import prices as pr
 
@@ -78,3 +79,22 @@ def test_histogram_and_share(spark):
     got = {r["bin"]: r["n_articles"] for r in al.publication_hours(df, "t", bins=2).collect()}
     assert got == {0: 2, 1: 2}
     assert al.hour_band_share(df, "t").first()["share"] == 0.25
+
+
+def test_instants_with_and_without_offsets(spark):
+    eight = ["2024-01-05T15:00:00+0700", "2024-01-05T15:00:00+07:00", "2024-01-05T15:00:00+07", "2024-01-05T08:00:00Z",
+             "2024-01-05 08:00:00", "Fri, 05 Jan 2024 08:00:00 GMT", "2024-01-05T02:30:00.000-0530", " 2024-01-05T08:00 "]
+    df = spark.createDataFrame([(t,) for t in [*eight, "", None, "rubbish"]], "t string")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [r[0] for r in df.select(dt.parse_instant(F.col("t")).cast("string")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == ["2024-01-05 08:00:00"] * 8 + [None] * 3
+    with pytest.raises(Exception, match="not an instant: rubbish"):
+        df.select(dt.parse_instant(F.col("t"), strict=True)).collect()
+
+
+def test_texts_are_no_times(spark):
+    with pytest.raises(TypeError):
+        dt.to_market_time(spark.createDataFrame([("2024-01-05",)], "t string"), "t")

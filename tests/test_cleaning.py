@@ -89,3 +89,16 @@ def test_body_of_nested_container(spark):
                                "id long, html string")
     got = {r["id"]: r["full_text"] for r in ex.extract_body(df, "html").collect()}
     assert got == {1: "One bold & <two> Nested open next", 2: cl.NO_BODY_TEXT, 3: " a"}
+
+
+def test_character_references_and_missing_pages(spark):
+    html = ("<!-- <div> --><script>'<div class=\"ArticleBody-articleBody\"><p>no</p></div>'</script>"
+            "<div class=ArticleBody-articleBody><script>'</div>'</script>"
+            "<p>caf&eacute; &#8220;x&#x201d; &mdash; &rsquo;&hellip; &amp;amp;</p></div>")
+    df = spark.createDataFrame([(1, html), (2, None), (3, "")], "id long, html string")
+    got = {r["id"]: r["full_text"] for r in ex.extract_body(df, "html").collect()}
+    assert got == {1: "café “x” — ’… &amp;", 2: None, 3: cl.NO_BODY_TEXT}
+
+
+def test_rows_without_a_key_are_not_kept(spark):
+    assert sorted(r["id"] for r in cl.keep_first(texts(spark, "a", None, "a", None, "b"), ["t"], "id").collect()) == [0, 4]

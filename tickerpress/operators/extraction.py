@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html as html_rules
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickerpress.functions import text as tx
 from tickerpress.operators.cleaning import NO_BODY_TEXT
@@ -12,17 +16,18 @@ from tickerpress.operators.cleaning import NO_BODY_TEXT
 BODY_TAG, BODY_CLASS = "div", "ArticleBody-articleBody"
 
 _MARK = "\u0001"
-# Character references and what they stand for; & comes last.
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-             ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: What may hold tags that are none: scripts, styles and comments.
+_HIDDEN = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->"
 
 
 def container_html(html: Column, tag: str, css_class: str | None = None) -> Column:
     """Inner HTML of the first matching element, or null.
 
+    Scripts, styles and comments go first, so tags inside them do not count.
     The text after the opening tag is cut at every further opening or closing
     tag of the same name; the element ends where the nesting depth returns to 0.
     """
+    html = F.regexp_replace(html, _HIDDEN, "")
     wanted = rf'[^>]*\bclass\s*=\s*["\']?[^"\'>]*(?<![\w-]){css_class}(?![\w-])' if css_class else ""
     opening = rf"(?is)<{tag}\b{wanted}[^>]*>"
     rest = F.split(html, opening, 2)[1]
@@ -38,10 +43,11 @@ def container_html(html: Column, tag: str, css_class: str | None = None) -> Colu
     return F.when(html.rlike(opening), F.array_join(F.slice(pieces, F.lit(1), scan["n"]), ""))
 
 
-def unescape(text: Column) -> Column:
-    for entity, char in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def unescape(texts: pd.Series) -> pd.Series:
+    """Character references of all kinds, named and numeric, for what they stand for."""
+    return texts.map(lambda row: None if row is None else [
+        t if t is None or "&" not in t else html_rules.unescape(t) for t in row])
 
 
 def paragraph_text(inner: Column) -> Column:
@@ -50,20 +56,22 @@ def paragraph_text(inner: Column) -> Column:
     A paragraph ends at its closing tag, the next opening one, or the end of
     the container; unclosed paragraphs do not nest.
     """
-    plain = F.regexp_replace(inner, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    marked = F.regexp_replace(plain, r"(?i)<p(\s[^>]*)?>", _MARK)
+    marked = F.regexp_replace(inner, r"(?i)<p(\s[^>]*)?>", _MARK)
     after_mark = F.split(marked, _MARK)
-    paragraphs = F.transform(
+    plain = F.transform(
         F.slice(after_mark, F.lit(2), F.size(after_mark)),
-        lambda p: tx.strip_space(unescape(F.regexp_replace(
-            F.split(p, r"(?i)</p\s*>", 2)[0], r"(?s)<[^>]*>", ""))))
-    return F.array_join(paragraphs, " ")
+        lambda p: F.regexp_replace(F.split(p, r"(?i)</p\s*>", 2)[0], r"(?s)<[^>]*>", ""))
+    return F.array_join(F.transform(unescape(plain), tx.strip_space), " ")
 
 
 def extract_body(df: DataFrame, html_col: str, out_col: str = "full_text", tag: str = BODY_TAG,
                  css_class: str | None = BODY_CLASS) -> DataFrame:
-    """Replace a page by its article text; the sentinel text where there is no container."""
+    """Replace a page by its article text; the sentinel text where there is no container.
+
+    A null page, one that could not be fetched, stays missing: its text is null.
+    """
     inner = df.withColumn("inner_html", container_html(F.col(html_col), tag, css_class))
-    body = F.when(F.col("inner_html").isNull(), F.lit(NO_BODY_TEXT)).otherwise(
-        paragraph_text(F.col("inner_html")))
-    return inner.withColumn(out_col, body).drop("inner_html", html_col)
+    inner = inner.withColumn("body_", paragraph_text(F.coalesce("inner_html", F.lit(""))))
+    body = F.when(F.col(html_col).isNull(), None).when(
+        F.col("inner_html").isNull(), F.lit(NO_BODY_TEXT)).otherwise(F.col("body_"))
+    return inner.withColumn(out_col, body).drop("inner_html", "body_", html_col)

@@ -12,6 +12,7 @@ from tickerpress.operators import cleaning as cl
 from tickerpress.operators import extraction as ex
 from tickerpress.operators import near_duplicates as nd
 from tickerpress.operators import prices as pr
+from tickerpress.plans import harvest as hv
 from tickerpress.session import scratch_path
 from tickerpress.sources import hits as hs
 from tickerpress.sources import tables as tb
@@ -133,8 +134,7 @@ def c3(spark, d):
     return cl.merge_hits(searches, "url", ["ingest_id"], source="wire")
 
 
-@query("c4_extract_body", """
-    WITH cut AS (SELECT page_id, regexp_extract(html, '(?is)<article[^>]*>(.*?)</article', 1) AS a,
+_BODIES = """cut AS (SELECT page_id, regexp_extract(html, '(?is)<article[^>]*>(.*?)</article', 1) AS a,
                         regexp_matches(html, '(?i)<article') AS has_body FROM pages),
     plain AS (SELECT page_id, has_body, regexp_replace(regexp_replace(a,
                 '(?is)<script.*?</script\\s*>|<style.*?</style\\s*>|<!--.*?-->', '', 'g'),
@@ -144,7 +144,11 @@ def c3(spark, d):
             regexp_replace(regexp_replace(p, '(?is)</p\\s*>.*', ''), '(?s)<[^>]*>', '', 'g'),
             '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''),
             '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
-        '^\\s+|\\s+$', '', 'g')) AS ps FROM plain)
+        '^\\s+|\\s+$', '', 'g')) AS ps FROM plain)"""
+
+
+@query("c4_extract_body", f"""
+    WITH {_BODIES}
     SELECT page_id, CASE WHEN has_body THEN array_to_string(ps, ' ')
                     ELSE 'No full text available (Video/Live Blog)' END AS full_text FROM pars""")
 def c4(spark, d):
@@ -346,3 +350,55 @@ def t7(spark, d):
            AS share FROM news""")
 def t8(spark, d):
     return v.rounded(al.hour_band_share(v.news(spark, d), "published_at"))
+
+
+# -- harvest -------------------------------------------------------------------
+
+def _searches(spark, d):
+    """Two searches over the pages, one hit a page; every third page is found by both."""
+    pages = v.table(spark, d, "pages").select(F.col("page_id").alias("page_no"), "url")
+    dates = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("page_no"), "o_orderdate")
+    i = F.col("page_no")
+    seconds = (i * 7919 % 86400).cast("int")
+    at = F.date_format(F.col("o_orderdate") + F.make_dt_interval(secs=seconds), "yyyy-MM-dd'T'HH:mm:ss")
+    offset = F.when(i % 2 == 0, "+0700").otherwise("Z")
+
+    def search(number, rows):
+        kind = F.when(i % 10 == 0, "Video").otherwise("article")
+        return rows.select("page_no", F.to_json(F.struct(F.array(F.struct(
+            F.concat(at, offset).alias("datePublished"), kind.alias("cn:type"),
+            F.concat(F.lit(f"search {number} page "), i.cast("string")).alias("cn:title"), "url")).alias("results"))
+            ).alias("page"))
+
+    found = pages.join(dates, "page_no")
+    return [search(0, found.where(i % 3 > 0)), search(1, found.where(i % 3 < 2))]
+
+
+@query("harvest_to_articles", v.ctes("rate") + f"""
+    , hits AS (
+        SELECT page_id, url, q, o_orderdate + to_seconds(page_id * 7919 % 86400)
+               - (CASE WHEN page_id % 2 = 0 THEN INTERVAL 7 HOUR ELSE INTERVAL 0 HOUR END) AS published_at,
+               strftime(o_orderdate + to_seconds(page_id * 7919 % 86400), '%Y-%m-%dT%H:%M:%S') AS published
+        FROM pages JOIN orders ON o_orderkey = page_id, (VALUES (0), (1)) s(q)
+        WHERE page_id % 10 <> 0 AND (CASE WHEN q = 0 THEN page_id % 3 > 0 ELSE page_id % 3 < 2 END)),
+    kept AS (SELECT * FROM hits WHERE published >= '1996-03-01'
+             QUALIFY row_number() OVER (PARTITION BY url ORDER BY q, page_id) = 1),
+    first_page AS (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1),
+    {_BODIES},
+    texts AS (SELECT kept.*, array_to_string(ps, ' ') AS raw FROM kept JOIN first_page USING (url)
+              JOIN pars ON pars.page_id = first_page.page_id WHERE has_body),
+    one AS (SELECT *, regexp_replace(regexp_replace(raw, '^In this article\\s*', ''), '^\\s+|\\s+$', '', 'g')
+            AS full_text FROM texts WHERE raw <> ''
+            QUALIFY row_number() OVER (PARTITION BY raw ORDER BY q, page_id) = 1),
+    news AS (SELECT *, CAST(published_at + {v.ZONE_SHIFT} AS DATE)
+             + (CASE WHEN hour(published_at + {v.ZONE_SHIFT}) >= 15 THEN 1 ELSE 0 END) AS news_day
+             FROM one WHERE len(regexp_extract_all(full_text, '\\S+')) >= 30),
+    calendar AS (SELECT DISTINCT obs_date AS session FROM rate)
+    SELECT url, 'search ' || q || ' page ' || page_id AS title, published_at, full_text,
+           coalesce(session, news_day + (CASE dayofweek(news_day) WHEN 6 THEN 2 WHEN 0 THEN 1 ELSE 0 END))
+           AS adjusted_date
+    FROM news ASOF LEFT JOIN calendar ON news_day <= session""")
+def harvest(spark, d):
+    out = hv.harvest_articles(_searches(spark, d), v.table(spark, d, "pages"), v.rate(spark, d),
+                              floor="1996-03-01", tag="article", css_class=None)
+    return out.select("url", "title", "published_at", "full_text", "adjusted_date")
