@@ -21,19 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerpress.functions import text as tx
+from tickerpress.session import write_through
 
 # Vocabulary floor and sizes for titles and bodies.
 MIN_DOC_FREQ = 5
 TITLE_TERMS, TITLE_RANK = 1_000, 25
 BODY_TERMS, BODY_RANK = 3_000, 50
 
-#: The fitted vocabulary lives on the driver and in every task.
-MAX_VOCABULARY = 200_000
-#: Up to this many terms the Gram matrix is formed in one pass and decomposed locally.
-MAX_GRAM_TERMS = 5_000
-#: Tasks per core that each fold their rows into one partial Gram matrix.
-GRAM_TASKS_PER_CORE = 4
-
 
 def english_stop_words() -> list[str]:
     """Spark's English list, the default; any other list can be passed instead."""
@@ -119,9 +113,10 @@ class TfidfModel:
 
 def fit_tfidf(df: DataFrame, text_col: str, max_features: int, min_df: int = MIN_DOC_FREQ,
               stop_words: Sequence[str] | None = None, bigrams: bool = True) -> TfidfModel:
-    """Fit on the given texts; filter to the training period before calling."""
-    if max_features > MAX_VOCABULARY:
-        raise ValueError(f"max_features above {MAX_VOCABULARY}")
+    """Fit on the given texts; filter to the training period before calling.
+
+    The vocabulary, ``max_features`` terms at most, lives on the driver and in every task.
+    """
     stops = english_stop_words() if stop_words is None else list(stop_words)
     stats = term_statistics(df, text_col, stops, bigrams)
     # The null term carries the corpus size; it sorts ahead of the top terms.
@@ -210,18 +205,16 @@ def _fix_signs(v: np.ndarray) -> np.ndarray:
 def fit_svd(vectors: DataFrame, vector_col: str, n_terms: int, rank: int) -> SvdModel:
     """Uncentred truncated SVD of the rows, rank clamped to ``[1, n_terms - 1]``.
 
-    The Gram matrix is terms x terms, whatever the number of texts.  A few tasks
-    per core, however many input splits, fold their rows into one partial matrix
-    each, and the partials meet in a tree.  Larger vocabularies use the
-    iterative solver.
+    The Gram matrix is terms x terms, whatever the number of texts: the vocabulary's size, a
+    parameter of the fit, sets the memory it takes.  The vectors are written by as many
+    tasks as there are; then each task folds at least as many rows as there are terms into one
+    partial matrix, so the partials, which meet in a tree, do not outweigh the vectors.
     """
     k = max(1, min(rank, n_terms - 1))
-    rows = MLUtils.convertVectorColumnsFromML(vectors.select(vector_col), vector_col)
-    if n_terms > MAX_GRAM_TERMS:
-        svd = RowMatrix(rows).computeSVD(k)
-        return SvdModel(_fix_signs(svd.V.toArray()), svd.s.toArray())
-    tasks = GRAM_TASKS_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism
-    gram = RowMatrix(rows.coalesce(tasks), 0, n_terms).computeGramianMatrix().toArray()
+    written = write_through(vectors.select(vector_col), "svd-vectors")
+    tasks = -(-written.count() // n_terms) or 1
+    rows = MLUtils.convertVectorColumnsFromML(written, vector_col).coalesce(tasks)
+    gram = RowMatrix(rows, 0, n_terms).computeGramianMatrix().toArray()
     values, basis = np.linalg.eigh(gram)
     order = np.argsort(values)[::-1][:k]
     return SvdModel(_fix_signs(basis[:, order]), np.sqrt(np.clip(values[order], 0.0, None)))

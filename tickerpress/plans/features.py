@@ -13,8 +13,10 @@ from tickerpress.operators import daily as da
 from tickerpress.operators import panel as pn
 from tickerpress.operators import scoring as sc
 from tickerpress.operators import vectors as vc
+from tickerpress.session import write_through
 
 TITLE, BODY = "title", "full_text"
+# Prefixes of the two texts' score columns.
 PREFIXES = {TITLE: "title_", BODY: "text_"}
 
 
@@ -40,10 +42,11 @@ def extract_features(articles: DataFrame, rates: DataFrame, lexicon: sc.Lexicon
     """Daily lexicon and valence statistics, article counts and mean text vectors.
 
     Vocabulary and components are fitted on articles before the cutoff only.
-    Articles are read once for the scores and twice per text for fitting and
-    projecting, and never shuffled; only daily partial aggregates are.
+    The prepared articles are written once, as they come from a scan, a dedupe and a join;
+    scoring, fitting and projecting read that table, and shuffle daily partial
+    aggregates only.
     """
-    texts = articles.select(date_col, TITLE, BODY).dropna(subset=[TITLE, BODY])
+    texts = write_through(articles.select(date_col, TITLE, BODY).dropna(subset=[TITLE, BODY]), "prepared")
     scored = sc.score_texts(texts, PREFIXES, lexicon, valence, rules)
     blocks = [da.aggregate_daily(scored, date_col, sc.score_columns(list(PREFIXES.values()), bool(valence)))]
     train = vc.before_cutoff(texts, date_col, training_cutoff(rates))

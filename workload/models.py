@@ -488,8 +488,7 @@ def _daily_features(spark, d):
     from tickerpress.plans import features as pf
     rates = v.rate(spark, d)
     articles = pf.prepare_articles(v.news_dirty(spark, d), rates)
-    return pf.extract_features(articles, rates, v.LEXICON, v.VALENCE, v.RULES, v.STOP_WORDS,
-                               title=(300, 5), body=(500, 8))
+    return pf.extract_features(articles, rates, v.LEXICON, v.VALENCE, v.RULES, v.STOP_WORDS)
 
 
 @query("daily_features")
