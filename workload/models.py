@@ -10,7 +10,7 @@ from tickerpress.operators import explore as ex
 from tickerpress.operators import forecast as fc
 from tickerpress.operators import panel as pn
 from tickerpress.operators import trees as tr
-from tickerpress.session import write_through
+from tickerpress.session import scratch_path, write_through
 from workload import views as v
 from workload.articles import aligned
 from workload.features import (FEATURES, PANEL_SQL, SCORED_PANEL_SQL, panel, scored_panel)
@@ -506,3 +506,24 @@ def experiment_metrics(spark, d):
     from tickerpress.plans.experiment import run_experiment
     grid = {"n_estimators": (10,), "learning_rate": (0.1,), "max_depth": (2,)}
     return run_experiment(scored_panel(spark, d), _EXOG, grid=grid).metrics
+
+
+def _evaluation(spark, d, trees):
+    from tickerpress.plans.evaluation import run_evaluation
+    return run_evaluation(_news_panel(spark, d), _EXOG, trees, folder=scratch_path(spark, "evaluation"))
+
+
+@query("evaluate_test")
+def evaluate_test(spark, d):
+    """Metrics of the baselines, the expanding regression and the final trees on the test split."""
+    return _evaluation(spark, d, tr.FINAL).metrics
+
+
+@query("evaluate_test_baselines", SCORED_PANEL_SQL + BASELINES_CTE + f""",
+    tested AS (SELECT series_id, model, split, y, CASE WHEN model = 'majority' THEN CAST(peek AS DOUBLE) ELSE y_hat END
+               AS y_hat FROM predictions JOIN (SELECT series_id, max(peek) AS peek FROM calls GROUP BY 1) USING (series_id)
+               WHERE split = 'test')
+    SELECT model, split, {METRICS_SELECT} FROM tested GROUP BY 1, 2""")
+def evaluate_test_baselines(spark, d):
+    quick = {"n_estimators": 2, "learning_rate": 0.1, "max_depth": 2}
+    return _evaluation(spark, d, quick).metrics.where("model IN ('zero', 'majority', 'persistence')")
