@@ -2,7 +2,7 @@
 
 A sample gives the tree; every vector is filed in the leaf it descends to.  A query
 visits leaves best bin first: a priority queue holds the nodes seen so far, by the inner
-product with their centres.  How many leaves to visit is calibrated: visits widen until
+product with their centres; its own leaf is visited in any case.  How many leaves to visit is calibrated: visits widen until
 queries whose neighbours were found by brute force have reached the wanted recall.
 Leaves lie in buckets, and packed blocks of queries meet packed blocks of vectors
 bucket by bucket, so a vector is sent once per block of queries, not per query.
@@ -120,14 +120,11 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
                            .select("grp", "keys", "weights", "vectors"), "ann-blocks")
     asking = filed.where("asks").withColumn("grp", F.lit(0).cast("long"))
     trial = asking.orderBy(F.xxhash64("key", F.lit(1))).limit(CALIBRATION)
-    visits = _calibrate(_queries(trial, size, tree, tree.leaves), blocks, tree, k, recall, CALIBRATION)
+    visits = _calibrate(_queries(trial, size, tree, tree.leaves), blocks, ids, tree, k, recall)
     found = _search(_queries(asking, size, tree, visits), blocks, tree, k)
-    best = write_through(_top(found, "query", k + 1), "ann-found")
-    # From vectors to rows: the k + 1 best rows of each distinct query, then each row that asks drops itself.
-    listed = best.join(ids, "key")
-    listed = write_through(listed.withColumn("nth", F.row_number().over(
-        Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") <= k + 1)
-        .select("query", "vec_id", "score"), "ann-listed")
+    # The k + 1 best rows of each distinct query; then each row that asks drops itself.
+    listed = write_through(_rows(write_through(_top(found, k + 1), "ann-found"), ids, k + 1)
+                           .select("query", "vec_id", "score"), "ann-listed")
     asks = write_through(own.where("asks").join(distinct.select("x", "y", F.col("key").alias("query")), ["x", "y"])
                          .select("query", F.col("vec_id").alias("query_id"), F.monotonically_increasing_id().alias("row")),
                          "ann-asking")
@@ -159,6 +156,7 @@ def _queries(asking: DataFrame, size: int, tree: Tree, visits: int) -> DataFrame
                 get = lambda name, i=i: batch.column(name)[i].as_py()
                 keys, _, x = unpacked(get("keys"), get("weights"), get("vectors"))
                 seen = np.zeros((len(keys), -(-tree.leaves // BUCKET) * BUCKET), dtype=bool)
+                seen[np.arange(len(keys)), tree.file(x)] = True  # copies of the query lie in its own leaf
                 for row, query in enumerate(x):
                     seen[row, tree.visits(query, visits)] = True
                 seen = seen.reshape(len(keys), -1, BUCKET)
@@ -201,15 +199,21 @@ def _search(queries: DataFrame, blocks: DataFrame, tree: Tree, k: int) -> DataFr
     return queries.join(blocks, "grp").mapInArrow(work, "query long, key long, weight long, leaf long, score double")
 
 
-def _top(found: DataFrame, by: str, most: int) -> DataFrame:
+def _top(found: DataFrame, most: int, then: str = "weight") -> DataFrame:
     """The best rows of each query; ``weight`` is the smallest id of a vector."""
     return found.withColumn("nth", F.row_number().over(
-        Window.partitionBy(by).orderBy(F.desc("score"), "weight"))).where(F.col("nth") <= most).drop("nth")
+        Window.partitionBy("query").orderBy(F.desc("score"), then))).where(F.col("nth") <= most).drop("nth")
 
 
-def _calibrate(trial: DataFrame, blocks: DataFrame, tree: Tree, k: int, recall: float, queries: int) -> int:
-    """The number of leaves to visit: widened until the trial queries reach ``recall``."""
-    truth = _top(_search(trial, blocks, tree, k), "query", k + 1).select("query", "key", "leaf").toPandas()  # k + 1 rows a query
+def _rows(best: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """From vectors to rows: the best ``most`` rows of each query."""
+    return _top(best.join(ids, "key"), most, "vec_id")
+
+
+def _calibrate(trial: DataFrame, blocks: DataFrame, ids: DataFrame, tree: Tree, k: int, recall: float) -> int:
+    """The number of leaves to visit: widened until the trial queries reach ``recall`` of their nearest rows."""
+    found = write_through(_top(_search(trial, blocks, tree, k), k + 1), "ann-trial")
+    truth = _rows(found, ids, k + 1).select("query", "key", "leaf").toPandas()  # k + 1 rows a trial query
     vectors = {}
     for row in trial.select("qkeys", "qvectors").distinct().toPandas().itertuples():
         keys = np.frombuffer(row.qkeys, np.int64)
