@@ -15,6 +15,7 @@ A reader that wants one block reads the index and that block's chunks only.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -100,12 +101,17 @@ def _join(planes: list[bytes], n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(as_bytes).view("<u4").reshape(-1)
 
 
+#: Latin letters (not the dotted capital I, whose lower case ends with a mark), then ASCII
+#: signs but for the apostrophe, which begins endings such as 's.
+_LETTERS_SIGNS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+
+
 class WordEncoder:
     """Ids of texts, remembered word by word.
 
-    For tokenizers whose rules never look across a space or line feed: the ids of a
-    text are then those of its words in a row.  Unknown words are encoded in one
-    call, parted by a special token.
+    For tokenizers that lower-case, and whose rules never look across a space, a line feed, or
+    the seam of letters and signs: the ids of a text are then those of its words in a
+    row.  Unknown words are encoded in one call, parted by a special token.
     """
 
     def __init__(self, path: str, separator: str = "<|endoftext|>"):
@@ -122,12 +128,20 @@ class WordEncoder:
         self.known[""] = b""
         new = words.difference(self.known)
         self.known.update((w, self.older[w]) for w in new.intersection(self.older))
-        new = list(new.difference(self.older))
-        odd = [w for w in new if any(s in w for s in self.special)]
+        new = new.difference(self.older)
+        # Letters and the signs after them are never merged, so a word with signs needs no encoding of its own.
+        parted = {w: (m[1].lower() if m[1].isascii() else m[1], m[2]) for w in new if (m := _LETTERS_SIGNS(w))}
+        wanted = {x for parts in parted.values() for x in parts}.union(new.difference(parted)).difference(self.known)
+        self.known.update((w, self.older[w]) for w in wanted.intersection(self.older))
+        self._encode(wanted.difference(self.older))
+        find = self.known
+        find.update([(w, find[a] + find[b]) for w, (a, b) in parted.items()])
+
+    def _encode(self, new: set[str]) -> None:
+        odd = {w for w in new if any(s in w for s in self.special)}
         for w in odd:
             self.known[w] = _little(self.tokenizer.encode(w, add_special_tokens=False).ids)
-        odd = set(odd)
-        new = [w for w in new if w not in odd] if odd else new
+        new = list(new - odd)
         for start in range(0, len(new), 4096):
             part = new[start:start + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast(
