@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerpress.functions import text as tx
+from tickerpress.operators.near_duplicates import drop_near_duplicates
 from tickerpress.session import write_through
 
 # Harvest floor, excluded media types, shortest article kept.
@@ -101,24 +102,30 @@ def strip_links(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def clean_articles(df: DataFrame, text_col: str, order: str, n_words: int = MIN_WORDS,
-                   links: bool = False) -> DataFrame:
+                   links: bool = False, near: bool = False,
+                   stop_words: Sequence[str] | None = None) -> DataFrame:
     """Missing text, exact copies, boilerplate, short texts: in that order.
 
     Copies are told apart before the prefix goes, so two texts that become
-    equal only afterwards both stay.  ``links`` also removes URLs.
+    equal only afterwards both stay.  ``near`` drops near duplicates as well, with
+    ``stop_words`` left out of the comparison; ``links`` also removes URLs.
     """
     kept = drop_missing(df, [text_col], empty_is_missing=True)
     kept = exact_dedupe(kept, text_col, order)
     kept = min_words(strip_boilerplate(kept, text_col), text_col, n_words)
+    if near:
+        kept = drop_near_duplicates(kept, order, text_col, stop_words=stop_words)
     return strip_links(kept, text_col) if links else kept
 
 
 def cleaning_report(df: DataFrame, text_col: str, n_words: int = MIN_WORDS,
-                    empty_is_missing: bool = True) -> DataFrame:
+                    empty_is_missing: bool = True, near_order: str | None = None,
+                    stop_words: Sequence[str] | None = None) -> DataFrame:
     """Rows left after each step, as ``(step_no, step, n_rows)``, from one pass.
 
     Whether a text is long enough depends on the text alone, so one aggregate
-    per distinct text carries all counts.
+    per distinct text carries all counts.  With ``near_order``, the column that tells
+    which article comes first, the near duplicates are dropped and counted too.
     """
     text = F.col(text_col)
     if empty_is_missing:
@@ -132,6 +139,10 @@ def cleaning_report(df: DataFrame, text_col: str, n_words: int = MIN_WORDS,
         F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("with_text"),
         F.count("key").alias("distinct_text"),
         F.count(F.when(present & F.col("long_enough"), 1)).alias("long_enough"))
-    return totals.selectExpr(
-        "stack(4, 1, 'start', start, 2, 'drop_missing', with_text, "
-        "3, 'exact_dedupe', distinct_text, 4, 'min_words', long_enough) AS (step_no, step, n_rows)")
+    steps = "1, 'start', start, 2, 'drop_missing', with_text, 3, 'exact_dedupe', distinct_text, 4, 'min_words', long_enough"
+    report = totals.selectExpr(f"stack(4, {steps}) AS (step_no, step, n_rows)")
+    if near_order is None:
+        return report
+    left = clean_articles(df, text_col, near_order, n_words, near=True, stop_words=stop_words)
+    return report.unionByName(left.agg(F.lit(5).alias("step_no"), F.lit("near_duplicates").alias("step"),
+                                       F.count(F.lit(1)).alias("n_rows")))

@@ -91,14 +91,18 @@ def s4(spark, d):
     return tb.read_table(spark, path, "series_id string, n bigint, top double", "json")
 
 
-@query("s5_hand_off", v.ctes("rate") + "SELECT obs_date, level FROM rate")
+@query("s5_hand_off", v.ctes("aligned") + """
+    SELECT coalesce(adjusted_date, obs_date) AS adjusted_date, ingest_id, level
+    FROM aligned FULL JOIN rate ON adjusted_date = obs_date""")
 def s5(spark, d):
     path = scratch_path(spark, "hand-off")
     rates = v.rate(spark, d)
     calendar = al.trading_calendar(rates)
     aligned = al.align_to_calendar(v.news(spark, d), calendar).select("ingest_id", "adjusted_date")
     tb.hand_off(aligned, rates.select("obs_date", "level"), path)
-    return tb.read_table(spark, f"{path}/rate", "obs_date date, level double", "parquet")
+    articles = tb.read_table(spark, f"{path}/articles", "ingest_id bigint, adjusted_date date", "parquet")
+    back = tb.read_table(spark, f"{path}/rate", "obs_date date, level double", "parquet")
+    return articles.join(back.withColumnRenamed("obs_date", "adjusted_date"), "adjusted_date", "full")
 
 
 # -- cleaning ------------------------------------------------------------------
@@ -189,26 +193,25 @@ def c8(spark, d):
     return kept.select("ingest_id", tx.word_count(F.col("full_text")).cast("bigint").alias("n_words"))
 
 
-def near_dup_sql(stop_words, max_features, threshold, select):
+def near_dup_ctes(stop_words, max_features, threshold, documents="documents"):
+    """``near(j)``: the later ids of all near pairs of ``documents`` (doc_id, text)."""
     return f"""
-    WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'))
-                 AS term FROM documents),
+    tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'))
+                 AS term FROM {documents}),
     cnt AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term NOT IN ({v.sql_list(stop_words)})
             GROUP BY 1, 2),
     voc AS (SELECT term, sum(tf) AS total, count(*) AS df FROM cnt GROUP BY 1
             ORDER BY total DESC, term LIMIT {max_features}),
-    raw AS (SELECT doc_id, term, tf * (ln((1.0 + (SELECT count(*) FROM documents))
+    raw AS (SELECT doc_id, term, tf * (ln((1.0 + (SELECT count(*) FROM {documents}))
                 / (1.0 + df)) + 1) AS w FROM cnt JOIN voc USING (term)),
     wts AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM raw),
     near AS (SELECT DISTINCT j FROM (SELECT a.doc_id AS i, b.doc_id AS j, sum(a.w * b.w) AS c
         FROM wts a JOIN wts b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2)
-        WHERE c > CAST({threshold} AS DOUBLE))
-    {select}"""
+        WHERE c > CAST({threshold} AS DOUBLE))"""
 
 
-@query("c9_near_duplicates", near_dup_sql(
-    v.STOP_WORDS, 5000, 0.9,
-    "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT j FROM near)"))
+@query("c9_near_duplicates", "WITH " + near_dup_ctes(v.STOP_WORDS, 5000, 0.9) + """
+    SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT j FROM near)""")
 def c9(spark, d):
     docs = tb.spread(v.table(spark, d, "documents"), "doc_id")
     return nd.drop_near_duplicates(docs, "doc_id", "text", stop_words=v.STOP_WORDS).select(
@@ -232,6 +235,20 @@ def c11(spark, d):
     return cl.cleaning_report(v.news_dirty(spark, d), "full_text")
 
 
+@query("c11_report_with_near_step", v.ctes("news_dirty", tail=_DEDUPED + ", " + _STRIPPED + """,
+    long_enough AS (SELECT ingest_id AS doc_id, full_text AS text FROM stripped
+                    WHERE len(regexp_extract_all(full_text, '\\S+')) >= 30), """
+    + near_dup_ctes(v.STOP_WORDS, 5000, 0.9, "long_enough")) + """
+    SELECT 1 AS step_no, 'start' AS step, (SELECT count(*) FROM news_dirty) AS n_rows
+    UNION ALL SELECT 2, 'drop_missing', (SELECT count(*) FROM news_dirty WHERE full_text <> '')
+    UNION ALL SELECT 3, 'exact_dedupe', (SELECT count(*) FROM deduped)
+    UNION ALL SELECT 4, 'min_words', (SELECT count(*) FROM long_enough)
+    UNION ALL SELECT 5, 'near_duplicates', (SELECT count(*) FROM long_enough
+        WHERE doc_id NOT IN (SELECT j FROM near))""")
+def c11_near(spark, d):
+    return cl.cleaning_report(v.news_dirty(spark, d), "full_text", near_order="ingest_id", stop_words=v.STOP_WORDS)
+
+
 @query("clean_articles", v.ctes("news_dirty", tail=_DEDUPED + ", " + _STRIPPED) + """
     SELECT ingest_id, full_text FROM stripped
     WHERE len(regexp_extract_all(full_text, '\\S+')) >= 30""")
