@@ -28,6 +28,8 @@ SAMPLE, CHILDREN, LEAF = 20_000, 8, 40
 BUCKET, VECTORS, QUERIES = 64, 4096, 256
 #: Queries that calibrate, and the recall their visits are widened to.
 CALIBRATION, RECALL = 256, 0.96
+#: Blocks of queries whose best rows a task merges before it passes them on.
+MERGED = 256
 
 
 class Tree:
@@ -170,8 +172,9 @@ def _queries(asking: DataFrame, size: int, tree: Tree, visits: int) -> DataFrame
 
 
 def _search(queries: DataFrame, blocks: DataFrame, tree: Tree, k: int) -> DataFrame:
-    """(query, key, weight, leaf, score): the best k + 1 of each query in each block it visits."""
+    """(query, key, weight, leaf, score): the best k + 1 of each query among the blocks a task has of those it visits."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda name, i=i: batch.column(name)[i].as_py()
@@ -192,13 +195,32 @@ def _search(queries: DataFrame, blocks: DataFrame, tree: Tree, k: int) -> DataFr
                 row, col = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
                 if len(row):
                     exact = (q[row] * x[col]).sum(axis=1)  # one order of summing for every pair
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(asking[row]), pa.array(keys[col]), pa.array(ids[col]), pa.array(leaf[col]), pa.array(exact)],
-                        ["query", "key", "weight", "leaf", "score"])
+                    found = asking[row], keys[col], ids[col], leaf[col], exact
+                    before = held.get(get("qkeys"))
+                    held[get("qkeys")] = _best(found if before is None else [
+                        np.concatenate(pair) for pair in zip(before, found)], k + 1)
+                if len(held) >= MERGED:
+                    yield from map(_found, held.values())
+                    held = {}
+        yield from map(_found, held.values())
 
     return queries.join(blocks, "grp").mapInArrow(work, "query long, key long, weight long, leaf long, score double")
 
 
+def _best(found, most: int) -> tuple:
+    """Of (query, key, id, leaf, score) arrays, the best rows of each query."""
+    query, _, ids, _, score = found
+    order = np.lexsort((ids, -score, query))
+    first = np.r_[True, query[order][1:] != query[order][:-1]]
+    start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    kept = order[np.arange(len(order)) - start < most]
+    return tuple(x[kept] for x in found)
+
+
+def _found(found: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query", "key", "weight", "leaf", "score"])
+
+
 def _top(found: DataFrame, most: int, then: str = "weight") -> DataFrame:
     """The best rows of each query; ``weight`` is the smallest id of a vector."""
     return found.withColumn("nth", F.row_number().over(
