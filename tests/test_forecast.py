@@ -229,6 +229,34 @@ def test_trees(spark, panel):
     assert sum(r["importance"] for r in table.collect()) == pytest.approx(1.0)
 
 
+def test_tree_queries_take_the_whole_grids_and_all_predictors(spark, monkeypatch):
+    import datetime as dt
+
+    from workload import models as m
+    days = [(dt.date(2024, 1, 1) + dt.timedelta(i), float(i), 1.0, 2.0, 3) for i in range(20)]
+    made = spark.createDataFrame(days, "obs_date date, title_lm_pos_mean double, text_svd_0 double, text_svd_1 double, news_count int")
+    rates = spark.createDataFrame([("ALL", x[0], 100.0 + i * i % 7) for i, x in enumerate(days)],
+                                  "series_id string, obs_date date, level double")
+    monkeypatch.setattr(m, "_daily_features", lambda s, d: made)
+    monkeypatch.setattr(m.v, "rate", lambda s, d: rates)
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(panel, columns, *args, **kwargs):
+        asked.append((sorted(columns), args[0] if args else kwargs))
+        raise Stop
+
+    for name in ("fit_trees", "grid_search", "ablation"):
+        monkeypatch.setattr(m.tr, name, stop)
+    for run in (m.m12, m.m13, m.m14, m.m15, m.m16):
+        with pytest.raises(Stop):
+            run(spark, "unused")
+    names = ["diff_lag1", "text_svd_0", "text_svd_1", "title_lm_pos_mean"]
+    assert asked == [(names, x) for x in (tr.FINAL, tr.SMALL_GRID, tr.WIDE_GRID, tr.FINAL, tr.FINAL)]
+
+
 def test_families(spark):
     assert tr.families(["diff_lag1", "a", "b"]) == {
         "price": ["diff_lag1"], "news": ["a", "b"], "price+news": ["diff_lag1", "a", "b"]}

@@ -7,12 +7,14 @@ usual gradient boosting grid, the fitted numbers are Spark's own.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerpress.operators.forecast import TARGET, as_predictions
@@ -52,24 +54,46 @@ def predict(model: GBTRegressionModel, panel: DataFrame, columns: Sequence[str],
     return as_predictions(scored, name, F.col("prediction"), splits)
 
 
+def side_by_side(spark: SparkSession, tasks: Sequence[Callable]) -> list:
+    """Results of independent tasks in their order; as many at a time as the session has cores."""
+    if not tasks:
+        return []
+    with ThreadPool(min(len(tasks), spark.sparkContext.defaultParallelism)) as pool:
+        return pool.map(lambda run: run(), [inheritable_thread_target(spark)(t) for t in tasks], chunksize=1)
+
+
 def grid_search(panel: DataFrame, columns: Sequence[str], grid: Mapping[str, Sequence] = SMALL_GRID,
                 seed: int = SEED) -> Grid:
     """Fit on train, compare by validation error: a chronological split, never a random one.
 
     A model of n trees is the start of one with more, so each learning rate and
-    depth is fitted once with the most trees and scored at every tree count.
+    depth is fitted once with the most trees and scored at every tree count; these fits run side by side.
     """
-    train, val = only_splits(panel, "train"), assemble(only_splits(panel, "val"), columns)
-    val = val.select(FEATURES, F.col(TARGET).cast("double").alias(TARGET))
-    scores = []
-    for rate, depth in itertools.product(grid["learning_rate"], grid["max_depth"]):
+    return _searches(panel, [columns], grid, seed)[0]
+
+
+def _searches(panel: DataFrame, sets: Sequence[Sequence[str]], grid: Mapping[str, Sequence], seed: int) -> list[Grid]:
+    """The grid search of each set of columns, all their fits side by side."""
+    train, val = only_splits(panel, "train"), only_splits(panel, "val")
+
+    def errors(columns, rate, depth):
         model = fit_trees(train, columns, max(grid["n_estimators"]), rate, depth, seed)
-        errors = model.evaluateEachIteration(val, "squared")
+        rows = assemble(val, columns).select(FEATURES, F.col(TARGET).cast("double").alias(TARGET))
+        return model.evaluateEachIteration(rows, "squared")
+
+    points = [(i, r, d) for i in range(len(sets)) for r, d in itertools.product(grid["learning_rate"], grid["max_depth"])]
+    # The deepest trees take longest and start first.
+    order = sorted(points, key=lambda x: -x[2])
+    found = dict(zip(order, side_by_side(panel.sparkSession, [
+        lambda i=i, r=r, d=d: errors(sets[i], r, d) for i, r, d in order])))
+    scores = [[] for _ in sets]
+    for i, rate, depth in points:
         for n in grid["n_estimators"]:
-            scores.append({"n_estimators": n, "learning_rate": rate, "max_depth": depth,
-                           "rmse": float(errors[min(n, len(errors)) - 1]) ** 0.5})
-    best = min(scores, key=lambda s: (s["rmse"], s["max_depth"], s["n_estimators"]))
-    return Grid(scores, {k: best[k] for k in ("n_estimators", "learning_rate", "max_depth")})
+            of = found[i, rate, depth]
+            scores[i].append({"n_estimators": n, "learning_rate": rate, "max_depth": depth,
+                              "rmse": float(of[min(n, len(of)) - 1]) ** 0.5})
+    best = [min(x, key=lambda s: (s["rmse"], s["max_depth"], s["n_estimators"])) for x in scores]
+    return [Grid(x, {k: y[k] for k in ("n_estimators", "learning_rate", "max_depth")}) for x, y in zip(scores, best)]
 
 
 def families(columns: Sequence[str]) -> dict[str, list[str]]:
@@ -104,12 +128,13 @@ def ablation(panel: DataFrame, columns: Sequence[str], grid: Mapping[str, Sequen
     Validation rows are predicted by a model of the training rows, test rows by
     one refitted on training and validation rows.
     """
-    out, params, model = None, {}, None
-    for family, names in families(columns).items():
-        best = grid_search(panel, names, grid, seed).best
-        params[family] = best
-        for fit_on, split in ((("train",), "val"), (("train", "val"), "test")):
-            model = fit_trees(only_splits(panel, *fit_on), names, **best, seed=seed)
-            part = predict(model, panel, names, f"trees ({family})", [split])
-            out = part if out is None else out.unionByName(part)
-    return out, params, model
+    of = families(columns)
+    params = {f: g.best for f, g in zip(of, _searches(panel, list(of.values()), grid, seed))}
+    jobs = [(f, fit_on, split) for f in of for fit_on, split in ((("train",), "val"), (("train", "val"), "test"))]
+    models = side_by_side(panel.sparkSession, [
+        lambda f=f, on=on: fit_trees(only_splits(panel, *on), of[f], **params[f], seed=seed) for f, on, _ in jobs])
+    out = None
+    for (family, _, split), model in zip(jobs, models):
+        part = predict(model, panel, of[family], f"trees ({family})", [split])
+        out = part if out is None else out.unionByName(part)
+    return out, params, models[-1]

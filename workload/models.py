@@ -339,27 +339,22 @@ def m11_exog(spark, d):
     return v.rounded(fc.expanding_refit(scaled, 1, 1, _EXOG), digits=3)
 
 
-#: A smaller grid than the operator's default, to keep the number of Spark jobs down.
-QUICK_GRID = {"n_estimators": (4, 8), "learning_rate": (0.1,), "max_depth": (2, 3)}
-_TREE_FEATURES = [pn.AR_LAG, "n_chars_mean", "n_chars_max"]
-
-
 def _tree_panel(spark, d):
-    """One series with the light features, written once for the many fits."""
-    from workload.features import light_features
-    return write_through(pn.build_panel(v.rate(spark, d), light_features(spark, d)), "tree-panel")
+    """One series with scores and text vectors, written once for the many fits, and its predictors."""
+    data = write_through(pn.build_panel(v.rate(spark, d), _daily_features(spark, d)), "tree-panel")
+    return data, pn.model_columns(data.columns)
 
 
 @query("m12_boosted_trees")
 def m12(spark, d):
-    data = _tree_panel(spark, d)
-    model = tr.fit_trees(pn.only_splits(data, "train"), _TREE_FEATURES, 8, 0.1, 3)
-    return v.rounded(tr.predict(model, data, _TREE_FEATURES, "trees", ["val"]), digits=4)
+    data, names = _tree_panel(spark, d)
+    model = tr.fit_trees(pn.only_splits(data, "train"), names, **tr.FINAL)
+    return v.rounded(tr.predict(model, data, names, "trees", ["val"]), digits=4)
 
 
 @query("m13_grid_search")
 def m13(spark, d):
-    grid = tr.grid_search(_tree_panel(spark, d), _TREE_FEATURES, QUICK_GRID)
+    grid = tr.grid_search(*_tree_panel(spark, d), tr.SMALL_GRID)
     return v.rounded(spark.createDataFrame(
         [tuple(s.values()) for s in grid.scores],
         "n_estimators int, learning_rate double, max_depth int, rmse double"), digits=4)
@@ -367,23 +362,22 @@ def m13(spark, d):
 
 @query("m14_feature_ablation")
 def m14(spark, d):
-    grid = {"n_estimators": (4,), "learning_rate": (0.1,), "max_depth": (2,)}
-    out, _, _ = tr.ablation(_tree_panel(spark, d), _TREE_FEATURES, grid)
+    out, _, _ = tr.ablation(*_tree_panel(spark, d), tr.WIDE_GRID)
     return ev.metric_table(out)
 
 
 @query("m15_refit_for_test")
 def m15(spark, d):
-    data = _tree_panel(spark, d)
-    model = tr.fit_trees(pn.only_splits(data, "train", "val"), _TREE_FEATURES, 8, 0.1, 3)
-    return v.rounded(tr.predict(model, data, _TREE_FEATURES, "trees", ["test"]), digits=4)
+    data, names = _tree_panel(spark, d)
+    model = tr.fit_trees(pn.only_splits(data, "train", "val"), names, **tr.FINAL)
+    return v.rounded(tr.predict(model, data, names, "trees", ["test"]), digits=4)
 
 
 @query("m16_importances")
 def m16(spark, d):
-    data = _tree_panel(spark, d)
-    model = tr.fit_trees(pn.only_splits(data, "train"), _TREE_FEATURES, 8, 0.1, 3)
-    return v.rounded(tr.importances(model, data, _TREE_FEATURES, 10))
+    data, names = _tree_panel(spark, d)
+    model = tr.fit_trees(pn.only_splits(data, "train"), names, **tr.FINAL)
+    return v.rounded(tr.importances(model, data, names))
 
 
 @query("m17_importance_by_family", SCORED_PANEL_SQL + ", " + long_sql(
@@ -499,13 +493,9 @@ def daily_features(spark, d):
 
 @query("experiment_metrics")
 def experiment_metrics(spark, d):
-    """Every model of the comparison on a panel of scored news, one metric row each.
-
-    The trees take one parameter set instead of the operator's grid, as each set costs hundreds of Spark jobs.
-    """
+    """Every model of the comparison on a panel of scored news and text vectors, one metric row each."""
     from tickerpress.plans.experiment import run_experiment
-    grid = {"n_estimators": (10,), "learning_rate": (0.1,), "max_depth": (2,)}
-    return run_experiment(scored_panel(spark, d), _EXOG, grid=grid).metrics
+    return run_experiment(_tree_panel(spark, d)[0], _EXOG).metrics
 
 
 def _evaluation(spark, d, trees):
