@@ -41,6 +41,19 @@ def test_main_text_without_an_article_element():
     assert html.main_text(page) == (words * 3).strip() + " tiny " + (words * 2).strip()
 
 
+def test_main_text_split_over_sibling_containers():
+    first, last = "a sentence of the first part, " * 40, "a sentence of the end, " * 4
+    long, short = f"<p>{first}</p>" * 3, f"<p>{last}</p>"
+    want = " ".join([first.strip()] * 3 + [last.strip()])
+    nav = "<nav><a href=1>one</a></nav>"
+    for page in (f"<body>{nav}<div id=c><div>{long}</div><div>{short}</div></div></body>",
+                 f"<body>{nav}<main><article>{long}</article><article>{short}</article></main></body>",
+                 f"<body>{nav}<article>{long}</article><article>{short}</article></body>",
+                 f"<body><main>{nav}<article>{long}</article><aside>x</aside><article>{short}</article></main></body>",
+                 f"<body>{nav}<main><article>{long}</article>{short}</main></body>"):
+        assert html.main_text(page) == want
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("just text", "just text"), ("<p>a<p>b</b></div>", "a b"), ("<nav>x</nav>", ""), ("<", "<"),
     ("<article><h1>T</h1><p>x", "T x"), ("<p>1 &lt; 2 &amp;amp; 3", "1 < 2 &amp; 3"), ("<!-- a --><p>b", "b"),

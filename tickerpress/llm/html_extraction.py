@@ -4,15 +4,18 @@ The standard library's parser streams its events into lines, one for each block
 the page.  A line has a text-to-tag ratio: characters outside links for each
 tag.  The ratios, smoothed with a Gaussian along the page, are clustered in two by a
 threshold; lines above it are content.  The content region is the innermost
-container that holds nearly all of the content lines' text, and all its lines
-are the main text, short ones too, but for blocks that mark themselves as something
-else (menus, headers, footers, sidebars, notices, adverts, forms, comments).
+container that holds all of the content lines, or one further out if that adds
+neither blocks set apart nor lists of links; all its lines are the main text, short
+ones too, but for blocks that mark themselves as something else (menus, headers,
+footers, sidebars, notices, adverts, forms, comments).  Where article or main elements
+hold nearly all of the content, these alone are such containers, and if none holds all
+content inside them, the region is all of them that hold content or nothing but text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 #: Smoothing of the ratios, in lines.
 SIGMA = 1.0
-#: Share of the content lines' text that the content region holds.
+#: Share of the content lines' text that article and main elements hold to be the content region.
 HELD = 0.9
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -203,6 +206,26 @@ def threshold(values: np.ndarray) -> float:
     return (v[cut] + v[cut + 1]) / 2
 
 
+def _is_links(line: Line) -> bool:
+    """More than half of the line's text is links."""
+    return line.link_chars * 2 > len(line.text)
+
+
+def _plain(lines: list[Line]) -> bool:
+    return not any(x.apart or _is_links(x) for x in lines)
+
+
+def _widest(region: int, lines: list[Line], kinds: dict[int, str], tags: Collection[str]) -> int:
+    """The outermost container of ``tags`` around ``region`` that adds plain lines only."""
+    path = next(x.region for x in lines if region in x.region)
+    for r in reversed(path[:path.index(region)]):
+        if kinds[r] in tags:
+            if not _plain([x for x in lines if r in x.region and region not in x.region]):
+                break
+            region = r
+    return region
+
+
 def main_text(html: str | None) -> str:
     """The article's text; blocks joined by a space.  Empty for null, empty or text-free pages."""
     lines, kinds = page_lines(html or "")
@@ -212,20 +235,29 @@ def main_text(html: str | None) -> str:
     smooth = smoothed_ratios(lines)
     cut = threshold(smooth)
     content = [x for x, v in zip(lines, smooth) if v >= cut and not x.apart] or own
-    total, weight = 0, {}
-    for x in content:
-        total += len(x.text)
-        for r in x.region:
-            weight[r] = weight.get(r, 0) + len(x.text)
-    holds = [r for r, w in weight.items() if w >= HELD * total]
-    named = [r for r in holds if kinds[r] in ("article", "main")]
-    # Regions are numbered in page order, so the last one of a chain is the innermost.
-    region = max(named or holds, default=None)
+    # A list of links beside a long paragraph is lifted by it; it does not widen the region.
+    content = [x for x in content if not _is_links(x)] or content
+    named = [tuple(r for r in x.region if kinds[r] in ("article", "main")) for x in content]
+    if sum(len(x.text) for x, n in zip(content, named) if n) >= HELD * sum(len(x.text) for x in content):
+        named = [n for n in named if n]
+        # Regions are numbered in page order, so the last one of a chain is the innermost.
+        whole = set.intersection(*map(set, named))
+        if whole:
+            chosen = {_widest(max(whole), lines, kinds, ("article", "main"))}
+        else:
+            chosen = {n[0] for n in named}
+        around = {r for x in lines if not chosen.isdisjoint(x.region) for r in x.region}
+        other = {r for x in lines for r in x.region if kinds[r] in ("article", "main")} - around
+        chosen |= {r for r in other if _plain([x for x in lines if r in x.region])}
+        return " ".join(x.text for x in lines if not x.apart and not chosen.isdisjoint(x.region))
+    region = max(set.intersection(*(set(x.region) for x in content)), default=None)
+    if region is not None:
+        region = _widest(region, lines, kinds, _REGION - {"body"})
     if region is None or kinds[region] == "body":
         # No container: from the first content line to the last, without lists of links.
         kept = {id(x) for x in content}
         at = [i for i, x in enumerate(lines) if id(x) in kept]
-        inside = [x for x in lines[at[0]:at[-1] + 1] if x.link_chars * 2 <= len(x.text)]
+        inside = [x for x in lines[at[0]:at[-1] + 1] if not _is_links(x)]
     else:
         inside = [x for x in lines if region in x.region]
     return " ".join(x.text for x in inside if not x.apart)
