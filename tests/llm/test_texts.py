@@ -54,6 +54,14 @@ def test_main_text_split_over_sibling_containers():
         assert html.main_text(page) == want
 
 
+def test_main_text_directly_in_body():
+    words = "x" * 300
+    assert html.main_text(f"<body><h1>Title</h1><p>{words}</p><p>{words}</p>") == f"Title {words} {words}"
+    page = (f"<body><ul><li><a href=1>one</a><li><a href=2>two</a></ul><p>Lead.</p><p>{words}</p><p>{words}</p>"
+            "<p>See <a href=3>this long title of a book</a> of it.</p><p>End.</p><p><a href=4>a</a> | <a href=5>b</a></p>")
+    assert html.main_text(page) == f"Lead. {words} {words} See this long title of a book of it. End."
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("just text", "just text"), ("<p>a<p>b</b></div>", "a b"), ("<nav>x</nav>", ""), ("<", "<"),
     ("<article><h1>T</h1><p>x", "T x"), ("<p>1 &lt; 2 &amp;amp; 3", "1 < 2 &amp; 3"), ("<!-- a --><p>b", "b"),

@@ -10,6 +10,8 @@ ones too, but for blocks that mark themselves as something else (menus, headers,
 footers, sidebars, notices, adverts, forms, comments).  Where article or main elements
 hold nearly all of the content, these alone are such containers, and if none holds all
 content inside them, the region is all of them that hold content or nothing but text.
+On a page without such a container every line counts that is neither set apart nor a
+list of links.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
                    "nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _REGION = frozenset("article main section div td body".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks of running text; one of them is a list of links only if it is nothing but several links.
+_PROSE = _HEADING | {"p", "blockquote", "pre"}
 _APART = frozenset("nav aside footer form menu dialog".split())
 _APART_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar "
                          "form".split())
@@ -61,6 +65,8 @@ class Line:
     text: str
     tags: int
     link_chars: int
+    links_only: bool
+    prose: bool
     apart: bool
     region: tuple[int, ...]
 
@@ -85,7 +91,8 @@ class _Lines(HTMLParser):
         self.open: list[_Open] = []
         self.kinds: dict[int, str] = {}
         self.parts: list[str] = []
-        self.tags = self.links = self.in_link = 0
+        self.tags = self.links = self.link_count = self.in_link = 0
+        self.words = False
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -104,6 +111,7 @@ class _Lines(HTMLParser):
         header = above.header or tag == "header"
         self.open.append(_Open(tag, above.silent or tag in _SILENT, above.apart or _is_apart(tag, attrs), header, region))
         self.in_link += tag == "a"
+        self.link_count += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -128,6 +136,8 @@ class _Lines(HTMLParser):
         self.parts.append(data)
         if self.in_link:
             self.links += len(data.strip())
+        elif not self.words:
+            self.words = any(map(str.isalnum, data))
 
     def finish(self) -> list[Line]:
         self.close()
@@ -154,10 +164,11 @@ class _Lines(HTMLParser):
             # Of a header, the headings alone belong to an article.
             header = here.header and not (any(o.tag in ("article", "main") for o in self.open)
                                           and any(o.tag in _HEADING for o in self.open))
-            self.lines.append(Line(text, self.tags, self.links, here.apart or header,
+            prose = any(o.tag in _PROSE for o in self.open)
+            self.lines.append(Line(text, self.tags, self.links, self.link_count > 1 and not self.words, prose, here.apart or header,
                                    tuple(o.region for o in self.open if o.region is not None)))
             self.tags = 0
-        self.parts, self.links = [], 0
+        self.parts, self.links, self.link_count, self.words = [], 0, 0, False
 
 
 def _is_apart(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -207,8 +218,8 @@ def threshold(values: np.ndarray) -> float:
 
 
 def _is_links(line: Line) -> bool:
-    """More than half of the line's text is links."""
-    return line.link_chars * 2 > len(line.text)
+    """More than half of the line's text is links; of running text, all of it, and several."""
+    return line.links_only if line.prose else line.link_chars * 2 > len(line.text)
 
 
 def _plain(lines: list[Line]) -> bool:
@@ -254,10 +265,7 @@ def main_text(html: str | None) -> str:
     if region is not None:
         region = _widest(region, lines, kinds, _REGION - {"body"})
     if region is None or kinds[region] == "body":
-        # No container: from the first content line to the last, without lists of links.
-        kept = {id(x) for x in content}
-        at = [i for i, x in enumerate(lines) if id(x) in kept]
-        inside = [x for x in lines[at[0]:at[-1] + 1] if not _is_links(x)]
+        inside = [x for x in lines if not _is_links(x)]
     else:
         inside = [x for x in lines if region in x.region]
     return " ".join(x.text for x in inside if not x.apart)
