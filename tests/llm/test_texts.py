@@ -62,6 +62,23 @@ def test_main_text_directly_in_body():
     assert html.main_text(page) == f"Lead. {words} {words} See this long title of a book of it. End."
 
 
+def test_head_without_an_end_tag():
+    for start in ("<body>", "<body><div>", "<p>", ""):
+        assert html.main_text(f"<html><head><title>T</title><meta name=a><script>x</script>{start}some text") == "some text"
+
+
+def test_class_words_inside_an_article():
+    words = "some words of the text that go on and on for a while " * 5
+    text = words.strip()
+    assert html.main_text(f"<body><article><p>{words}</p><section id='discussion'><p>{words}</p></section>") == f"{text} {text}"
+    assert html.main_text(f"<body><article><div class='widget'><h1>Title</h1><p>{words}</p></div></article>") == f"Title {text}"
+    form = "<form><label>Mail</label><input></form>"
+    assert html.main_text(f"<body><article><div class='widget'><p>{words}</p>{form}<p>{words}</p></div></article>") == f"{text} {text}"
+    for block in ("<div class=related><p><a href=1>one</a> <a href=2>two</a></p></div>", "<div class=share><b>Share</b></div>",
+                  f"<div class=widget><p>{words}</p><input></div>"):
+        assert html.main_text(f"<body><article><p>{words}</p>{block}<p>{words}</p></article>") == f"{text} {text}"
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("just text", "just text"), ("<p>a<p>b</b></div>", "a b"), ("<nav>x</nav>", ""), ("<", "<"),
     ("<article><h1>T</h1><p>x", "T x"), ("<p>1 &lt; 2 &amp;amp; 3", "1 < 2 &amp; 3"), ("<!-- a --><p>b", "b"),

@@ -52,6 +52,15 @@ _APART_WORDS = frozenset(
     "menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments commentlist respond replies "
     "reply disqus discussion share sharing social related recommended recommendations widget widgets pagination pager "
     "skip copyright login signup".split())
+#: Of these, the words that also name parts of an article; inside one the block's own text decides.
+_MAYBE_APART_WORDS = frozenset(
+    "notice notices alert modal popup overlay banner promo promotion sidebar menu nav navbar navigation masthead footer "
+    "discussion share sharing social related recommended recommendations widget widgets skip copyright".split())
+#: A block below this share of its article's text-to-tag ratio is far below it.
+FAR_BELOW = 1 / 3
+_FORM_PARTS = frozenset("form input select textarea button".split())
+#: Any other tag, or text, ends a head whose end tag was left out.
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
 #: A start tag of the key closes an open one of these, as the end tag may be left out.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
            "th": {"td", "th"}}
@@ -69,6 +78,15 @@ class Line:
     prose: bool
     apart: bool
     region: tuple[int, ...]
+    marks: tuple[int, ...] = ()
+
+
+@dataclass
+class _Mark:
+    """A block inside an article that its class or id may set apart."""
+
+    home: int
+    form: bool = False
 
 
 @dataclass
@@ -78,6 +96,7 @@ class _Open:
     apart: bool
     header: bool = False
     region: int | None = None
+    mark: int | None = None
 
 
 @dataclass
@@ -90,15 +109,21 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[_Open] = []
         self.kinds: dict[int, str] = {}
+        self.marks: list[_Mark] = []
         self.parts: list[str] = []
         self.tags = self.links = self.link_count = self.in_link = 0
         self.words = False
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        self._end_head(tag)
         if tag in _BLOCK:
             self._flush()
             self._close_implied(tag)
+        if tag in _FORM_PARTS:
+            for o in self.open:
+                if o.mark is not None:
+                    self.marks[o.mark].form = True
         elif tag == "br" or tag == "hr":
             self.parts.append(" ")
         if tag in _VOID:
@@ -109,7 +134,12 @@ class _Lines(HTMLParser):
             region = len(self.kinds)
             self.kinds[region] = tag
         header = above.header or tag == "header"
-        self.open.append(_Open(tag, above.silent or tag in _SILENT, above.apart or _is_apart(tag, attrs), header, region))
+        home = next((o.region for o in reversed(self.open) if o.tag in ("article", "main")), None)
+        apart, mark = _is_apart(tag, attrs, home is not None), None
+        if apart is None:
+            mark = len(self.marks)
+            self.marks.append(_Mark(home))
+        self.open.append(_Open(tag, above.silent or tag in _SILENT, above.apart or bool(apart), header, region, mark))
         self.in_link += tag == "a"
         self.link_count += tag == "a"
 
@@ -131,6 +161,8 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open and self.open[-1].tag == "head" and data.strip():
+            self._pop_to(len(self.open) - 1)
         if self.open and self.open[-1].silent:
             return
         self.parts.append(data)
@@ -142,8 +174,34 @@ class _Lines(HTMLParser):
     def finish(self) -> list[Line]:
         self.close()
         self._flush()
+        self._settle_marks()
         return self.lines
 
+    def _settle_marks(self):
+        """Set apart the marked blocks that are lists of links, forms or far below their article's ratio."""
+        held, homes = {}, {m.home: [] for m in self.marks}
+        for x in self.lines:
+            if not x.apart:
+                for r in homes.keys() & set(x.region):
+                    homes[r].append(x)
+                for number in x.marks:
+                    held.setdefault(number, []).append(x)
+        whole = {home: (_ratio(lines), sum(len(x.text) for x in lines)) for home, lines in homes.items()}
+        for number, inside in held.items():
+            mark, (ratio, most) = self.marks[number], whole[self.marks[number].home]
+            links, chars = sum(x.link_chars for x in inside), sum(len(x.text) for x in inside)
+            # A block with most of its article's text is no form, though it may have one inside.
+            if mark.form and chars * 2 < most or links * 2 > chars or _ratio(inside) < FAR_BELOW * ratio:
+                for x in inside:
+                    x.apart = True
+
+    def _end_head(self, tag):
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i].tag == "head":
+                if tag == "body" or tag not in _IN_HEAD and i == len(self.open) - 1:
+                    self._pop_to(i)
+                return
+
     def _close_implied(self, tag):
         ended = {"p"} | _CLOSES.get(tag, set())
         for i in range(len(self.open) - 1, -1, -1):
@@ -166,19 +224,30 @@ class _Lines(HTMLParser):
                                           and any(o.tag in _HEADING for o in self.open))
             prose = any(o.tag in _PROSE for o in self.open)
             self.lines.append(Line(text, self.tags, self.links, self.link_count > 1 and not self.words, prose, here.apart or header,
-                                   tuple(o.region for o in self.open if o.region is not None)))
+                                   tuple(o.region for o in self.open if o.region is not None),
+                                   tuple(o.mark for o in self.open if o.mark is not None)))
             self.tags = 0
         self.parts, self.links, self.link_count, self.words = [], 0, 0, False
 
 
-def _is_apart(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _ratio(lines: list[Line]) -> float:
+    """Characters outside links for each tag of all the lines."""
+    return sum(max(0, len(x.text) - x.link_chars) for x in lines) / max(1, sum(x.tags for x in lines))
+
+
+def _is_apart(tag: str, attrs: list[tuple[str, str | None]], in_article: bool = False) -> bool | None:
+    """Whether a block sets itself apart; None if its class or id may do so inside an article."""
     if tag in _APART:
         return True
+    apart = False
     for name, value in attrs:
         if name in ("class", "id") and value and tag not in ("body", "html", "article", "main"):
             words = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-            if not _APART_WORDS.isdisjoint(re.split(r"[^a-z]+", words)):
+            found = _APART_WORDS.intersection(re.split(r"[^a-z]+", words))
+            if found and not (in_article and found <= _MAYBE_APART_WORDS):
                 return True
+            if found:
+                apart = None
         elif name == "class" and tag == "article" and value and "comment" in value.lower():
             return True
         elif name == "hidden" or name == "aria-hidden" and value == "true":
@@ -187,7 +256,7 @@ def _is_apart(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         elif name == "style" and value and re.search(r"display\s*:\s*none", value):
             return True
-    return False
+    return apart
 
 
 def page_lines(html: str) -> tuple[list[Line], dict[int, str]]:
