@@ -178,6 +178,15 @@ def test_simhash_of_awkward_rows(spark):
 
 # ---- embeddings
 
+def test_keep_one_judges_rows_and_not_ids(spark):
+    a, b, c, d = (h.prose(60, seed) for seed in (11, 12, 13, 14))
+    rows = [(1, a), (None, a), (None, b), (None, b), (5, c), (5, d), (3, d), (7, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((r["doc_id"] or 0, r["text"] or "") for r in simhash.keep_one(docs).collect()))
+    assert left == sorted([(1, a), (0, b), (0, b), (5, c), (3, d), (7, "")])
+    assert simhash.keep_one(h.clashing(docs)).columns == h.clashing(docs).columns
+
+
 def brute_vectors(rows, cosine=0.98):
     def unit(v):
         if v is None or any(x is None or not np.isfinite(x) for x in v) or not any(v):

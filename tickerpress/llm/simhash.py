@@ -97,18 +97,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = write_through(known.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     named = write_through(known.join(roots, "root").select("print", "component_id"), "named-prints")
     return rows.join(named, "print").select(
-        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", _hex("print").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, all columns.
 
-    Rows that repeat that id stay with it; null ids stay only in a component that has no other.
+    Each row is judged by its own id and text: rows that repeat an id stay or go apart if their texts
+    differ.  Null ids stay only in a component that has no other.
     """
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
-    return rows.join(gone, rows["id"].eqNullSafe(gone["doc_id"]), "left_anti").select("row.*")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fingerprint").distinct()
+
+    @F.arrow_udf("long")
+    def print_of(texts: pa.Array) -> pa.Array:
+        parts = [fingerprint(texts.slice(at, 1000).to_pylist()) for at in range(0, len(texts), 1000)]
+        return pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64), pa.int64())
+
+    # The text of equal ids tells their rows apart; it is hashed again rather than carried through the links.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), _hex(print_of(F.col(text_col))).alias("own"))
+    same = rows["id"].eqNullSafe(gone["doc_id"]) & (rows["own"] == gone["fingerprint"])
+    return rows.join(gone, same, "left_anti").select("row.*")
+
+
+def _hex(column):
+    return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
 def links(prints: DataFrame) -> DataFrame:
