@@ -16,7 +16,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Chunks, and characters of them, in the younger half of the memory; when either is full, the older half goes.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 16_000_000
+REMEMBERED, REMEMBERED_CHARS = 600_000, 24_000_000
 #: Characters split at a time.
 SLICE = 1 << 20
 #: The characters that split patterns take for white space.
@@ -109,8 +109,9 @@ class ByteEncoder:
 
     def _unknown(self, keys: set[str]) -> set[str]:
         new = keys.difference(self.known)
-        old = new.intersection(self.older)
-        self.known.update((k, self.older[k]) for k in old)
+        # Not intersection(): that would walk the whole dictionary.
+        old = {k: self.older[k] for k in new if k in self.older}
+        self.known.update(old)
         return new.difference(old)
 
     def _encode(self, keys: set[str]) -> None:

@@ -126,17 +126,20 @@ class WordEncoder:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         self.known[""] = b""
-        new = words.difference(self.known)
-        self.known.update((w, self.older[w]) for w in new.intersection(self.older))
-        new = new.difference(self.older)
+        new = self._unknown(words)
         # Letters and the signs after them are never merged, so a word with signs needs no encoding of its own.
         parted = {w: (m[1].lower() if m[1].isascii() else m[1], m[2]) for w in new if (m := _LETTERS_SIGNS(w))}
-        wanted = {x for parts in parted.values() for x in parts}.union(new.difference(parted)).difference(self.known)
-        self.known.update((w, self.older[w]) for w in wanted.intersection(self.older))
-        self._encode(wanted.difference(self.older))
+        self._encode(self._unknown({x for parts in parted.values() for x in parts}.union(new.difference(parted))))
         find = self.known
         find.update([(w, find[a] + find[b]) for w, (a, b) in parted.items()])
 
+    def _unknown(self, words: set[str]) -> set[str]:
+        new = words.difference(self.known)
+        # Not intersection(): that would walk the whole dictionary.
+        old = {w: self.older[w] for w in new if w in self.older}
+        self.known.update(old)
+        return new.difference(old)
+
     def _encode(self, new: set[str]) -> None:
         odd = {w for w in new if any(s in w for s in self.special)}
         for w in odd:
