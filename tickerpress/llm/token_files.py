@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -103,6 +103,7 @@ def _join(planes: list[bytes], n: int, kind: str) -> np.ndarray:
 
 #: Latin letters (not the dotted capital I, whose lower case ends with a mark), then ASCII
 #: signs but for the apostrophe, which begins endings such as 's.
+_LETTERS = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+").fullmatch
 _LETTERS_SIGNS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 
@@ -111,13 +112,18 @@ class WordEncoder:
 
     For tokenizers that lower-case, and whose rules never look across a space, a line feed, or
     the seam of letters and signs: the ids of a text are then those of its words in a
-    row.  Unknown words are encoded in one call, parted by a special token.
+    row.  Unknown words are encoded in one call: words of letters alone are told apart by the ids
+    that end a word, others are parted by a special token.
     """
 
     def __init__(self, path: str, separator: str = "<|endoftext|>"):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Ids that end a word, or a run of letters.
+        self.ending = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ending[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -144,17 +150,24 @@ class WordEncoder:
         odd = {w for w in new if any(s in w for s in self.special)}
         for w in odd:
             self.known[w] = _little(self.tokenizer.encode(w, add_special_tokens=False).ids)
-        new = list(new - odd)
-        for start in range(0, len(new), 4096):
-            part = new[start:start + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(
-                [f" {self.separator} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+        plain = [w for w in new - odd if _LETTERS(w)]
+        for part, ids in self._joined(plain, " "):
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            self._remember(part, ids, np.r_[0, ends[:-1]], ends)
+        for part, ids in self._joined(list((new - odd).difference(plain)), f" {self.separator} "):
             cuts = np.flatnonzero(ids == self.separator_id)
-            starts, ends = np.r_[0, cuts + 1], np.r_[cuts, len(ids)]
-            if len(starts) != len(part):
-                raise AssertionError("a word holds the separator")
-            raw = ids.tobytes()
-            self.known.update(zip(part, [raw[4 * a:4 * b] for a, b in zip(starts.tolist(), ends.tolist())]))
+            self._remember(part, ids, np.r_[0, cuts + 1], np.r_[cuts, len(ids)])
+
+    def _joined(self, words: list[str], between: str) -> Iterator[tuple[list[str], np.ndarray]]:
+        for start in range(0, len(words), 4096):
+            part = words[start:start + 4096]
+            yield part, np.array(self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _remember(self, words: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        if len(starts) != len(words):
+            raise AssertionError("words cannot be told apart")
+        raw = ids.tobytes()
+        self.known.update(zip(words, [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -251,10 +264,13 @@ def read_documents(segments: DataFrame) -> DataFrame:
 
     found = write_through(segments.mapInPandas(read, "part int, seq int, " + DOCUMENTS.removeprefix("part int, ")),
                           "token-documents")
-    sums = found.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n")).toPandas().sort_values(["part", "seq"])
-    sums["before"] = sums["n"].cumsum() - sums["n"]
-    # One row per segment of a million ids.
-    starts = segments.sparkSession.createDataFrame(
-        sums[["part", "seq", "before"]], "part int, seq int, before long")
+    # One row per segment of a million ids; running sums inside a partition of the writer, then over its partitions.
+    sums = found.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n"))
+    totals = sums.groupBy("part").agg(F.sum("n").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("parts_before"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts, "part").select(
+        "part", "seq", (F.col("before") + F.col("parts_before")).alias("before"))
     return found.join(starts, ["part", "seq"]).select(
         "doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
