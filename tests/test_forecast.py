@@ -8,6 +8,7 @@ from tickerpress.operators import arma
 from tickerpress.operators import evaluate as ev
 from tickerpress.operators import forecast as fc
 from tickerpress.operators import trees as tr
+from tickerpress.operators import boosting as bt
 
 START = dtm.date(2000, 1, 1)
 N = 400
@@ -250,11 +251,12 @@ def test_tree_queries_take_the_whole_grids_and_all_predictors(spark, monkeypatch
 
     for name in ("fit_trees", "grid_search", "ablation"):
         monkeypatch.setattr(m.tr, name, stop)
-    for run in (m.m12, m.m13, m.m14, m.m15, m.m16):
+    for run in (m.m12, m.m13, m.m14, m.m15, m.m16, m.m17_trees):
         with pytest.raises(Stop):
             run(spark, "unused")
+    assert sum(d == "unused" for _, d in m._TREE_PANELS) == 1  # one panel for all of them
     names = ["diff_lag1", "text_svd_0", "text_svd_1", "title_lm_pos_mean"]
-    assert asked == [(names, x) for x in (tr.FINAL, tr.SMALL_GRID, tr.WIDE_GRID, tr.FINAL, tr.FINAL)]
+    assert asked == [(names, x) for x in (tr.FINAL, tr.SMALL_GRID, tr.WIDE_GRID, tr.FINAL, tr.FINAL, tr.FINAL)]
 
 
 def test_families(spark):
@@ -264,3 +266,83 @@ def test_families(spark):
                                    ("text_vader_neg_max", 0.1)], "feature string, importance double")
     assert {r["family"]: r["importance"] for r in tr.importance_by_family(table).collect()} == {
         "price": 0.5, "tfidf_svd": 0.2, "lexicon": 0.3}
+
+
+def _panel_rows(n, seed=0, missing=0.1):
+    r = np.random.default_rng(seed)
+    x = np.round(r.normal(size=(n, 4)), 1)
+    y = 2 * (x[:, 0] > 0.3) - x[:, 1] * (x[:, 2] > 0) + r.normal(scale=0.3, size=n)
+    x[r.random((n, 4)) < missing] = np.nan
+    return x, y
+
+
+def _brute_boost(x, y, n_trees, rate, depth):
+    """Boosting row by row and cut by cut, over the same cut points."""
+    edges = [np.unique(np.quantile(c[~np.isnan(c)], np.arange(1, bt.BINS) / bt.BINS, method="inverted_cdf")) for c in x.T]
+    fitted, gains = np.full(len(y), y.mean()), []
+
+    def score(g):
+        return g.sum() ** 2 / (len(g) + 1)
+
+    def split(rows, g, level):
+        best = (1e-9, None, None)
+        if level < depth:
+            for c in range(x.shape[1]):
+                for cut in edges[c]:
+                    for missing_left in (False, True):
+                        left = np.where(np.isnan(x[rows, c]), missing_left, x[rows, c] <= cut)
+                        if left.all() or not left.any():
+                            continue
+                        gain = score(g[rows][left]) + score(g[rows][~left]) - score(g[rows])
+                        if gain > best[0] * (1 + 1e-6):
+                            best = (gain, left, c)
+        if best[1] is None:
+            out[rows] = g[rows].sum() / (len(rows) + 1)
+            return
+        gains.append((best[2], best[0]))
+        split(rows[best[1]], g, level + 1)
+        split(rows[~best[1]], g, level + 1)
+
+    for _ in range(n_trees):
+        out = np.zeros(len(y))
+        split(np.arange(len(y)), y - fitted, 0)
+        fitted = fitted + rate * out
+    return fitted, gains
+
+
+def _tree_frame(spark, x, y):
+    rows = [(float(v), *[None if np.isnan(a) else float(a) for a in r]) for v, r in zip(y, x)]
+    return spark.createDataFrame(rows, "y double, a double, b double, c double, d double")
+
+
+def test_boosting_like_brute_force(spark):
+    x, y = _panel_rows(160)
+    want, gains = _brute_boost(x, y, 6, 0.3, 3)
+    forest = bt.fit_forests(_tree_frame(spark, x, y), list("abcd"), "y", [bt.Spec((0, 1, 2, 3), 6, 0.3, 3)])[0]
+    assert forest.predict(x) == pytest.approx(want)
+    mean = np.array([np.mean([g for c, g in gains if c == i] or [0]) for i in range(4)])
+    assert forest.importances() == pytest.approx(mean / mean.sum())
+
+
+def test_lockstep_over_blocks_equals_fits_one_by_one(spark, monkeypatch):
+    x, y = _panel_rows(300, 1)
+    frame = _tree_frame(spark, x, y).repartition(3).cache()
+    specs = [bt.Spec((0, 1, 2, 3), 4, 0.3, 3), bt.Spec((1, 3), 3, 0.1, 2), bt.Spec((2,), 5, 0.5, 1)]
+    apart = bt.fit_forests(frame, list("abcd"), "y", specs)
+    alone = [bt.fit_forests(frame, list("abcd"), "y", [s])[0] for s in specs]
+    monkeypatch.setattr(bt, "BLOCK", 64)
+    blocks = bt.fit_forests(frame, list("abcd"), "y", specs)
+    for s, a, b, c in zip(specs, apart, alone, blocks):
+        own = x[:, list(s.columns)]
+        assert len(a.trees) == len(c.trees) == s.n_trees
+        assert b.predict(own) == pytest.approx(a.predict(own))
+        assert c.predict(own) == pytest.approx(a.predict(own))
+
+
+def test_boosting_without_rows_values_or_splits(spark):
+    schema = "y double, a double"
+    none = bt.fit_forests(spark.createDataFrame([], schema), ["a"], "y", [bt.Spec((0,), 2, 0.1, 2)])[0]
+    assert none.trees == []
+    flat = bt.fit_forests(spark.createDataFrame([(1.0, None), (3.0, None), (None, 5.0)], schema), ["a"], "y", [bt.Spec((0,), 2, 0.5, 2)])[0]
+    assert flat.predict(np.array([[np.nan], [4.0]])) == pytest.approx([2.0, 2.0])
+    assert flat.importances().tolist() == [0.0]

@@ -29,7 +29,7 @@ class Evaluation:
 
 
 def run_evaluation(panel: DataFrame, exog: Sequence[str] = fc.EXOGENOUS,
-                   trees: Mapping[str, float] = tr.FINAL, seed: int = tr.SEED,
+                   trees: Mapping[str, float] = tr.FINAL,
                    folder: str | None = None) -> Evaluation:
     """Baselines, an expanding regression with ARMA(1, 1) errors on scaled scores, and the final trees.
 
@@ -42,7 +42,7 @@ def run_evaluation(panel: DataFrame, exog: Sequence[str] = fc.EXOGENOUS,
     exog = pn.feature_columns(panel.columns, wanted=list(exog))
     predictors = [c for c in pn.model_columns(panel.columns) if c != "news_count"]
     scaled = fc.standardise(panel, exog, history)
-    model = tr.fit_trees(pn.only_splits(panel, *history), predictors, **trees, seed=seed)
+    model = tr.fit_trees(pn.only_splits(panel, *history), predictors, **trees)
     predictions = write_through(
         fc.zero_change(panel, ("test",))
         .unionByName(fc.majority_direction(panel, ("test",), ("test",)))

@@ -27,7 +27,7 @@ class Experiment:
 
 def run_experiment(panel: DataFrame, exog: Sequence[str] = fc.EXOGENOUS,
                    orders: Sequence[tuple[int, int]] = fc.ORDERS_BY_AIC,
-                   grid: Mapping[str, Sequence] = tr.WIDE_GRID, seed: int = tr.SEED) -> Experiment:
+                   grid: Mapping[str, Sequence] = tr.WIDE_GRID) -> Experiment:
     """Baselines, lagged regressions with and without news, and trees by feature family.
 
     The panel, one row per series and day, is written once and read by every
@@ -36,7 +36,7 @@ def run_experiment(panel: DataFrame, exog: Sequence[str] = fc.EXOGENOUS,
     panel = write_through(panel, "panel")
     exog = pn.feature_columns(panel.columns, wanted=list(exog))
     predictors = pn.model_columns(panel.columns)
-    trees, params, model = tr.ablation(panel, predictors, grid, seed)
+    trees, params, model = tr.ablation(panel, predictors, grid)
     predictions = (fc.baselines(panel)
                    .unionByName(fc.rolling_best_order(panel, (), orders))
                    .unionByName(fc.rolling_best_order(panel, exog, orders))

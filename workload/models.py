@@ -339,9 +339,16 @@ def m11_exog(spark, d):
     return v.rounded(fc.expanding_refit(scaled, 1, 1, _EXOG), digits=3)
 
 
+#: (application, table folder) -> the written panel, which all tree queries of a session share.
+_TREE_PANELS: dict[tuple[str, str], DataFrame] = {}
+
+
 def _tree_panel(spark, d):
     """One series with scores and text vectors, written once for the many fits, and its predictors."""
-    data = write_through(pn.build_panel(v.rate(spark, d), _daily_features(spark, d)), "tree-panel")
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TREE_PANELS:
+        _TREE_PANELS[key] = write_through(pn.build_panel(v.rate(spark, d), _daily_features(spark, d)), "tree-panel")
+    data = _TREE_PANELS[key]
     return data, pn.model_columns(data.columns)
 
 
@@ -391,6 +398,14 @@ def m17(spark, d):
         "feature", F.round("abs_rho", 6).alias("importance")))
 
 
+@query("m17_family_of_trees")
+def m17_trees(spark, d):
+    """Families of the 20 predictors that carry the largest importances of the final trees."""
+    data, names = _tree_panel(spark, d)
+    model = tr.fit_trees(pn.only_splits(data, "train", "val"), names, **tr.FINAL)
+    return tr.importance_by_family(tr.importances(model, data, names, 20))
+
+
 @query("m18_coefficients", PANEL_SQL + _AR1 + f"""
     SELECT series_id, 'const' AS term, {v.r('a / (1 - b)', 4)} AS coef FROM ar
     UNION ALL SELECT series_id, 'ar1', {v.r('b', 4)} FROM ar""")
