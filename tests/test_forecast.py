@@ -97,6 +97,23 @@ def test_rolling_and_horizon_forecasts_against_a_loop(panel, data):
         lags, shock = [step, lags[0]], 0.0
 
 
+def test_refits_and_orders_of_one_series_are_many_groups(panel, monkeypatch):
+    one = panel.where("series_id = 'a'")
+    whole = {r["obs_date"]: r["y_hat"] for r in fc.expanding_refit(one, 1, 1, ["x"]).collect()}
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(fc, "REFITS", size)
+        got = fc.expanding_refit(one, 1, 1, ["x"]).collect()
+        assert len(got) == len(whole)
+        assert all(r["y_hat"] == pytest.approx(whole[r["obs_date"]], abs=1e-5) for r in got)
+    seen = []
+    monkeypatch.setattr(fc, "_by_series", lambda rows, exog, work, schema, units=(): seen.append((units, rows.select(*units).distinct().count())))
+    fc.fit_orders(one, fc.ORDERS_BY_AIC)
+    fc.horizon_forecast(one, fc.ORDERS_BY_RMSE)
+    monkeypatch.setattr(fc, "REFITS", 20)
+    fc.expanding_refit(one)
+    assert seen == [(("p", "q"), 9), (("p", "q"), 4), (("block",), 3)]
+
+
 def test_expanding_refit_against_refits_from_scratch(panel, data):
     out = fc.expanding_refit(panel, 1, 1, ["x"]).where("series_id = 'a'").orderBy("obs_date").collect()
     y, x = data["a"]

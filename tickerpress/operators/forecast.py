@@ -1,8 +1,8 @@
 """Baselines and regressions with ARMA errors of the daily change, per series.
 
-A series is one calendar long.  The fits iterate over its rows, so each series is
-one group of a grouped map, and many series are fitted side by side.  Rows
-whose target or regressors are missing take no part in a fit; a row that cannot be
+A series is one calendar long.  A fit iterates over the rows of a series; the unit of a grouped map is
+one fit, (series, order), or a run of refits, (series, block of days), so the orders and refits of
+a single series are spread over tasks too.  Rows whose target or regressors are missing take no part in a fit; a row that cannot be
 forecast, or comes before the fit has enough rows, has a null forecast.
 """
 
@@ -118,11 +118,20 @@ class _Series:
         return out.assign(model=model, y_hat=y_hat[due])[[SERIES, DATE, "split", "model", "y", "y_hat"]]
 
 
-def _by_series(panel: DataFrame, exog: Sequence[str], work, schema: str) -> DataFrame:
-    """``work(series)`` for every series; one group is one calendar long."""
-    rows = panel.select(F.col(SERIES).cast("string").alias(SERIES), DATE, "split",
-                        F.col(TARGET).cast("double").alias(TARGET), *[F.col(c).cast("double").alias(c) for c in exog])
-    return rows.groupBy(SERIES).applyInPandas(lambda pdf: work(_Series(pdf, exog)), schema)
+def _rows(panel: DataFrame, exog: Sequence[str], *more: str | Column) -> DataFrame:
+    return panel.select(F.col(SERIES).cast("string").alias(SERIES), DATE, "split",
+                        F.col(TARGET).cast("double").alias(TARGET), *[F.col(c).cast("double").alias(c) for c in exog], *more)
+
+
+def _by_series(rows: DataFrame, exog: Sequence[str], work, schema: str, units: Sequence[str] = ()) -> DataFrame:
+    """``work(series, *unit)`` for every series and unit; one group is at most one calendar long."""
+    return rows.groupBy(SERIES, *units).applyInPandas(lambda key, pdf: work(_Series(pdf, exog), *key[1:]), schema)
+
+
+def _by_order(panel: DataFrame, exog: Sequence[str], orders: Sequence[tuple[int, int]], work, schema: str) -> DataFrame:
+    """``work(series, p, q)`` for every series and order, each a group of its own."""
+    every = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in orders])
+    return _by_series(_rows(panel, exog, F.inline(every)), exog, work, schema, ("p", "q"))
 
 
 def _prediction_schema(panel: DataFrame) -> str:
@@ -135,15 +144,12 @@ def fit_orders(panel: DataFrame, orders: Sequence[tuple[int, int]], exog: Sequen
     """``FITS`` rows, every order fitted on the same rows of each series; too short series have a null fit."""
     skip = max(p for p, _ in orders)
 
-    def work(s: _Series) -> pd.DataFrame:
-        y, x = s.upto(fit_on)
-        out = []
-        for p, q in orders:
-            m = arma.fit(y, x, p, q, skip)
-            out.append((s.rows[SERIES].iloc[0], p, q, m.n if m else 0, list(m.values) if m else None, m.rss if m else None))
-        return pd.DataFrame(out, columns=[SERIES, "p", "q", "n", "coef", "rss"])
+    def work(s: _Series, p: int, q: int) -> pd.DataFrame:
+        m = arma.fit(*s.upto(fit_on), int(p), int(q), skip)
+        row = (s.rows[SERIES].iloc[0], p, q, m.n if m else 0, list(m.values) if m else None, m.rss if m else None)
+        return pd.DataFrame([row], columns=[SERIES, "p", "q", "n", "coef", "rss"])
 
-    return _by_series(panel, exog, work, FITS)
+    return _by_order(panel, exog, orders, work, FITS)
 
 
 def fit_arma(panel: DataFrame, p: int, q: int, exog: Sequence[str] = (),
@@ -163,7 +169,7 @@ def rolling_forecast(panel: DataFrame, p: int, q: int, exog: Sequence[str] = (),
                      model: str | None = None) -> DataFrame:
     """One step ahead with fixed coefficients, actual values entering as they arrive."""
     name = model or f"arma({p},0,{q})" + ("+news" if exog else "")
-    return _by_series(panel, exog, lambda s: s.predictions(name, splits, _rolled(s, p, q, fit_on)),
+    return _by_series(_rows(panel, exog), exog, lambda s: s.predictions(name, splits, _rolled(s, p, q, fit_on)),
                       _prediction_schema(panel))
 
 
@@ -200,18 +206,15 @@ def horizon_forecast(panel: DataFrame, orders: Sequence[tuple[int, int]], exog:
     """
     skip = max(p for p, _ in orders)
 
-    def work(s: _Series) -> pd.DataFrame:
+    def work(s: _Series, p: int, q: int) -> pd.DataFrame:
         y, x = s.upto(fit_on)
         due = np.flatnonzero((s.split == split) & np.isfinite(s.x).all(axis=1))
-        parts = []
-        for p, q in orders:
-            out, m = np.full(len(s.y), np.nan), arma.fit(y, x, p, q, skip)
-            if m and len(due):
-                out[due] = m.path(y, x, s.x[due])
-            parts.append(s.predictions(f"arma({p},0,{q})", [split], out).assign(p=p, q=q))
-        return pd.concat(parts)
+        out, m = np.full(len(s.y), np.nan), arma.fit(y, x, int(p), int(q), skip)
+        if m and len(due):
+            out[due] = m.path(y, x, s.x[due])
+        return s.predictions(f"arma({p},0,{q})", [split], out).assign(p=p, q=q)
 
-    return _by_series(panel, exog, work, _prediction_schema(panel) + ", p int, q int")
+    return _by_order(panel, exog, orders, work, _prediction_schema(panel) + ", p int, q int")
 
 
 def order_by_validation(panel: DataFrame, orders: Sequence[tuple[int, int]] = ORDERS_BY_RMSE,
@@ -236,39 +239,52 @@ def rolling_best_order(panel: DataFrame, exog: Sequence[str] = (),
     The order is chosen on the training rows.  Validation rows use coefficients
     of the training rows, test rows those of training and validation rows.
     """
-    skip, name, out = max(p for p, _ in orders), "arimax" if exog else "arima", None
+    name, out, trained = "arimax" if exog else "arima", None, None
     for fit_on, split in ((("train",), "val"), (("train", "val"), "test")):
-        # The order is invariant to the scale of the regressors.
         scaled = standardise(panel, exog, fit_on) if exog else panel
+        if trained is None:  # the order is invariant to the scale of the regressors
+            trained = best_order(order_by_aic(scaled, orders, exog)).select(F.col(SERIES).alias("of"), "p", "q")
 
-        def work(s: _Series, fit_on=fit_on, split=split) -> pd.DataFrame:
-            y, x = s.upto(["train"])
-            fits = [m for p, q in orders if (m := arma.fit(y, x, p, q, skip))]
-            if not fits:
+        def work(s: _Series, p, q, fit_on=fit_on, split=split) -> pd.DataFrame:
+            if p is None or np.isnan(p):
                 return s.predictions(name, [split], np.full(len(s.y), np.nan))
-            best = min(fits, key=lambda m: (round(m.n * np.log(max(m.rss, 1e-300) / m.n) + 2 * (m.p + m.q), 2), m.p, m.q))
-            return s.predictions(name, [split], _rolled(s, best.p, best.q, fit_on))
+            return s.predictions(name, [split], _rolled(s, int(p), int(q), fit_on))
 
-        part = _by_series(scaled, exog, work, _prediction_schema(panel))
+        rows = _rows(scaled, exog)
+        rows = rows.join(trained, F.col(SERIES).eqNullSafe(F.col("of")), "left").drop("of")
+        part = _by_series(rows, exog, work, _prediction_schema(panel), ("p", "q"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 # -- refits on expanding history ----------------------------------------------
 
+#: Days that are refitted one after another in one task.
+REFITS = 32
+
+
 def expanding_refit(panel: DataFrame, p: int = 1, q: int = 0, exog: Sequence[str] = (),
                     splits: Sequence[str] = ("test",), model: str = "expanding") -> DataFrame:
     """One step ahead, all coefficients refitted on all earlier rows at every step.
 
-    A refit starts from the last one, so it takes a step or two.
+    The days to forecast are cut into blocks of ``REFITS``; a block is a group of its own and
+    gets every row up to its last day.  Inside a block a refit starts from the last one, so it takes a step or two.
     """
-    def work(s: _Series) -> pd.DataFrame:
+    def work(s: _Series, block: int) -> pd.DataFrame:
         out, now = np.full(len(s.y), np.nan), None
         y, x = s.y[s.whole], s.x[s.whole]
-        for i in np.flatnonzero(np.isin(s.split[s.whole], list(splits))):
+        mine = s.rows["own_block"].to_numpy() == block
+        for i in np.flatnonzero(mine[s.whole]):
             now = arma.fit(y[:i], x[:i], p, q, start=now)
             if now:
                 out[s.whole[i]] = now.fitted(y[:i + 1], x[:i + 1])[-1]
-        return s.predictions(model, splits, out)
-
-    return _by_series(panel, exog, work, _prediction_schema(panel))
+        return s.predictions(model, splits, out)[mine[np.isin(s.split, list(splits))]]
+
+    due = _in_splits(splits)
+    number = F.sum(due.cast("int")).over(_series().rowsBetween(Window.unboundedPreceding, 0))
+    last = F.max("upto").over(_series(False))
+    placed = panel.withColumn("upto", F.floor(F.greatest(number - 1, F.lit(0)) / REFITS)).withColumn("last", last)
+    # A row is history of its own and all later blocks.
+    rows = _rows(placed, exog, F.when(due, F.col("upto")).otherwise(F.lit(-1)).alias("own_block"),
+                 F.explode(F.sequence("upto", "last")).alias("block"))
+    return _by_series(rows, exog, work, _prediction_schema(panel), ("block",))
