@@ -191,7 +191,8 @@ def brute_vectors(rows, cosine=0.98):
     def unit(v):
         if v is None or any(x is None or not np.isfinite(x) for x in v) or not any(v):
             return None
-        return np.array(v) / np.linalg.norm(v)
+        v = np.array(v) / np.abs(v).max()
+        return v / np.linalg.norm(v)
 
     units = [unit(r["embedding"]) for r in rows]
     n = len(rows)
@@ -222,6 +223,15 @@ def test_near_vectors_like_brute_force(spark, monkeypatch):
     assert got == brute_vectors([x for x in df.collect()])
 
 
+def test_vectors_of_other_lengths_and_large_doubles_are_linked_too(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in r.normal(size=16)], 0) for i in range(40)]
+    rows += [(100 + i, [1.0, 2.0, 3.0 + i / 1000], 0) for i in range(6)] + [(200 + i, [1e300, 1e300 * (1 + i / 100)], 0) for i in range(3)]
+    rows += [(300, [1e-300, 1e-300], 0), (301, [1e-308, 0.0], 0), (302, [7.0], 0), (303, [0.1], 0), (304, [-7.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == brute_vectors(df.collect())
+
+
 def test_vector_tables_without_links(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
     rows = [(1, None, 1), (2, [1.0, 0.0], None)]

@@ -75,14 +75,14 @@ VECTORS = "vec_id long, embedding array<float>, label int"
 
 def brute_nearest(rows, asks, k=20):
     able = [(r["vec_id"], np.array(r["embedding"], dtype=float)) for r in rows
-            if r["vec_id"] is not None and r["embedding"] and len(r["embedding"]) == 24
+            if r["vec_id"] is not None and r["embedding"]
             and all(x is not None and np.isfinite(x) for x in r["embedding"]) and any(r["embedding"])]
     out = {}
     for q, x in able:
         if asks(q):
-            found = sorted((-float(x @ y), i) for i, y in able if i != q)[:k]
+            found = sorted((-float(x @ y), i) for i, y in able if i != q and len(x) == len(y))[:k]
             out[q] = [(i, -s) for s, i in found]
-    return out
+    return {q: found for q, found in out.items() if found}  # no row without a candidate
 
 
 def vectors(spark, n, seed=2):
@@ -124,6 +124,27 @@ def test_nearest_with_a_hot_group_of_copies(spark):
     assert [i for i, _ in got[1000]] == [i for i, _ in want[1000]]  # ties go to the smaller id
 
 
+def test_vectors_of_other_lengths_and_large_doubles_are_searched_too(spark):
+    r = np.random.default_rng(3)
+    rows = vectors(spark, 200) + [(1000 + i, [float(x) for x in r.normal(size=5)], 0) for i in range(60)]
+    rows += [(2000 + i, [3.0, 4.0], 0) for i in range(3)] + [(2020, [3.0, 4.0], 0), (2040, [1e300, 1.0, 1e-300], 0), (2041, [2e-300, 5.0, 1.0], 0)]
+    schema = "vec_id long, embedding array<double>, label int"
+    got = answers(ann.nearest(spark.createDataFrame(rows, schema), F.col("vec_id") % 20 == 0))
+    want = brute_nearest([dict(zip(("vec_id", "embedding"), x)) for x in rows], lambda q: q % 20 == 0)
+    assert recall_of(got, want) >= 0.9
+    assert got[2000] == want[2000] == [(2001, 25.0), (2002, 25.0), (2020, 25.0)]
+    assert got[2040] == [(2041, 7.0)]
+
+
+def test_buckets_of_many_blocks_have_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(ann, "VECTORS", 16)
+    monkeypatch.setattr(ann, "SHARED", 2)
+    rows = vectors(spark, 900)
+    got = answers(ann.nearest(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0))
+    want = brute_nearest([dict(zip(("vec_id", "embedding"), x)) for x in rows], lambda q: q % 20 == 0)
+    assert recall_of(got, want) >= 0.93
+
+
 def test_few_or_no_candidates(spark):
     one = ann.nearest(spark.createDataFrame([(0, [1.0, 2.0], 0), (20, [2.0, 1.0], 0), (1, [1.0, 1.0], 0)], VECTORS),
                       F.col("vec_id") % 20 == 0)

@@ -111,6 +111,24 @@ def test_the_root_settles_a_large_document_against_the_small_ones():
         assert abs((out["words"] * out["p"]).sum() - (rows["words"] * rows["p"]).sum()) <= 50
 
 
+def test_a_document_that_outweighs_its_partners_keeps_the_target_where_it_can():
+    """5,000 words among 200 documents of 50, p = 0.078: the large one has to be taken now and then."""
+    rows = pd.DataFrame({"doc_id": range(201), "words": [5000] + [50] * 200, "p": [0.078] * 201})
+    target = (rows["words"] * rows["p"]).sum()
+    runs = [mixing._pivot(rows, np.random.default_rng(s), True) for s in range(600)]
+    errors = np.array([(r["words"] * r["p"]).sum() - target for r in runs])
+    assert abs(np.median(errors)) <= 50 and (np.abs(errors) <= 50).mean() > 0.6
+    assert np.mean([r.loc[r["words"] == 5000, "p"].iloc[0] for r in runs]) == pytest.approx(0.078, abs=0.035)
+
+
+def test_many_large_documents_come_near_the_target():
+    r = np.random.default_rng(1)
+    for seed in range(20):
+        rows = pd.DataFrame({"doc_id": range(200), "words": np.minimum(50 + 400 * r.pareto(1.1, 200), 4000).astype(int), "p": [0.62] * 200})
+        out = mixing._pivot(rows, np.random.default_rng(seed), True).sort_values("doc_id").reset_index(drop=True)
+        assert abs((out["words"] * (out["p"] - rows["p"])).sum()) <= 0.01 * (rows["words"] * rows["p"]).sum()
+
+
 def test_a_tree_of_several_levels_settles_all(spark, monkeypatch):
     monkeypatch.setattr(mixing, "LEAF", 4)
     monkeypatch.setattr(mixing, "FAN", 3)

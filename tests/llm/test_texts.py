@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import helpers as h
@@ -87,6 +88,32 @@ def test_main_text_of_fragments(page, text):
     assert html.main_text(page) == text
 
 
+LONG = "Words of a long paragraph that goes on and on. " * 6
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p>a</p><![foo bar]]><p>b", "a b"), ("<p>a</p><![if !IE]><p>b</p><![endif]>", "a b"), ("<p>a</p><![", "a <!["),
+    (f"<body><form id=page><h1>T</h1><p>{LONG}</p><input name=q><p>{LONG}</p></form></body>", f"T {LONG}{LONG}"),
+    (f"<body><div class='no-sidebar'><p>{LONG}</p></div></body>", LONG),
+    (f"<body><div class='has-sidebar page'><p>{LONG}</p><div class=sidebar>About us</div></div></body>", LONG),
+    (f"<body><div class='post comments-open'><p>{LONG}</p><div class=comments><p>Nice!</p></div></div></body>", LONG),
+    (f"<body><form action=login><p>{LONG}</p></form><article><p>Short.</p></article></body>", "Short."),
+    (f"<body><div class=ad><p>{LONG}</p></div><article><h1>T</h1></article></body>", "T"),
+    (f"<article><header><h1>T</h1><p>{LONG}</p><p>By X</p></header><p>{LONG}</p></article>", f"T {LONG}{LONG}")])
+def test_the_text_of_a_block_decides_whether_it_is_set_apart(page, text):
+    assert html.main_text(page) == text.strip()
+
+
+@pytest.mark.parametrize("tag", ["span", "div", "p", "form", "section class=sidebar", "b class=ad", "article"])
+def test_deep_pages_take_time_in_proportion(tag):
+    def took(n):
+        start = time.process_time()
+        html.main_text(f"<{tag}>x " * n)
+        return time.process_time() - start
+
+    assert took(64_000) < 12 * took(8_000) + 0.5
+
+
 def test_threshold_and_smoothing():
     assert 2 < html.threshold(np.array([1.0, 2.0, 30.0, 31.0, 1.5])) < 30
     lines, _ = html.page_lines("<p>" + "x" * 100 + "</p><p>y</p><p>" + "z" * 100 + "</p>")

@@ -5,7 +5,7 @@ visits leaves best bin first: a priority queue holds the nodes seen so far, by t
 product with their centres; its own leaf is visited in any case.  How many leaves to visit is calibrated: visits widen until
 queries whose neighbours were found by brute force have reached the wanted recall.
 Leaves lie in buckets, and packed blocks of queries meet packed blocks of vectors
-bucket by bucket, so a vector is sent once per block of queries, not per query.
+bucket by bucket, a few blocks to a join key, so a vector is sent once per block of queries, not per query.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerpress.llm.vectors import is_valid, matrix, pack, unpacked, usual_size
+from tickerpress.llm.vectors import is_valid, lengths, matrix, opened, pack, unpacked
 from tickerpress.session import write_through
 
 #: Distinct vectors the tree is fitted on, children of a node, sample vectors of a leaf.
 SAMPLE, CHILDREN, LEAF = 20_000, 8, 40
-#: Leaves in a bucket, and rows in a packed block of vectors or queries.
-BUCKET, VECTORS, QUERIES = 64, 4096, 256
+#: Leaves in a bucket, rows in a packed block of vectors or queries, and blocks of a bucket that share a join key.
+BUCKET, VECTORS, QUERIES, SHARED = 64, 4096, 256, 4
 #: Queries that calibrate, and the recall their visits are widened to.
 CALIBRATION, RECALL = 256, 0.96
 #: Blocks of queries whose best rows a task merges before it passes them on.
@@ -39,7 +39,9 @@ class Tree:
         self.centres: list[np.ndarray] = []
         self.below: list[list[int]] = []
         self.leaves = 0
-        self.root = self._grow(sample, children, leaf, np.random.default_rng(seed))
+        # A power of two that keeps products with the centres finite.
+        self.scale = 2.0 ** -int(np.frexp(np.abs(sample).max(initial=1e-300))[1])
+        self.root = self._grow(sample * self.scale, children, leaf, np.random.default_rng(seed))
 
     def _grow(self, x: np.ndarray, children: int, leaf: int, rng) -> int:
         centre, own = _kmeans(x, min(children, -(-len(x) // leaf)), rng) if len(x) > leaf else (None, None)
@@ -54,7 +56,7 @@ class Tree:
 
     def file(self, x: np.ndarray) -> np.ndarray:
         """The leaf each row descends to, by the nearest centre at every node."""
-        out = np.empty(len(x), dtype=np.int64)
+        out, x = np.empty(len(x), dtype=np.int64), x * self.scale
         todo = [(self.root, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
@@ -68,7 +70,7 @@ class Tree:
 
     def visits(self, query: np.ndarray, most: int) -> list[int]:
         """The first ``most`` leaves of the best-bin-first order."""
-        heap, out = [(0.0, self.root)], []
+        heap, out, query = [(0.0, self.root)], [], query * self.scale
         while heap and len(out) < most:
             _, node = heapq.heappop(heap)
             if node < 0:
@@ -94,18 +96,25 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row for which ``is_query`` holds.
 
     Candidates are all rows but the query's own, nearest is the largest inner product in double
-    precision on the original vectors, ties go to the smaller id.  Vectors that are null, empty or zero,
-    hold a null or non-finite component or have not the usual length, and null ids, take no part.  Equal
+    precision on the original vectors, ties go to the smaller id.  Vectors that are null, empty or zero or
+    hold a null or non-finite component, and null ids, take no part.  Vectors of different lengths have no inner
+    product; each length has a tree and a search of its own.  Equal
     vectors are searched once; only their k + 1 smallest ids can be in an answer, so no group of copies is
     gathered.  A repeated id with different vectors gives an answer for each.  Fewer candidates than
     k give fewer rows; an empty table none.  `is_query` is a column over ``id_col``.
     """
     vector = F.col("vector")
-    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"),
+    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"),
                       F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull())
-    size = usual_size(own.where(is_valid(vector)), "vector")
-    own = own.where(is_valid(vector) & (F.size("vector") == size)).withColumns(
-        {"x": F.xxhash64("vector"), "y": F.xxhash64("vector", F.lit(7))})
+    own = own.where(is_valid(vector)).withColumns({"x": F.xxhash64("vector"), "y": F.xxhash64("vector", F.lit(7))})
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for size in lengths(own, "vector"):
+        out = out.unionByName(_nearest(own.where(F.size("vector") == size), size, k, recall))
+    return out
+
+
+def _nearest(own: DataFrame, size: int, k: int, recall: float) -> DataFrame:
+    """``nearest`` among vectors of one length: vec_id, vector, asks, and two hashes x, y of the vector."""
     distinct = write_through(own.groupBy("x", "y").agg(
         F.max("asks").alias("asks"), F.first("vector").alias("vector"), F.min("vec_id").alias("weight"))
         .withColumn("key", F.monotonically_increasing_id()), "ann-vectors")
@@ -114,12 +123,10 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
         "nth", F.row_number().over(Window.partitionBy("x", "y").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     ids = write_through(first.join(distinct.select("x", "y", "key"), ["x", "y"]).select("key", "vec_id"), "ann-ids")
     sample = distinct.orderBy(F.xxhash64("key")).limit(SAMPLE).select("vector").toArrow().column("vector").combine_chunks()
-    if not len(sample):
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = Tree(matrix(sample, size))
     filed = distinct.withColumn("leaf", _leaf_of(tree)("vector"))
     blocks = write_through(pack(_in_order(filed.withColumn("grp", F.floor(F.col("leaf") / BUCKET)), "leaf", "key"), size, VECTORS)
-                           .select("grp", "keys", "weights", "vectors"), "ann-blocks")
+                           .select("part", "seq", "grp", "keys", "weights", "vectors"), "ann-blocks")
     asking = filed.where("asks").withColumn("grp", F.lit(0).cast("long"))
     trial = asking.orderBy(F.xxhash64("key", F.lit(1))).limit(CALIBRATION)
     visits = _calibrate(_queries(trial, size, tree, tree.leaves), blocks, ids, tree, k, recall)
@@ -145,7 +152,7 @@ def _leaf_of(tree: Tree):
     def leaf(vector: pd.Series) -> pd.Series:
         if not len(vector):
             return pd.Series([], dtype="int64")
-        return pd.Series(tree.file(np.stack(vector.to_numpy()).astype(np.float64)))
+        return pd.Series(tree.file(np.stack(vector.to_numpy())))
 
     return leaf
 
@@ -180,7 +187,7 @@ def _search(queries: DataFrame, blocks: DataFrame, tree: Tree, k: int) -> DataFr
                 get = lambda name, i=i: batch.column(name)[i].as_py()
                 keys, ids, x = unpacked(get("keys"), get("weights"), get("vectors"))
                 asking = np.frombuffer(get("qkeys"), np.int64)
-                q = np.frombuffer(get("qvectors"), np.float32).reshape(len(asking), -1).astype(np.float64)
+                q = opened(get("qvectors"), len(asking))
                 seen = np.unpackbits(np.frombuffer(get("seen"), np.uint8)).reshape(len(asking), -1)[:, :BUCKET] == 1
                 leaf = tree.file(x)
                 score = np.full((len(asking), len(keys)), -np.inf)
@@ -204,7 +211,11 @@ def _search(queries: DataFrame, blocks: DataFrame, tree: Tree, k: int) -> DataFr
                     held = {}
         yield from map(_found, held.values())
 
-    return queries.join(blocks, "grp").mapInArrow(work, "query long, key long, weight long, leaf long, score double")
+    # A bucket has as many keys as its blocks need, so tasks grow in number with the table.
+    keys = blocks.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / SHARED).alias("n"))
+    dealt = blocks.join(keys, "grp").withColumn("key_no", F.pmod(F.xxhash64("part", "seq"), F.col("n"))).drop("part", "seq", "n")
+    sent = queries.join(keys, "grp").withColumn("key_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
+    return sent.join(dealt, ["grp", "key_no"]).mapInArrow(work, "query long, key long, weight long, leaf long, score double")
 
 
 def _best(found, most: int) -> tuple:
@@ -239,7 +250,7 @@ def _calibrate(trial: DataFrame, blocks: DataFrame, ids: DataFrame, tree: Tree,
     vectors = {}
     for row in trial.select("qkeys", "qvectors").distinct().toPandas().itertuples():
         keys = np.frombuffer(row.qkeys, np.int64)
-        vectors.update(zip(keys.tolist(), np.frombuffer(row.qvectors, np.float32).reshape(len(keys), -1).astype(np.float64)))
+        vectors.update(zip(keys.tolist(), opened(row.qvectors, len(keys))))
     turn = []
     for query, rows in truth[truth["key"] != truth["query"]].groupby("query"):
         at = {leaf: i for i, leaf in enumerate(tree.visits(vectors[query], tree.leaves))}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerpress.llm.components import components
-from tickerpress.llm.vectors import is_valid, matrix, pack, unpacked, usual_size
+from tickerpress.llm.vectors import is_valid, lengths, matrix, pack, scaled, unpacked
 from tickerpress.session import write_through
 
 COSINE = 0.98
@@ -37,23 +37,27 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Rows are compared if their labels are equal and not null.  ``n_links`` counts the other rows at ``cosine`` or
     more, ``component_id`` is the smallest id reachable through links, the own included; ``kept``
-    says whether that is the own id.  A vector that is null, empty or zero, holds a null or non-finite
-    component or has not the usual length links with nothing, nor does a row without label.
+    says whether that is the own id.  A vector that is null, empty or zero or holds a null or non-finite
+    component links with nothing, nor does a row without label.  Vectors of different lengths have no cosine; each
+    length is a join of its own.  Components are doubles throughout.
     Equal vectors of a label are compared once and counted as often as they occur; rows that
     repeat an id are rows like others.  An empty table gives no rows.
     """
     vector = F.col("vector")
-    own = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"),
+    own = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"),
                       F.col(label_col).cast("long").alias("label"))
-    size = usual_size(own.where(is_valid(vector)), "vector")
-    able = is_valid(vector) & F.col("label").isNotNull() & (F.size(vector) == size)
+    able = is_valid(vector) & F.col("label").isNotNull()
     # Two hashes name a vector of a label; equal vectors meet before anything is compared.
     name = F.when(able, F.struct(F.xxhash64("label", "vector").alias("x"), F.xxhash64("vector", F.lit(7), "label").alias("y")))
     narrow = write_through(own.withColumn("name", name).select("vec_id", "name.*"), "vector-names")
     distinct = write_through(own.where(able).withColumn("name", name).groupBy("name").agg(
         F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("grp"),
         F.first("vector").alias("vector")).withColumn("key", F.monotonically_increasing_id()), "distinct-vectors")
-    counts, links = join(distinct, size, cosine)
+    counts = rows.sparkSession.createDataFrame([], "key long, links long")
+    links = rows.sparkSession.createDataFrame([], "a long, b long")
+    for size in lengths(distinct, "vector"):
+        more = join(distinct.where(F.size("vector") == size), size, cosine)
+        counts, links = counts.unionByName(more[0]), links.unionByName(more[1])
     known = distinct.select("name.*", "key", "least", "weight").join(counts, "key", "left")
     of = components(links)
     known = known.join(of, known["key"] == of["node"], "left").withColumn("root", F.coalesce("component", "key"))
@@ -140,6 +144,7 @@ def _axes(distinct: DataFrame, size: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -148,7 +153,7 @@ def _coordinates(axes: np.ndarray, size: int):
     def at(vector: pd.Series) -> pd.Series:
         if not len(vector):
             return pd.Series([], dtype=object)
-        return pd.Series(list(_unit(np.stack(vector.to_numpy()).astype(np.float64)) @ axes.T))
+        return pd.Series(list(_unit(np.stack(vector.to_numpy())) @ axes.T))
 
     return at
 
@@ -174,6 +179,7 @@ def _compare(cosine: float):
                 get = lambda name, i=i: batch.column(name)[i].as_py()
                 ka, wa, xa = unpacked(get("keys_a"), get("weights_a"), get("vectors_a"))
                 kb, wb, xb = unpacked(get("keys_b"), get("weights_b"), get("vectors_b"))
+                xa, xb = scaled(xa), scaled(xb)
                 near = (xa @ xb.T) / np.outer(np.linalg.norm(xa, axis=1), np.linalg.norm(xb, axis=1)) >= cosine
                 same = get("a") == get("b")
                 if same:

@@ -16,7 +16,10 @@ list of links.
 
 from __future__ import annotations
 
+import bisect
+import operator
 import re
+from collections import Counter
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 SIGMA = 1.0
 #: Share of the content lines' text that article and main elements hold to be the content region.
 HELD = 0.9
+#: Share of a page's text beyond which a block is a wrapper, whatever its class or id says; of comments, which may outweigh an article.
+WRAPS, COMMENTS_WRAP = 0.5, 0.9
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their text is no text of the page.
@@ -42,7 +47,7 @@ _REGION = frozenset("article main section div td body".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks of running text; one of them is a list of links only if it is nothing but several links.
 _PROSE = _HEADING | {"p", "blockquote", "pre"}
-_APART = frozenset("nav aside footer form menu dialog".split())
+_APART = frozenset("nav aside footer menu dialog".split())
 _APART_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar "
                          "form".split())
 #: Words of class and id names that set a block apart from the article.
@@ -56,6 +61,7 @@ _APART_WORDS = frozenset(
 _MAYBE_APART_WORDS = frozenset(
     "notice notices alert modal popup overlay banner promo promotion sidebar menu nav navbar navigation masthead footer "
     "discussion share sharing social related recommended recommendations widget widgets skip copyright".split())
+_COMMENT_WORDS = frozenset("comment comments commentlist respond replies reply disqus discussion".split())
 #: A block below this share of its article's text-to-tag ratio is far below it.
 FAR_BELOW = 1 / 3
 _FORM_PARTS = frozenset("form input select textarea button".split())
@@ -67,9 +73,9 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _KEEPS_OPEN = frozenset("ul ol dl table".split())
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
-    """A block's text; ``region`` lists its containers from the outside in."""
+    """A block's text in its innermost container; ``lead`` for running text of an article's header."""
 
     text: str
     tags: int
@@ -77,69 +83,100 @@ class Line:
     links_only: bool
     prose: bool
     apart: bool
-    region: tuple[int, ...]
-    marks: tuple[int, ...] = ()
+    region: int
+    lead: bool = False
 
 
-@dataclass
-class _Mark:
-    """A block inside an article that its class or id may set apart."""
+@dataclass(slots=True)
+class _Block:
+    """Lines ``start`` to ``end``: a container (tag, its outer container) or a block that may set itself apart."""
+
+    tag: str
+    outer: int
+    start: int
+    end: int | None = None
+    #: Nearest and outermost article or main, this one included; -1 if none.
+    named: int = -1
+    top: int = -1
+
 
-    home: int
+@dataclass(slots=True)
+class _Mark(_Block):
+    """``kind``: "maybe" (by its own text, inside an article), "word" and "comment" (unless it wraps the page), "form"."""
+
+    kind: str = "maybe"
     form: bool = False
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
     tag: str
-    silent: bool
-    apart: bool
+    silent: bool = False
+    apart: bool = False
     header: bool = False
-    region: int | None = None
-    mark: int | None = None
+    heading: bool = False
+    prose: bool = False
+    region: int = 0
+    mark: _Mark | None = None
+    form_parts: int = 0
 
 
 @dataclass
 class _Lines(HTMLParser):
-    """Collects lines from parser events."""
+    """Collects lines from parser events.  What a line inherits is carried down the open elements, so
+    a tag costs the same at any depth."""
 
     lines: list[Line] = field(default_factory=list)
 
     def __post_init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[_Open] = []
-        self.kinds: dict[int, str] = {}
+        self.open: list[_Open] = [_Open("")]
+        self.count: Counter = Counter()
+        self.regions: list[_Block] = [_Block("", -1, 0)]
+        self.named: list[_Block] = []
         self.marks: list[_Mark] = []
         self.parts: list[str] = []
-        self.tags = self.links = self.link_count = self.in_link = 0
+        self.tags = self.links = self.link_count = self.in_link = self.form_parts = 0
         self.words = False
 
+    def parse_marked_section(self, i, report=1):
+        """A section of unknown kind is no error of the page but a comment up to the next >."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        self._end_head(tag)
+        if self.count["head"]:
+            self._end_head(tag)
         if tag in _BLOCK:
             self._flush()
             self._close_implied(tag)
         if tag in _FORM_PARTS:
-            for o in self.open:
-                if o.mark is not None:
-                    self.marks[o.mark].form = True
+            self.form_parts += 1
         elif tag == "br" or tag == "hr":
             self.parts.append(" ")
         if tag in _VOID:
             return
-        above = self.open[-1] if self.open else _Open("", False, False)
-        region = None
+        above = self.open[-1]
+        home = self.regions[above.region].named
+        apart, mark = _is_apart(tag, attrs, home >= 0), None
+        if isinstance(apart, str):
+            mark = _Mark(tag, home, len(self.lines), kind=apart)
+            self.marks.append(mark)
+        region = above.region
         if tag in _REGION:
-            region = len(self.kinds)
-            self.kinds[region] = tag
-        header = above.header or tag == "header"
-        home = next((o.region for o in reversed(self.open) if o.tag in ("article", "main")), None)
-        apart, mark = _is_apart(tag, attrs, home is not None), None
-        if apart is None:
-            mark = len(self.marks)
-            self.marks.append(_Mark(home))
-        self.open.append(_Open(tag, above.silent or tag in _SILENT, above.apart or bool(apart), header, region, mark))
+            region = len(self.regions)
+            outer = self.regions[above.region]
+            block = _Block(tag, above.region, len(self.lines), named=outer.named, top=outer.top)
+            if tag in ("article", "main"):
+                block.named, block.top = region, outer.top if outer.top >= 0 else region
+                self.named += [block] * (outer.top < 0)
+            self.regions.append(block)
+        self.open.append(_Open(tag, above.silent or tag in _SILENT, above.apart or apart is True, above.header or tag == "header",
+                               above.heading or tag in _HEADING, above.prose or tag in _PROSE, region, mark, self.form_parts))
+        self.count[tag] += 1
         self.in_link += tag == "a"
         self.link_count += tag == "a"
 
@@ -152,7 +189,9 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in _BLOCK:
             self._flush()
-        for i in range(len(self.open) - 1, -1, -1):
+        if not self.count[tag]:
+            return
+        for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
                 self._pop_to(i)
                 return
@@ -161,9 +200,9 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if self.open and self.open[-1].tag == "head" and data.strip():
+        if self.open[-1].tag == "head" and data.strip():
             self._pop_to(len(self.open) - 1)
-        if self.open and self.open[-1].silent:
+        if self.open[-1].silent:
             return
         self.parts.append(data)
         if self.in_link:
@@ -174,29 +213,67 @@ class _Lines(HTMLParser):
     def finish(self) -> list[Line]:
         self.close()
         self._flush()
-        self._settle_marks()
+        self._pop_to(1)
+        self.regions[0].end = len(self.lines)
+        self._settle()
         return self.lines
 
-    def _settle_marks(self):
-        """Set apart the marked blocks that are lists of links, forms or far below their article's ratio."""
-        held, homes = {}, {m.home: [] for m in self.marks}
+    def _settle(self):
+        """Set apart marked blocks by their text, comments before others, inner ones before outer ones; then leads of headers."""
+        texts = any(not x.apart and self.regions[x.region].named >= 0 for x in self.lines)
+        gone: list[tuple[int, bool, _Mark]] = []
+        for comments in (True, False):
+            sums = _Sums(self.lines)
+            page, inner = sums.of(0, len(self.lines))[0], []
+            for mark in sorted((m for m in self.marks if (m.kind == "comment") == comments), key=lambda m: (m.end, -m.start)):
+                lost = (0, 0, 0)  # what blocks inside it have lost already
+                while inner and inner[-1][0] >= mark.start:
+                    lost = tuple(map(operator.add, lost, inner.pop()[1]))
+                chars, links, tags = map(operator.sub, sums.of(mark.start, mark.end), lost)
+                # Beside an article, what holds none is no wrapper.
+                wraps = not texts or mark.outer >= 0 or any(
+                    mark.start <= r.start and r.end <= mark.end and r.end > r.start for r in self.named_from(mark.start))
+                if not chars:
+                    apart = False
+                elif mark.kind == "maybe":
+                    home = self.regions[mark.outer]
+                    around, other_links, other_tags = sums.of(home.start, home.end)
+                    far = (chars - links) / max(1, tags) < FAR_BELOW * (around - other_links) / max(1, other_tags)
+                    # A block with most of its article's text is no form, though it may have one inside.
+                    apart = (mark.form and chars * 2 < around or links * 2 > chars or far) and chars <= WRAPS * page
+                else:
+                    apart = not wraps or chars <= (COMMENTS_WRAP if comments else WRAPS) * page
+                if apart:
+                    gone.append((chars, not comments, mark))
+                    page -= chars
+                    lost = tuple(map(operator.add, lost, (chars, links, tags)))
+                inner.append((mark.start, lost))
+            cover = np.zeros(len(self.lines) + 1, dtype=np.int64)
+            for _, other, mark in gone:
+                if other != comments:
+                    cover[mark.start] += 1
+                    cover[mark.end] -= 1
+            for i in np.flatnonzero(np.cumsum(cover[:-1])):
+                self.lines[i].apart = True
+        if gone and all(x.apart for x in self.lines):
+            most = max(gone, key=lambda g: g[:2])[2]  # nothing else is on the page
+            for x in self.lines[most.start:most.end]:
+                x.apart = False
+        ratios: dict[int, float] = {}
         for x in self.lines:
-            if not x.apart:
-                for r in homes.keys() & set(x.region):
-                    homes[r].append(x)
-                for number in x.marks:
-                    held.setdefault(number, []).append(x)
-        whole = {home: (_ratio(lines), sum(len(x.text) for x in lines)) for home, lines in homes.items()}
-        for number, inside in held.items():
-            mark, (ratio, most) = self.marks[number], whole[self.marks[number].home]
-            links, chars = sum(x.link_chars for x in inside), sum(len(x.text) for x in inside)
-            # A block with most of its article's text is no form, though it may have one inside.
-            if mark.form and chars * 2 < most or links * 2 > chars or _ratio(inside) < FAR_BELOW * ratio:
-                for x in inside:
-                    x.apart = True
+            if x.lead:
+                home = self.regions[x.region].named
+                if home not in ratios:
+                    ratios[home] = _ratio([y for y in self.lines[self.regions[home].start:self.regions[home].end] if not y.apart])
+                x.apart = x.apart or _is_links(x) or _ratio([x]) < FAR_BELOW * ratios[home]
+
+    def named_from(self, line: int) -> list[_Block]:
+        """The first few outermost articles and mains from a line on: one inside a block begins next."""
+        at = bisect.bisect_left(self.named, line, key=lambda r: r.start)
+        return self.named[at:at + 3]
 
     def _end_head(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
+        for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == "head":
                 if tag == "body" or tag not in _IN_HEAD and i == len(self.open) - 1:
                     self._pop_to(i)
@@ -204,7 +281,9 @@ class _Lines(HTMLParser):
 
     def _close_implied(self, tag):
         ended = {"p"} | _CLOSES.get(tag, set())
-        for i in range(len(self.open) - 1, -1, -1):
+        if not any(self.count[t] for t in ended):
+            return
+        for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in _KEEPS_OPEN or self.open[i].tag in _REGION and self.open[i].tag not in ended:
                 return
             if self.open[i].tag in ended:
@@ -212,42 +291,58 @@ class _Lines(HTMLParser):
                 return
 
     def _pop_to(self, i):
-        self.in_link -= sum(o.tag == "a" for o in self.open[i:])
+        for o in self.open[i:]:
+            self.count[o.tag] -= 1
+            self.in_link -= o.tag == "a"
+            if o.tag in _REGION:
+                self.regions[o.region].end = len(self.lines)
+            if o.mark is not None:
+                o.mark.end = len(self.lines)
+                o.mark.form = o.mark.kind == "form" or self.form_parts > o.form_parts
         del self.open[i:]
 
     def _flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            here = self.open[-1] if self.open else _Open("", False, False)
-            # Of a header, the headings alone belong to an article.
-            header = here.header and not (any(o.tag in ("article", "main") for o in self.open)
-                                          and any(o.tag in _HEADING for o in self.open))
-            prose = any(o.tag in _PROSE for o in self.open)
-            self.lines.append(Line(text, self.tags, self.links, self.link_count > 1 and not self.words, prose, here.apart or header,
-                                   tuple(o.region for o in self.open if o.region is not None),
-                                   tuple(o.mark for o in self.open if o.mark is not None)))
+            here = self.open[-1]
+            # Of a header, headings belong to an article, and leads of running text.
+            inside = here.header and self.regions[here.region].named >= 0
+            lead = inside and not here.heading and here.prose
+            self.lines.append(Line(text, self.tags, self.links, self.link_count > 1 and not self.words, here.prose,
+                                   here.apart or here.header and not (inside and here.heading or lead), here.region, lead))
             self.tags = 0
         self.parts, self.links, self.link_count, self.words = [], 0, 0, False
 
 
+class _Sums:
+    """Characters, linked characters and tags of the lines not set apart, for any slice."""
+
+    def __init__(self, lines: list[Line]):
+        rows = [(0, 0, 0)] + [(0, 0, 0) if x.apart else (len(x.text), min(x.link_chars, len(x.text)), x.tags) for x in lines]
+        self.upto = np.cumsum(np.array(rows, dtype=np.int64), axis=0).tolist()
+
+    def of(self, start: int, end: int) -> list[int]:
+        return list(map(operator.sub, self.upto[end], self.upto[start]))
+
+
 def _ratio(lines: list[Line]) -> float:
     """Characters outside links for each tag of all the lines."""
     return sum(max(0, len(x.text) - x.link_chars) for x in lines) / max(1, sum(x.tags for x in lines))
 
 
-def _is_apart(tag: str, attrs: list[tuple[str, str | None]], in_article: bool = False) -> bool | None:
-    """Whether a block sets itself apart; None if its class or id may do so inside an article."""
+def _is_apart(tag: str, attrs: list[tuple[str, str | None]], in_article: bool = False) -> bool | str:
+    """Whether a block sets itself apart, or the kind of mark that its text has to settle."""
     if tag in _APART:
         return True
-    apart = False
+    mark: bool | str = "form" if tag == "form" else False
     for name, value in attrs:
         if name in ("class", "id") and value and tag not in ("body", "html", "article", "main"):
             words = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
             found = _APART_WORDS.intersection(re.split(r"[^a-z]+", words))
-            if found and not (in_article and found <= _MAYBE_APART_WORDS):
-                return True
-            if found:
-                apart = None
+            if found and in_article and found <= _MAYBE_APART_WORDS:
+                mark = mark or "maybe"
+            elif found:
+                mark = "comment" if found & _COMMENT_WORDS else "word"
         elif name == "class" and tag == "article" and value and "comment" in value.lower():
             return True
         elif name == "hidden" or name == "aria-hidden" and value == "true":
@@ -256,14 +351,14 @@ def _is_apart(tag: str, attrs: list[tuple[str, str | None]], in_article: bool =
             return True
         elif name == "style" and value and re.search(r"display\s*:\s*none", value):
             return True
-    return apart
+    return mark
 
 
-def page_lines(html: str) -> tuple[list[Line], dict[int, str]]:
-    """The lines of a page, and the tag of every region."""
+def page_lines(html: str) -> tuple[list[Line], list[_Block]]:
+    """The lines of a page, and its containers in page order; the first one is the page."""
     parser = _Lines()
     parser.feed(html)
-    return parser.finish(), parser.kinds
+    return parser.finish(), parser.regions
 
 
 def smoothed_ratios(lines: list[Line], sigma: float = SIGMA) -> np.ndarray:
@@ -291,52 +386,77 @@ def _is_links(line: Line) -> bool:
     return line.links_only if line.prose else line.link_chars * 2 > len(line.text)
 
 
-def _plain(lines: list[Line]) -> bool:
-    return not any(x.apart or _is_links(x) for x in lines)
-
-
-def _widest(region: int, lines: list[Line], kinds: dict[int, str], tags: Collection[str]) -> int:
-    """The outermost container of ``tags`` around ``region`` that adds plain lines only."""
-    path = next(x.region for x in lines if region in x.region)
-    for r in reversed(path[:path.index(region)]):
-        if kinds[r] in tags:
-            if not _plain([x for x in lines if r in x.region and region not in x.region]):
-                break
-            region = r
-    return region
+class _Page:
+    """Lines and containers of a page; a container's lines are a slice."""
+
+    def __init__(self, lines: list[Line], regions: list[_Block]):
+        self.lines, self.regions = lines, regions
+        self.not_plain = np.cumsum([0] + [x.apart or _is_links(x) for x in lines])
+
+    def plain(self, region: int, but: int | None = None) -> bool:
+        """Neither blocks set apart nor lists of links in the region, but for an inner one."""
+        def count(r):
+            return self.not_plain[self.regions[r].end] - self.not_plain[self.regions[r].start]
+
+        return count(region) == (count(but) if but is not None else 0)
+
+    def common(self, content: list[int]) -> int:
+        """The innermost container of all these regions: that of the first and the last one in page order."""
+        low, high = min(content), max(content)
+        while self.regions[low].end < self.regions[high].end or low > high:
+            low = self.regions[low].outer
+        while low and not self.regions[low].start <= self.regions[high].start <= self.regions[high].end <= self.regions[low].end:
+            low = self.regions[low].outer
+        return max(low, 0)
+
+    def widest(self, region: int, tags: Collection[str]) -> int:
+        """The outermost container of ``tags`` around ``region`` that adds plain lines only."""
+        outer = self.regions[region].outer
+        while outer > 0:
+            if self.regions[outer].tag in tags:
+                if not self.plain(outer, region):
+                    break
+                region = outer
+            outer = self.regions[outer].outer
+        return region
+
+    def slices(self, regions: Collection[int]) -> list[Line]:
+        """Lines of any of the regions, in page order."""
+        inside = np.zeros(len(self.lines), dtype=bool)
+        for r in regions:
+            inside[self.regions[r].start:self.regions[r].end] = True
+        return [self.lines[i] for i in np.flatnonzero(inside)]
 
 
 def main_text(html: str | None) -> str:
     """The article's text; blocks joined by a space.  Empty for null, empty or text-free pages."""
-    lines, kinds = page_lines(html or "")
+    lines, regions = page_lines(html or "")
     own = [x for x in lines if not x.apart]
     if not own:
         return ""
+    page = _Page(lines, regions)
     smooth = smoothed_ratios(lines)
     cut = threshold(smooth)
     content = [x for x, v in zip(lines, smooth) if v >= cut and not x.apart] or own
     # A list of links beside a long paragraph is lifted by it; it does not widen the region.
     content = [x for x in content if not _is_links(x)] or content
-    named = [tuple(r for r in x.region if kinds[r] in ("article", "main")) for x in content]
-    if sum(len(x.text) for x, n in zip(content, named) if n) >= HELD * sum(len(x.text) for x in content):
-        named = [n for n in named if n]
-        # Regions are numbered in page order, so the last one of a chain is the innermost.
-        whole = set.intersection(*map(set, named))
-        if whole:
-            chosen = {_widest(max(whole), lines, kinds, ("article", "main"))}
-        else:
-            chosen = {n[0] for n in named}
-        around = {r for x in lines if not chosen.isdisjoint(x.region) for r in x.region}
-        other = {r for x in lines for r in x.region if kinds[r] in ("article", "main")} - around
-        chosen |= {r for r in other if _plain([x for x in lines if r in x.region])}
-        return " ".join(x.text for x in lines if not x.apart and not chosen.isdisjoint(x.region))
-    region = max(set.intersection(*(set(x.region) for x in content)), default=None)
-    if region is not None:
-        region = _widest(region, lines, kinds, _REGION - {"body"})
-    if region is None or kinds[region] == "body":
+    named = [regions[x.region].named for x in content]
+    if sum(len(x.text) for x, n in zip(content, named) if n >= 0) >= HELD * sum(len(x.text) for x in content):
+        named = [n for n in named if n >= 0]
+        whole = regions[page.common(named)].named
+        chosen = {page.widest(whole, ("article", "main"))} if whole >= 0 else {regions[n].top for n in named}
+        taken = np.cumsum([0] + [0] * len(lines))
+        for r in chosen:
+            taken[regions[r].start + 1:regions[r].end + 1] = 1
+        taken = np.cumsum(taken)
+        other = [r for r, x in enumerate(regions) if r and x.tag in ("article", "main") and x.end > x.start
+                 and taken[x.end] == taken[x.start] and page.plain(r)]
+        return " ".join(x.text for x in page.slices(chosen.union(other)) if not x.apart)
+    region = page.widest(page.common([x.region for x in content]), _REGION - {"body"})
+    if not region or regions[region].tag == "body":
         inside = [x for x in lines if not _is_links(x)]
     else:
-        inside = [x for x in lines if region in x.region]
+        inside = page.slices([region])
     return " ".join(x.text for x in inside if not x.apart)
 
 
@@ -344,7 +464,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without the html, with text and n_chars (code points).
 
     One row per row, whatever the page: null, empty or broken html gives an empty
-    text or what can be read.  White space is what `str.split` takes for it.
+    text or what can be read; a declaration that cannot be parsed counts as a comment.  Time and memory
+    grow with the length of a page, not with its depth.  White space is what `str.split` takes for it.
     Columns named text or n_chars are replaced.  Pages are independent, so
     nothing is shuffled.
     """

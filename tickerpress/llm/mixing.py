@@ -147,13 +147,14 @@ def _pivot(rows: pd.DataFrame, rng: np.random.Generator, last: bool = False) ->
     """Round from the largest document to the smallest; one stays open, or none if ``last``.
 
     The carried document gives words to the next one or takes them; either becomes
-    0 or 1.  At the root, where sizes differ, a document that is large beside the
-    next one is paired with all that follow, as one partner: it becomes 0 or 1 at
-    once, and each of them moves a little.  Expectations stay in both cases.
+    0 or 1.  At the root, where sizes differ, a document is paired with all that follow, as one
+    partner, until it is 0 or 1: each of them moves a little.  Expectations stay in both cases.
     """
     rows = rows.sort_values(["words", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    a, p, u = rows["words"].to_numpy(float), rows["p"].to_numpy(float).copy(), rng.random(len(rows) + 1)
-    carry = 0
+    a, p = rows["words"].to_numpy(float), rows["p"].to_numpy(float).copy()
+    if last:
+        return rows.assign(p=_settle(a, p, rng))
+    carry, u = 0, rng.random(len(rows) + 1)
     for j in range(1, len(rows)):
         i = carry
         if p[i] in (0.0, 1.0):
@@ -161,24 +162,37 @@ def _pivot(rows: pd.DataFrame, rng: np.random.Generator, last: bool = False) ->
             continue
         if p[j] in (0.0, 1.0):
             continue
-        if last:
-            rest = slice(j, None)
-            room = a[rest] * np.minimum(p[rest] / (1 - p[i]), (1 - p[rest]) / p[i])
-            if (total := room.sum()) >= a[i]:
-                move = a[i] * ((1 - p[i]) if u[j] < p[i] else -p[i])
-                p[i], carry = float(move > 0), j
-                p[rest] = _snap(p[rest] - move * room / total / a[rest])
-                continue
         ratio = a[j] / a[i]
         up, down = min(1 - p[i], p[j] * ratio), min(p[i], (1 - p[j]) * ratio)
         step = up if u[j] * (up + down) < down else -down
         p[i], p[j] = _snap(p[i] + step), _snap(p[j] - step / ratio)
         if p[i] in (0.0, 1.0):
             carry = j
-    if last and len(rows):
-        p[carry] = float(u[-1] < p[carry])
     return rows.assign(p=p)
 
 
+def _settle(a: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Every document against all smaller ones that are open, whose shares of a step are the same both ways.
+
+    A step goes up or down as far as the document or the first of its partners allows, so steps may be uneven.
+    A document that finds no partner any more is drawn.
+    """
+    for i in range(len(p)):
+        while 0.0 < p[i] < 1.0:
+            rest = i + 1 + np.flatnonzero((p[i + 1:] > 0.0) & (p[i + 1:] < 1.0))
+            if not len(rest):
+                p[i] = float(rng.random() < p[i])
+                break
+            can_give, can_take = a[rest] * p[rest], a[rest] * (1 - p[rest])
+            share = np.minimum(can_give / (1 - p[i]), can_take / p[i])
+            words = share.sum() / a[i]
+            up = min(1 - p[i], words * (can_give / share).min())
+            down = min(p[i], words * (can_take / share).min())
+            step = up if rng.random() * (up + down) < down else -down
+            p[rest] = _snap(p[rest] - step * a[i] * share / share.sum() / a[rest])
+            p[i] = _snap(p[i] + step)
+    return p
+
+
 def _snap(p):
     return np.where(p < 1e-9, 0.0, np.where(p > 1 - 1e-9, 1.0, p))
