@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tickerpress.functions import text as tx
@@ -102,3 +103,38 @@ def test_character_references_and_missing_pages(spark):
 
 def test_rows_without_a_key_are_not_kept(spark):
     assert sorted(r["id"] for r in cl.keep_first(texts(spark, "a", None, "a", None, "b"), ["t"], "id").collect()) == [0, 4]
+
+
+def test_a_hand_off_that_stops_leaves_the_one_before(spark, tmp_path, monkeypatch):
+    from tickerpress.sources import tables as tb
+    folder, schemas = f"file://{tmp_path}/out", ("id int", "level double")
+
+    def tables(n):
+        return spark.createDataFrame([(n,)], "id int"), spark.createDataFrame([(float(n),)], "level double")
+
+    def read():
+        return tuple(t.first()[0] for t in tb.read_hand_off(spark, folder, *schemas))
+
+    tb.hand_off(*tables(1), folder)
+    assert read() == (1, 1.0)
+    whole, calls = tb.write_table, []
+
+    def stops(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return whole(*args, **kwargs)
+
+    monkeypatch.setattr(tb, "write_table", stops)
+    with pytest.raises(RuntimeError):
+        tb.hand_off(*tables(2), folder)
+    monkeypatch.setattr(tb, "write_table", whole)
+    assert read() == (1, 1.0)
+    assert tb.hand_off(*tables(3), folder) and read() == (3, 3.0)
+
+
+def test_only_rows_with_references_are_unescaped(spark):
+    from tickerpress.operators import extraction as xt
+    rows = [(1, "<div class='b'><p>a &amp;amp; b</p></div>"), (2, "<div class='b'><p>plain</p><p>two</p></div>"), (3, None), (4, "<p>x</p>")]
+    got = xt.extract_body(spark.createDataFrame(rows, "id int, html string"), "html", css_class="b").orderBy("id").collect()
+    assert [r["full_text"] for r in got][:3] == ["a &amp; b", "plain two", None]

@@ -61,7 +61,9 @@ def paragraph_text(inner: Column) -> Column:
     plain = F.transform(
         F.slice(after_mark, F.lit(2), F.size(after_mark)),
         lambda p: F.regexp_replace(F.split(p, r"(?i)</p\s*>", 2)[0], r"(?s)<[^>]*>", ""))
-    return F.array_join(F.transform(unescape(plain), tx.strip_space), " ")
+    # Only rows that hold a reference go through Python.
+    texts = F.coalesce(unescape(F.when(inner.contains("&"), plain)), plain)
+    return F.array_join(F.transform(texts, tx.strip_space), " ")
 
 
 def extract_body(df: DataFrame, html_col: str, out_col: str = "full_text", tag: str = BODY_TAG,

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Names of finished hand-offs; they ascend with the time of writing.
+_MANIFEST = "version string"
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str,
                fmt: str | None = None) -> DataFrame:
@@ -53,9 +59,24 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def hand_off(aligned: DataFrame, calendar: DataFrame, folder: str, fmt: str = "parquet") -> None:
-    """Write aligned articles and the calendar they were aligned to side by side."""
-    write_table(aligned, f"{folder}/articles", fmt)
-    write_table(calendar, f"{folder}/rate", fmt)
-
+def hand_off(aligned: DataFrame, calendar: DataFrame, folder: str, fmt: str = "parquet") -> str:
+    """Write aligned articles and the calendar they were aligned to as one version; returns its name.
 
+    Both go into folders of their own, and the version enters the manifest last, so a run that
+    stops in between, and a reader that comes in between, leave and see the version before.
+    """
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    write_table(aligned, f"{folder}/articles/{version}", fmt, "errorifexists")
+    write_table(calendar, f"{folder}/rate/{version}", fmt, "errorifexists")
+    aligned.sparkSession.createDataFrame([(version,)], _MANIFEST).coalesce(1).write.mode("append").json(f"{folder}/manifest")
+    return version
+
+
+def read_hand_off(spark: SparkSession, folder: str, articles: T.StructType | str, calendar: T.StructType | str,
+                  fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """Articles and calendar of the latest version in the manifest, with the given schemas."""
+    version = spark.read.schema(_MANIFEST).json(f"{folder}/manifest").agg(F.max("version")).first()[0]
+    if version is None:
+        raise FileNotFoundError(f"{folder} holds no finished hand-off")
+    return (read_table(spark, f"{folder}/articles/{version}", articles, fmt),
+            read_table(spark, f"{folder}/rate/{version}", calendar, fmt))

@@ -100,8 +100,7 @@ def s5(spark, d):
     calendar = al.trading_calendar(rates)
     aligned = al.align_to_calendar(v.news(spark, d), calendar).select("ingest_id", "adjusted_date")
     tb.hand_off(aligned, rates.select("obs_date", "level"), path)
-    articles = tb.read_table(spark, f"{path}/articles", "ingest_id bigint, adjusted_date date", "parquet")
-    back = tb.read_table(spark, f"{path}/rate", "obs_date date, level double", "parquet")
+    articles, back = tb.read_hand_off(spark, path, "ingest_id bigint, adjusted_date date", "obs_date date, level double")
     return articles.join(back.withColumnRenamed("obs_date", "adjusted_date"), "adjusted_date", "full")
 
 
