@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import resource
 from collections import defaultdict
 
 import helpers as h
@@ -165,6 +166,27 @@ def test_the_manhattan_distance_is_a_lower_bound():
     assert counts(int(a[0])) == int(np.bitwise_count(simhash.thermometer(a)[0]))
 
 
+def test_simhash_slices_do_not_show(monkeypatch):
+    r = random.Random(1)
+    texts = [None, "", " ", "a", "A b"] + [
+        r.choice([" ", "\n ", "  "]).join(r.choice(["Foo", "é", "bar", "x" * r.randrange(1, 30)]) for _ in range(r.randrange(60)))
+        for _ in range(200)]
+    want = simhash.fingerprint(texts).tolist()
+    for part, hashes in [(16, 5), (1, 1), (40, 100)]:
+        monkeypatch.setattr(simhash, "SLICE", part)
+        monkeypatch.setattr(simhash, "HASHES", hashes)
+        assert simhash.fingerprint(texts).tolist() == want
+    assert len(simhash.fingerprint([])) == 0
+
+
+def test_simhash_of_a_very_long_text_needs_little_memory():
+    """Three million words; all their hashes with 64 bytes of bits each would take some 300 MB more."""
+    text = " ".join(f"w{i * 7919 % 50021}" for i in range(1000)) * 3000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    simhash.fingerprint([text])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 250_000  # KB
+
+
 def test_simhash_of_awkward_rows(spark):
     df = h.awkward(spark)
     got = simhash.near_duplicates(h.clashing(df)).collect()

@@ -1,4 +1,5 @@
 import random
+import time
 
 import helpers as h
 import numpy as np
@@ -68,6 +69,41 @@ def test_features_of_a_text():
     assert toxicity.features(None, words) == toxicity.features("", words) == [0.0] * len(toxicity.FEATURES)
 
 
+def test_features_are_the_same_in_slices_and_linear_in_length(monkeypatch):
+    words = toxicity.Words({"scum": 5.0, "zor-": 1.5})
+    r = random.Random(4)
+    text = " ".join(r.choice(["you", "scum", "zorbla", "plain", "LOUD!", "Été", "—"]) for _ in range(700))
+    want = toxicity.features(text, words)
+    found = words.of(text.split())
+    second = [i for i, x in enumerate(found) if x and x[2]]
+    hits = [i for i, x in enumerate(found) if x and x[0] > 0]
+    near = sum(any(abs(i - j) <= toxicity.NEAR for j in second) for i in hits) / len(hits)
+    assert want[toxicity.FEATURES.index("near_second_person")] == pytest.approx(near)
+    monkeypatch.setattr(toxicity, "SLICE", 13)
+    assert toxicity.features(text, words) == pytest.approx(want)
+    monkeypatch.undo()
+    start = time.monotonic()
+    toxicity.features("you scum and plain words " * 600_000, words)  # three million words
+    assert time.monotonic() - start < 30
+
+
+def test_capitals_of_accented_text():
+    f = dict(zip(toxicity.FEATURES, toxicity.features("ÉCOLE à — ÜBEL", toxicity.Words({}))))
+    assert f["capitals"] == 9 / 10 and f["shouted"] == 2 / 4
+
+
+def test_calibration_rises_strictly(spark):
+    r = np.random.default_rng(5)
+    margins = np.sort(r.normal(size=600))
+    toxic = (r.random(600) < 1 / (1 + np.exp(-3 * margins))).astype(float)
+    rows = spark.createDataFrame([(float(t), float(m)) for t, m in zip(toxic, margins)], "toxic double, margin double")
+    model = toxicity.calibrate(rows)
+    got = [x["calibrated"] for x in model.transform(rows).orderBy("margin").collect()]
+    assert all(a < b for a, b in zip(got, got[1:])) and 0 <= got[0] and got[-1] <= 1
+    low, high = np.mean(got[:200]), np.mean(got[-200:])
+    assert abs(low - toxic[:200].mean()) < 0.05 and abs(high - toxic[-200:].mean()) < 0.05
+
+
 # ---- nearest neighbours
 
 VECTORS = "vec_id long, embedding array<float>, label int"

@@ -10,7 +10,8 @@ ways.  Inside a cell the Manhattan bound is tested first, then the fingerprints.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,42 +29,86 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 GROUPS = 6
 #: A cell with more fingerprints is compared in blocks over several tasks.
 CELL = 2048
+#: Bytes of a text split at a time, and hashes counted at a time.
+SLICE, HASHES = 1 << 20, 200_000
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LOW = np.uint64(0x5555555555555555)
 
 
-def fingerprint(texts: list[str | None]) -> np.ndarray:
+def fingerprint(texts: Iterable[str | None]) -> np.ndarray:
     """64-bit SimHash of each text (uint64).
 
     A-Z are lower-cased, words are runs without ASCII white space, shingles are 3
     words joined by a space, repeats included; fewer words make one shingle.  A
     bit is set if it is set in over half of the shingles' XXH64.  No words (or a
-    null text): zero.
+    null text): zero.  Bits are counted some ``HASHES`` at a time, so a long text
+    takes little more memory than its own bytes.
     """
-    out = np.zeros(len(texts), dtype=np.uint64)
-    start, digest = 0, xxhash.xxh64_intdigest
-    while start < len(texts):
-        hashes, owners, stop = [], [], start
-        while stop < len(texts) and len(hashes) < 200_000:
-            words = (texts[stop] or "").encode().translate(_LOWER).split()
-            if words:
-                text = b" ".join(words)
-                ends = np.cumsum([len(w) + 1 for w in words]) - 1
-                begins = np.r_[0, ends[:-1] + 1]
-                n = max(1, len(words) - SHINGLE + 1)
-                owners.append((stop, n))
-                last = ends[SHINGLE - 1:] if len(words) >= SHINGLE else ends[-1:]
-                hashes += [digest(text[a:b], SEED) for a, b in zip(begins[:n].tolist(), last.tolist())]
-            stop += 1
-        if hashes:
-            at, counts = np.array(owners).T
-            bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, np.cumsum(counts) - counts, axis=0, dtype=np.int64)
-            out[at] = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-        start = stop
+    digest = xxhash.xxh64_intdigest
+    hashes: list[int] = []
+    owners: list[tuple[int, int]] = []
+    # Per flush: text, shingles, set bits; a text of several flushes has several rows.
+    counted = [np.empty((0, 66), dtype=np.int64)]
+
+    def flush():
+        who, n = np.array(owners).T
+        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int64)
+        counted.append(_by_first(np.column_stack([who, n, ones])))
+        hashes.clear()
+        owners.clear()
+
+    rows = 0
+    for text in texts:
+        for words in _slices((text or "").encode()):
+            line = b" ".join(words)
+            ends = np.cumsum([len(w) + 1 for w in words]) - 1
+            begins = np.r_[0, ends[:-1] + 1]
+            n = max(1, len(words) - SHINGLE + 1)
+            last = ends[SHINGLE - 1:] if len(words) >= SHINGLE else ends[-1:]
+            owners.append((rows, n))
+            hashes += [digest(line[a:b], SEED) for a, b in zip(begins[:n].tolist(), last.tolist())]
+            if len(hashes) >= HASHES:
+                flush()
+        rows += 1
+    if hashes:
+        flush()
+    out = np.zeros(rows, dtype=np.uint64)
+    total = _by_first(np.concatenate(counted))
+    if len(total):
+        bits = np.packbits(2 * total[:, 2:] > total[:, 1:2], axis=1, bitorder="little")
+        out[total[:, 0]] = bits.view("<u8")[:, 0]
     return out
 
 
+def _by_first(rows: np.ndarray) -> np.ndarray:
+    """Sums of the other columns over runs of equal first columns."""
+    if not len(rows):
+        return rows
+    first = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+    return np.column_stack([rows[first, 0], np.add.reduceat(rows[:, 1:], first, axis=0)])
+
+
+def _slices(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, lower-cased, in lists that repeat the last ``SHINGLE - 1`` words of the one before.
+
+    So every run of ``SHINGLE`` words lies in exactly one list; fewer words in all make one list.
+    """
+    words: list[bytes] = []
+    start, yielded = 0, False
+    while start < len(raw):
+        cut = _SPACE.search(raw, start + SLICE)
+        stop = cut.start() if cut else len(raw)
+        words += raw[start:stop].translate(_LOWER).split()
+        start = stop
+        if len(words) >= SHINGLE:
+            yield words
+            words, yielded = words[1 - SHINGLE:], True
+    if words and not yielded:
+        yield words
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, print): the fingerprint as a signed long, one row per row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -71,10 +116,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 1000):
-                part = batch.slice(at, 1000)
-                prints = fingerprint(part.column("text").to_pylist()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "print"])
+            prints = fingerprint(x.as_py() for x in batch.column("text")).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "print"])
 
     return rows.mapInArrow(work, f"doc_id {id_type.simpleString()}, print long")
 
@@ -86,7 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id reachable through links, the row's own included.  All texts without words
     share fingerprint zero.  Rows that repeat an id are each listed; null ids are
     never the smallest (a component of null ids only has a null id).  An empty
-    table gives no rows.
+    table gives no rows.  Texts of any length are read whole, in slices.
     """
     rows = write_through(fingerprints(docs, id_col, text_col), "prints")
     known = write_through(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct-prints")
@@ -111,8 +154,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     @F.arrow_udf("long")
     def print_of(texts: pa.Array) -> pa.Array:
-        parts = [fingerprint(texts.slice(at, 1000).to_pylist()) for at in range(0, len(texts), 1000)]
-        return pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64), pa.int64())
+        return pa.array(fingerprint(x.as_py() for x in texts).view(np.int64), pa.int64())
 
     # The text of equal ids tells their rows apart; it is hashed again rather than carried through the links.
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), _hex(print_of(F.col(text_col))).alias("own"))

@@ -35,6 +35,8 @@ REMEMBERED = 300_000
 #: A learnt entry occurs in so many toxic rows, and its log odds exceed this by two standard errors.
 LEAST_ROWS, LEAST_ODDS = 4, 1.0
 NEAR = 3
+#: Characters of a text split at a time.
+SLICE = 1 << 20
 
 GENERAL = frozenset("""
     idiot idiots moron morons stupid dumb loser losers pathetic worthless trash garbage scum clown disgusting
@@ -52,6 +54,7 @@ SECOND_PERSON = frozenset("""
 _LEET = str.maketrans("013457@$", "oieastas")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
+_SPACE = re.compile(r"\s")
 _STRETCHED = re.compile(r"(.)\1{2,}")
 
 FEATURES = ["strong_density", "strong_log", "weak_density", "weight_density", "weight_max", "near_second_person",
@@ -111,33 +114,55 @@ def _words(lexicon: dict[str, float]) -> Words:
     return _of_process[key]
 
 
-_CLASS = np.zeros(256, dtype=np.int64)
-for _c in range(256):
-    _CLASS[_c] = (1 if chr(_c).isalpha() and _c < 128 and chr(_c).isupper() else 2 if _c >= 128 or chr(_c).isalpha()
-                  else 3 if _c == 33 else 4 if _c == 63 else 5 if 33 <= _c < 127 and not chr(_c).isalnum() else 0)
+def _class(c: str) -> int:
+    """1 capital, 2 other letter, 3 and 4 the marks ! and ?, 5 other ASCII punctuation, 0 all else."""
+    if c.isalpha():
+        return 1 if c.isupper() else 2
+    return 3 if c == "!" else 4 if c == "?" else 5 if "!" <= c <= "~" and not c.isdigit() else 0
+
+
+#: By code point; those beyond the basic plane share the last entry.
+_CLASS = np.array([_class(chr(c)) for c in range(0x10000)], dtype=np.uint8)
+
+
+def _slices(text: str) -> Iterator[str]:
+    """A text in parts of ``SLICE`` characters or a little more, cut before white space."""
+    start = 0
+    while start < len(text):
+        cut = _SPACE.search(text, start + SLICE)
+        stop = cut.start() if cut else len(text)
+        yield text[start:stop]
+        start = stop
 
 
 def features(text: str | None, words: Words) -> list[float]:
-    """``FEATURES`` of a text; all zero for a null or empty one."""
-    text = text or ""
-    found = words.of(text.split())
-    n = max(1, len(found))
-    odd = [(i, x) for i, x in enumerate(found) if x is not None]
-    second = np.array([i for i, x in odd if x[2]])
-    hits = [(i, x) for i, x in odd if x[0] > 0]
-    weights = [x[0] for _, x in hits]
+    """``FEATURES`` of a text; all zero for a null or empty one.
+
+    Time grows with the length; only words that mean something are kept, so a long text
+    takes little more memory than itself.
+    """
+    odd, n_words, size, kind = [], 0, 0, np.zeros(6, dtype=np.int64)
+    for part in _slices(text or ""):
+        found = words.of(part.split())
+        odd += [(n_words + i, x) for i, x in enumerate(found) if x is not None]
+        n_words += len(found)
+        size += len(part)
+        points = np.frombuffer(part.encode("utf-32-le"), "<u4")
+        kind += np.bincount(_CLASS[np.minimum(points, len(_CLASS) - 1)], minlength=6)
+    n, size = max(1, n_words), max(1, size)
+    second = np.array([i for i, x in odd if x[2]], dtype=np.int64)
+    hits = np.array([i for i, x in odd if x[0] > 0], dtype=np.int64)
+    weights = [x[0] for _, x in odd if x[0] > 0]
     strong = sum(w >= _ENDS for w in weights)
-    near = sum(bool(len(second)) and bool((np.abs(second - i) <= NEAR).any()) for i, x in hits)
-    raw = text.encode()
-    kind = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=6) if raw else np.zeros(6)
-    letters, size = max(1, kind[1] + kind[2]), max(1, len(raw))
+    near = int((np.searchsorted(second, hits + NEAR, "right") > np.searchsorted(second, hits - NEAR, "left")).sum())
+    letters = max(1, kind[1] + kind[2])
     return [strong / n, np.log1p(strong), (len(hits) - strong) / n, sum(weights) / n, max(weights, default=0.0),
             near / max(1, len(hits)), len(second) / n, kind[1] / letters, sum(x[3] for _, x in odd) / n,
             kind[3] / size, kind[4] / size, kind[5] / size, sum(x[1] for _, x in odd) / n,
-            float(sum(x[1] for _, x in hits)), np.log1p(len(found))]
+            float(sum(x[1] for _, x in odd if x[0] > 0)), np.log1p(n_words)]
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame, entries: int = LEXICON) -> dict[str, float]:
     """Log odds of the words and stems ("abc-") that mark toxic rows (text, toxic), with the general list.
 
     Rows are counted over the whole texts, first per batch, then by term.
@@ -147,10 +172,11 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
             seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 terms = set()
-                for w in set((text or "").split()):
-                    low = _EDGES.sub("", w).lower()
-                    terms.add(low)
-                    terms.update(low[:n] + "-" for n in STEMS if len(low) > n)
+                for part in _slices(text or ""):
+                    for w in set(part.split()):
+                        low = _EDGES.sub("", w).lower()
+                        terms.add(low)
+                        terms.update(low[:n] + "-" for n in STEMS if len(low) > n)
                 terms.discard("")
                 seen[int(toxic)].update(terms)
             for toxic, counter in seen.items():
@@ -166,7 +192,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
             F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("one"),
             F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("zero"))
             .where((one >= LEAST_ROWS) & (sure > LEAST_ODDS)))
-        for term, weight in (terms.select("term", odds.alias("odds")).orderBy(sure.desc(), "term").limit(LEXICON)
+        for term, weight in (terms.select("term", odds.alias("odds")).orderBy(sure.desc(), "term").limit(entries)
                              .collect()):
             lexicon[term] = max(weight, lexicon.get(term, 0.0))
     return lexicon
@@ -180,7 +206,7 @@ def with_features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(lexicon)
         for batch in batches:
-            f = [features(t.as_py(), words) for t in batch.column("text")]
+            f = [features(t.as_py(), words) for t in batch.column("text")]  # one text at a time
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(f, pa.list_(pa.float64()))],
                                              [*rest, "f"])
 
@@ -216,9 +242,31 @@ def _margin(trees, rows: DataFrame) -> DataFrame:
             .withColumn("raw", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction"))
 
 
+def calibrate(rows: DataFrame):
+    """Isotonic calibration of (toxic double, margin), with steps made slopes.
+
+    An isotonic fit is constant over blocks of margins, which would tie most texts.  Each block is
+    drawn in to its mean margin, and the function is linear between these centres (Oron & Flournoy
+    2017).  Shares are drawn in from 0 and 1 by half a row of all, and the ends run out to 0 and 1 as
+    far again as the margins range, so texts beyond the outer centres are told apart too.
+    """
+    def regression():
+        return IsotonicRegression(featuresCol="margin", labelCol="toxic", predictionCol="calibrated", weightCol="weight")
+
+    rows = rows.withColumn("weight", F.lit(1.0))
+    blocks = (regression().fit(rows).transform(rows).groupBy("calibrated")
+              .agg(F.avg("margin").alias("margin"), F.count(F.lit(1)).cast("double").alias("weight")))
+    low, high, n = rows.agg(F.min("margin"), F.max("margin"), F.count(F.lit(1))).first()
+    half = 0.5 / (n + 1)
+    centres = blocks.select((half + (1 - 2 * half) * F.col("calibrated")).alias("toxic"), "margin", "weight")
+    ends = rows.sparkSession.createDataFrame(
+        [(0.0, 2 * low - high - 1.0, 1e-6), (1.0, 2 * high - low + 1.0, 1e-6)], "toxic double, margin double, weight double")
+    return regression().fit(centres.unionByName(ends))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
-    """Learn from the labelled rows whose deal is not 0.
+        label_col: str = "toxic", fit_rows: int = FIT_ROWS, lexicon_entries: int = LEXICON) -> Model:
+    """Learn from the labelled rows whose deal is not 0, ``fit_rows`` at most; ``lexicon_entries`` bounds the lexicon.
 
     Repeated labels of an id count as toxic if one does; null labels, null ids and
     labels without a document are left out.
@@ -229,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most ``fit_rows`` ids and labels, so the documents need no shuffle.
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
     rows = write_through(rows, "toxic-rows")
-    lexicon = learn_lexicon(rows.where("deal in (1, 2)"))
+    lexicon = learn_lexicon(rows.where("deal in (1, 2)"), lexicon_entries)
     dense = write_through(with_features(rows.where("deal > 2").select("toxic", "deal", "text"), lexicon), "toxic-features")
     n = {(d, t): c for d, t, c in dense.groupBy("deal", "toxic").count().collect()}
     total = sum(n.values())
@@ -241,19 +289,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                           maxBins=64, minInstancesPerNode=3, seed=11).fit(ready.where("deal = 3"))
     isotonic = None
     if n.get((4, 0)) and n.get((4, 1)):
-        isotonic = IsotonicRegression(featuresCol="margin", labelCol="toxic", predictionCol="calibrated").fit(
-            _margin(trees, ready.where("deal = 4")).select(F.col("toxic").cast("double").alias("toxic"), "margin"))
+        isotonic = calibrate(_margin(trees, ready.where("deal = 4")).select(F.col("toxic").cast("double").alias("toxic"), "margin"))
     return Model(lexicon, trees, isotonic, share)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          lexicon_entries: int = LEXICON) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on).
 
     Every whole text is scored, from its text alone; null counts as empty.  Repeated rows get
     equal scores; a null id is not held out.  Without labels of both classes all scores are
-    the share of toxic ones (0 without labels).  An empty table gives no rows.
+    the share of toxic ones (0 without labels).  An empty table gives no rows; long texts are
+    read whole, in slices.
     """
-    model = fit(docs, labels, id_col, text_col)
+    model = fit(docs, labels, id_col, text_col, lexicon_entries=lexicon_entries)
     out = model.score(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     return out.select("doc_id", F.coalesce(deal(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
