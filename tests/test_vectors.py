@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickerpress.operators import near_duplicates as nd
+from tickerpress.operators import svd as sv
 from tickerpress.operators import vectors as vc
 
 
@@ -61,6 +62,36 @@ def test_tfidf_and_svd_against_numpy(spark):
     assert (peak > 0).all()
 
 
+def sparse_rows(spark, x, parts):
+    rows = [([int(j) for j in np.flatnonzero(r)], [float(r[j]) for j in np.flatnonzero(r)]) for r in x]
+    return spark.createDataFrame(rows, "idx array<int>, val array<double>").repartition(parts)
+
+
+@pytest.mark.parametrize("n,terms,rank,seed", [(400, 300, 12, 1), (900, 500, 25, 2), (30, 200, 20, 3), (5, 40, 12, 4)])
+def test_range_finder_against_numpy(spark, monkeypatch, n, terms, rank, seed):
+    """Flat spectra, several restarts, more terms than rows, and a rank above the rows."""
+    monkeypatch.setattr(sv, "FAN", 2)
+    monkeypatch.setattr(sv, "SLICE", 20 * terms)
+    monkeypatch.setattr(sv, "PART", 1_000)
+    rng = np.random.default_rng(seed)
+    x = np.where(rng.random((n, terms)) < 0.05, rng.random((n, terms)), 0.0)
+    components, sizes = sv.leading_pairs(sparse_rows(spark, x, 5), terms, rank)
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    s = np.append(s, np.zeros(max(0, rank - len(s))))[:rank]
+    np.testing.assert_allclose(sizes, s, rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(components.T @ components, np.eye(rank), atol=1e-10)
+    found = int((s > 1e-9).sum())
+    np.testing.assert_allclose(np.abs(components[:, :found]), np.abs(vt[:found].T), atol=1e-6)
+
+
+def test_range_finder_without_rows_and_with_empty_ones(spark):
+    components, sizes = sv.leading_pairs(sparse_rows(spark, np.zeros((6, 8)), 3), 8, 3)
+    assert (sizes == 0).all() and components.shape == (8, 3)
+    none = spark.createDataFrame([], "idx array<int>, val array<double>")
+    components, sizes = sv.leading_pairs(none, 8, 3)
+    assert (sizes == 0).all() and components.shape == (8, 3)
+
+
 def test_rank_is_clamped(spark):
     df = frame(spark, [(i, "alpha beta") for i in range(6)])
     model, svd = vc.fit_tfidf_svd(df, "t", 10, 25, stop_words=[])

@@ -6,8 +6,11 @@ series and split at most, whose rows are bounded by the calendar.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,9 @@ ROLLING_ROWS = 20
 HISTOGRAM_BINS = 40
 TOP_CORRELATIONS = 12
 
+#: Permutations of one series that a task takes at once.
+PERMUTATIONS = 25
+
 
 def split_order(split: Column) -> Column:
     """Position of a split in reports."""
@@ -168,24 +174,50 @@ def permutation_null(panel: DataFrame, columns: Sequence[str], n_permutations: i
                      level: float = 0.95) -> DataFrame:
     """Distribution of the best absolute rank correlation when targets are shuffled.
 
-    Ranks are taken once.  A permutation orders the days by a hash of series,
-    day and permutation number, and the target ranks are dealt out in that order.
+    Ranks are taken once.  A permutation orders the days by a hash of series, day and
+    permutation number, and the target ranks are dealt out in that order.  The unit is a
+    block of permutations of one series: one product of the matrix of feature ranks with
+    the dealt target ranks, so days are repeated once per block.
     """
     usable = panel.where(F.col(target).isNotNull())
-    ranks = usable.select(series, date, _average_rank(target, series).alias("ry"),
-                          *[_average_rank(c, series).alias(c) for c in columns])
-    in_order = F.row_number().over(Window.partitionBy(series).orderBy(date))
-    placed = ranks.withColumn("place", in_order)
-    dealt = (placed.select(series, date, "ry", F.explode(
-                F.sequence(F.lit(1), F.lit(n_permutations))).alias("permutation"))
-             .select(series, "permutation", "ry", F.row_number().over(
-                 Window.partitionBy(series, "permutation")
-                 .orderBy(F.md5(F.concat_ws("|", series, date, "permutation")), date))
-                 .alias("place")))
-    joined = dealt.join(placed.drop("ry", date), [series, "place"])
-    rhos = joined.groupBy(series, "permutation").agg(*[
-        F.abs(safe_corr(F.col(c), F.col("ry"))).alias(c) for c in columns])
-    best = rhos.select(series, F.greatest(*columns, F.lit(0.0)).alias("best"))
+    place = F.row_number().over(Window.partitionBy(series).orderBy(date))
+    blocks = F.sequence(F.lit(0), F.lit((n_permutations - 1) // PERMUTATIONS))
+    ranks = usable.select(
+        series, place.alias("place"), F.concat_ws("|", series, date, F.lit("")).alias("label"),
+        _average_rank(target, series).alias("y"),
+        F.array(*[_average_rank(c, series) for c in columns]).alias("x"))
+    spread = ranks.withColumn("block", F.explode(blocks))
+
+    def strongest(key: tuple, days: pd.DataFrame) -> pd.DataFrame:
+        days = days.sort_values("place")
+        numbers = range(key[1] * PERMUTATIONS + 1, min((key[1] + 1) * PERMUTATIONS, n_permutations) + 1)
+        y = days["y"].to_numpy()
+        dealt = np.column_stack([y[_dealt(days["label"], number)] for number in numbers])
+        best = _correlations(np.stack(days["x"].to_numpy()), dealt).max(axis=0, initial=0.0)
+        return pd.DataFrame({series: key[0], "permutation": list(numbers), "best": best})
+
+    kind = panel.schema[series].dataType.simpleString()
+    best = spread.groupBy(series, "block").applyInPandas(
+        strongest, f"`{series}` {kind}, permutation int, best double")
     return best.groupBy(series).agg(
         F.count(F.lit(1)).alias("n_permutations"),
         F.percentile("best", F.lit(level)).alias("threshold"), F.avg("best").alias("mean_best"))
+
+
+def _dealt(labels: pd.Series, number: int) -> np.ndarray:
+    """Places in the order of the MD5 of label and permutation number; ties stay in order."""
+    tail = str(number).encode()
+    digests = b"".join(hashlib.md5(label.encode() + tail).digest() for label in labels)
+    halves = np.frombuffer(digests, ">u8").reshape(-1, 2)
+    return np.lexsort((halves[:, 1], halves[:, 0]))
+
+
+def _correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Absolute correlation of every column of x with every column of y; 0 where one does not vary.
+
+    Ranks are halves of whole numbers, so the centred sums of a column without spread are exactly 0.
+    """
+    middle = (len(x) + 1) / 2
+    x, y = x - middle, y - middle
+    spread = np.sqrt(np.outer((x * x).sum(axis=0), (y * y).sum(axis=0)))
+    return np.abs(np.divide(x.T @ y, spread, out=np.zeros_like(spread), where=spread > 0))

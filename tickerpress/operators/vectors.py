@@ -15,12 +15,11 @@ import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerpress.functions import text as tx
+from tickerpress.operators.svd import leading_pairs
 from tickerpress.session import write_through
 
 # Vocabulary floor and sizes for titles and bodies.
@@ -176,6 +175,13 @@ class SvdModel:
     def rank(self) -> int:
         return self.components.shape[1]
 
+    def frame(self, spark: SparkSession, terms: Sequence[str]) -> DataFrame:
+        """``(component, term, loading)``, terms x rank rows at most."""
+        place, component = np.indices(self.components.shape)
+        rows = pd.DataFrame({"component": component.ravel(), "term": np.asarray(terms, dtype=object)[place.ravel()],
+                             "loading": self.components.ravel()})
+        return spark.createDataFrame(rows, "component int, term string, loading double")
+
     def project(self, df: DataFrame, vector_col: str = "tfidf", out: str = "svd") -> DataFrame:
         """Add the coordinates of each sparse vector; one matrix product per Arrow batch."""
         v = self.components
@@ -205,19 +211,14 @@ def _fix_signs(v: np.ndarray) -> np.ndarray:
 def fit_svd(vectors: DataFrame, vector_col: str, n_terms: int, rank: int) -> SvdModel:
     """Uncentred truncated SVD of the rows, rank clamped to ``[1, n_terms - 1]``.
 
-    The Gram matrix is terms x terms, whatever the number of texts: the vocabulary's size, a
-    parameter of the fit, sets the memory it takes.  The vectors are written by as many
-    tasks as there are; then each task folds at least as many rows as there are terms into one
-    partial matrix, so the partials, which meet in a tree, do not outweigh the vectors.
+    The vectors are written once and read by every pass; no task nor the driver holds more
+    than a few times terms x rank numbers.
     """
     k = max(1, min(rank, n_terms - 1))
-    written = write_through(vectors.select(vector_col), "svd-vectors")
-    tasks = -(-written.count() // n_terms) or 1
-    rows = MLUtils.convertVectorColumnsFromML(written, vector_col).coalesce(tasks)
-    gram = RowMatrix(rows, 0, n_terms).computeGramianMatrix().toArray()
-    values, basis = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1][:k]
-    return SvdModel(_fix_signs(basis[:, order]), np.sqrt(np.clip(values[order], 0.0, None)))
+    idx, values = sparse_parts(vector_col)
+    written = write_through(vectors.select(idx.alias("idx"), values.alias("val")), "svd-vectors")
+    components, sizes = leading_pairs(written, n_terms, k)
+    return SvdModel(_fix_signs(components), sizes)
 
 
 def component_columns(df: DataFrame, vector_col: str, rank: int, prefix: str = "") -> DataFrame:

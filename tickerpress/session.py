@@ -19,6 +19,8 @@ SETTINGS = {
     # rather than sorting the wide article side.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A task has one core; matrix products in as many threads as the machine has get in each other's way.
+    "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
 }
 
 

@@ -385,31 +385,139 @@ def v5(spark, d):
     return v.rounded(vc.long_weights(model.transform(articles, "title"), ["ingest_id"], model))
 
 
-def _title_models(spark, d):
-    return vc.fit_tfidf_svd(train_articles(spark, d), "title", vc.TITLE_TERMS, vc.TITLE_RANK,
-                            stop_words=v.STOP_WORDS)
+#: Vocabulary size and rank of each field, and its prefix in the daily table.
+_FIELDS = {"title": (vc.TITLE_TERMS, vc.TITLE_RANK, "title_"), "full_text": (vc.BODY_TERMS, vc.BODY_RANK, "text_")}
 
 
-@query("v6_truncated_svd")
-def v6(spark, d):
-    tfidf, svd = _title_models(spark, d)
+@query("v5_transform_bodies", v.ctes("aligned", tail=weights_sql(
+    "aligned", "full_text", 3000, 5, f"WHERE adjusted_date < {CUTOFF_SQL}")) +
+    f"SELECT ingest_id, term, {v.r('weight')} AS weight FROM wts")
+def v5_bodies(spark, d):
+    model = vc.fit_tfidf(train_articles(spark, d).select("full_text"), "full_text", vc.BODY_TERMS,
+                         stop_words=v.STOP_WORDS)
+    articles = aligned(spark, d).select("ingest_id", "full_text")
+    return v.rounded(vc.long_weights(model.transform(articles, "full_text"), ["ingest_id"], model))
+
+
+def _models(spark, d, column):
+    terms, rank, _ = _FIELDS[column]
+    return vc.fit_tfidf_svd(train_articles(spark, d), column, terms, rank, stop_words=v.STOP_WORDS)
+
+
+def _singular_values(spark, d, column):
+    _, svd = _models(spark, d, column)
     rows = [(i, float(s)) for i, s in enumerate(svd.singular_values)]
     return v.rounded(spark.createDataFrame(rows, "component int, singular_value double"))
 
 
+def _projected(spark, d, column):
+    tfidf, svd = _models(spark, d, column)
+    vectors = tfidf.transform(aligned(spark, d).select("ingest_id", column), column)
+    placed = svd.project(vectors).select("ingest_id", "svd")
+    return v.rounded(vc.component_columns(placed, "svd", svd.rank, _FIELDS[column][2]))
+
+
+def _projected_daily(spark, d, column):
+    tfidf, svd = _models(spark, d, column)
+    return v.rounded(vc.transform_daily(aligned(spark, d), "adjusted_date", column, tfidf, svd,
+                                        _FIELDS[column][2]))
+
+
+@query("v6_truncated_svd")
+def v6(spark, d):
+    return _singular_values(spark, d, "title")
+
+
+@query("v6_truncated_svd_bodies")
+def v6_bodies(spark, d):
+    return _singular_values(spark, d, "full_text")
+
+
+@query("v6_components")
+def v6_components(spark, d):
+    """Loadings of every term on every component, of titles and bodies."""
+    def field(column):
+        tfidf, svd = _models(spark, d, column)
+        return svd.frame(spark, tfidf.terms).withColumn("field", F.lit(column))
+
+    return v.rounded(field("title").unionByName(field("full_text")))
+
+
+def _svd_checks_sql(column: str) -> str:
+    """What must hold of singular vectors, but for the total, which is a figure of the texts."""
+    terms, rank, _ = _FIELDS[column]
+    return v.ctes("aligned", tail=weights_sql(
+        "aligned", column, terms, 5, f"WHERE adjusted_date < {CUTOFF_SQL}") + f""",
+        ks AS (SELECT CAST(k AS INTEGER) AS k FROM range({rank}) r(k)
+               WHERE k < greatest(1, (SELECT count(*) FROM voc) - 1))""") + """
+        SELECT 'product' AS item, a.k AS component, b.k AS other,
+               CAST(CASE WHEN a.k = b.k THEN 1 ELSE 0 END AS DOUBLE) AS value FROM ks a JOIN ks b ON a.k <= b.k
+        UNION ALL SELECT 'residual', k, k, CAST(0 AS DOUBLE) FROM ks
+        UNION ALL SELECT 'length', k, k, CAST(0 AS DOUBLE) FROM ks
+        UNION ALL SELECT 'total', 0, 0, CAST(count(DISTINCT ingest_id) AS DOUBLE)
+        FROM wts JOIN fit USING (ingest_id)"""
+
+
+def _svd_checks(spark, d, column):
+    """Products of components, residuals of the singular pairs on the training texts, lengths
+    of the projected texts less singular values, and the total squared weight."""
+    terms, rank, _ = _FIELDS[column]
+    train = train_articles(spark, d).select("ingest_id", column)
+    tfidf, svd = vc.fit_tfidf_svd(train, column, terms, rank, stop_words=v.STOP_WORDS)
+    vectors = tfidf.transform(train, column)
+    weights = vc.long_weights(vectors, ["ingest_id"], tfidf)
+    loadings = svd.frame(spark, tfidf.terms)
+    sizes = spark.createDataFrame([(i, float(s * s)) for i, s in enumerate(svd.singular_values)],
+                                  "component int, size double")
+    placed = svd.project(vectors).select("ingest_id", F.posexplode("svd").alias("component", "x"))
+    products = (loadings.join(loadings.toDF("other", "term", "b"), "term").where("component <= other")
+                .groupBy("component", "other").agg(F.sum(F.col("loading") * F.col("b")).alias("value")))
+    back = (weights.join(placed, "ingest_id").groupBy("component", "term")
+            .agg(F.sum(F.col("weight") * F.col("x")).alias("y")))
+    off = F.abs(F.coalesce("y", F.lit(0.0)) - F.col("size") * F.col("loading"))
+    residual = (loadings.join(back, ["component", "term"], "left").join(sizes, "component")
+                .groupBy("component").agg(F.max(off).alias("value")))
+    length = (placed.groupBy("component").agg(F.sum(F.col("x") * F.col("x")).alias("squares"))
+              .join(sizes, "component").select("component", (F.col("squares") - F.col("size")).alias("value")))
+    total = weights.agg(F.sum(F.col("weight") * F.col("weight")).alias("value"))
+
+    def rows(item, df, component="component", other="component"):
+        number = [F.lit(0) if c is None else F.col(c) for c in (component, other)]
+        return df.select(F.lit(item).alias("item"), number[0].alias("component"), number[1].alias("other"), "value")
+
+    out = (rows("product", products, other="other").unionByName(rows("residual", residual))
+           .unionByName(rows("length", length)).unionByName(rows("total", total, None, None)))
+    return v.rounded(out)
+
+
+@query("v6_svd_checks", _svd_checks_sql("title"))
+def v6_checks(spark, d):
+    return _svd_checks(spark, d, "title")
+
+
+@query("v6_svd_checks_bodies", _svd_checks_sql("full_text"))
+def v6_checks_bodies(spark, d):
+    return _svd_checks(spark, d, "full_text")
+
+
 @query("v7_project")
 def v7(spark, d):
-    tfidf, svd = _title_models(spark, d)
-    vectors = tfidf.transform(aligned(spark, d).select("ingest_id", "title"), "title")
-    placed = svd.project(vectors).select("ingest_id", "svd")
-    return v.rounded(vc.component_columns(placed, "svd", svd.rank, "title_"))
+    return _projected(spark, d, "title")
+
+
+@query("v7_project_bodies")
+def v7_bodies(spark, d):
+    return _projected(spark, d, "full_text")
 
 
 @query("v8_transform_daily")
 def v8(spark, d):
-    tfidf, svd = _title_models(spark, d)
-    return v.rounded(vc.transform_daily(aligned(spark, d), "adjusted_date", "title", tfidf, svd,
-                                        "title_"))
+    return _projected_daily(spark, d, "title")
+
+
+@query("v8_transform_daily_bodies")
+def v8_bodies(spark, d):
+    return _projected_daily(spark, d, "full_text")
 
 
 @query("v9_top_terms", v.ctes("aligned", tail=weights_sql(
