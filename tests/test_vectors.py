@@ -154,3 +154,16 @@ def test_near_duplicates_with_one_crowd_of_copies(spark, monkeypatch):
     rows = crowd + [(200 + i, t) for i, t in corpus(5, 80, 60, (3, 40))]
     got = nd.near_duplicate_ids(frame(spark, rows), "id", "t", 0.9, 5000, [])
     assert {r["id"] for r in got.collect()} == brute_near(rows, 0.9, 5000)
+
+
+def test_pairs_of_blocks_are_bounded_before_any_vector_is_looked_up(spark, monkeypatch):
+    near, far = [0.8, 0.6], [0.1, 0.995]
+    rows = [(i, 0, 0.7, 0.5, 3, i != 4, [0, 1], near if i % 2 == 0 else far) for i in (0, 1, 2, 4, 6)]
+    sized = spark.createDataFrame(rows, "id long, term int, w double, rest double, blocks int, open boolean, t array<int>, x array<double>")
+    sized = sized.withColumn("norms", nd.bucket_norms("t", "x")).drop("t", "x")
+    got = sorted((r["i"], r["j"]) for r in nd._block_pairs(sized, 0.9).collect())
+    assert got == [(0, 2), (0, 6), (2, 6), (4, 6)]  # 1 is far from all, 4 is settled already
+    both = spark.createDataFrame([([1, 5, 9], [0.5, 0.5, 0.7], [5, 9], [0.6, 0.8])], "i array<int>, x array<double>, j array<int>, y array<double>")
+    assert both.select(nd.cosine("i", "x", "j", "y")).first()[0] == pytest.approx(0.86)
+    bound = both.select(nd.bucket_bound(nd.bucket_norms("i", "x"), nd.bucket_norms("j", "y"))).first()[0]
+    assert 0.86 <= bound < 0.87
