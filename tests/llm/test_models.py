@@ -226,3 +226,12 @@ def test_pipeline_stands_awkward_rows(spark, tmp_path):
     empty = h.awkward(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_only_texts_go_to_python_to_be_scored(spark):
+    from tickerpress.llm import toxicity
+    rows = spark.createDataFrame([(1, "you idiot!", "kept"), (2, None, "too")], "doc_id long, text string, other string")
+    found = toxicity.with_features(rows, {"idiot": 3.0})
+    assert found.columns == ["doc_id", "other", "f"] and [len(r["f"]) for r in found.collect()] == [len(toxicity.FEATURES)] * 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan

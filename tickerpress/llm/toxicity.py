@@ -199,18 +199,17 @@ def learn_lexicon(rows: DataFrame, entries: int = LEXICON) -> dict[str, float]:
 
 
 def with_features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """``rows`` with a column ``f`` (array of ``FEATURES``) in place of ``text``."""
-    rest = [c for c in rows.columns if c != "text"]
-    schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in rows.select(*rest).schema])
+    """``rows`` with a column ``f`` (array of ``FEATURES``) in place of ``text``.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only texts go to Python and only features come back; the other columns stay where they are.
+    """
+    @F.arrow_udf("array<double>")
+    def of(texts: pa.Array) -> pa.Array:
         words = _words(lexicon)
-        for batch in batches:
-            f = [features(t.as_py(), words) for t in batch.column("text")]  # one text at a time
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(f, pa.list_(pa.float64()))],
-                                             [*rest, "f"])
+        return pa.array([features(t.as_py(), words) for t in texts], pa.list_(pa.float64()))  # one text at a time
 
-    return rows.mapInArrow(work, f"{schema}, f array<double>")
+    # Not deterministic by name only: what filters on a score is not to look at the texts a second time.
+    return rows.withColumn("f", of.asNondeterministic()("text")).drop("text")
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
