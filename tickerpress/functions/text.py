@@ -1,11 +1,15 @@
-"""Column expressions over text.  All run inside the JVM."""
+"""Column expressions over text.  All but ``term_counts`` run inside the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Characters that count as whitespace: the Unicode spaces and the four separator
 # controls.  Patterns that use the class start with the (?U) flag.
@@ -18,6 +22,9 @@ NON_LETTER_PATTERN = f"(?U)[^a-zA-Z{SPACE}]"
 ALPHA_TOKEN_PATTERN = "[a-zA-Z]+"
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
+#: Texts whose terms are counted at a time.
+ROWS = 256
+
 
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
@@ -86,6 +93,25 @@ def unnest(df: DataFrame, keep: Sequence[str], array: Column, name: str) -> Data
     return rows.where(F.col(name).isNotNull())
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])))
+def term_counts(tokens: pa.Array) -> pa.Array:
+    """The distinct tokens of each array with their numbers, ``ROWS`` arrays at a time; none for null."""
+    kind = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())]))
+    return pa.concat_arrays([pa.array([], kind)] + [
+        _counted(tokens.slice(i, ROWS)).cast(kind) for i in range(0, len(tokens), ROWS)])
+
+
+def _counted(rows: pa.Array) -> pa.Array:
+    sizes = pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False)
+    coded = rows.flatten().dictionary_encode()
+    terms, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    keys, n = np.unique(np.repeat(np.arange(len(rows)), sizes) * max(1, len(terms)) + codes, return_counts=True)
+    row, code = np.divmod(keys, max(1, len(terms)))
+    ends = np.cumsum(np.bincount(row, minlength=len(rows)))
+    pairs = pa.StructArray.from_arrays([terms.take(pa.array(code)).cast(pa.string()), pa.array(n.astype(np.int64))], ["term", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pairs)
+
+
 def digest(*cols: Column) -> Column:
     """A 32-byte key for text; null if any column is null."""
     if len(cols) == 1:

@@ -7,7 +7,7 @@ valence rules run over Arrow batches of token arrays.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -112,19 +112,12 @@ def lexicon_hits_by_join(df: DataFrame, id_col: str, text_col: str, lexicon: Dat
     distinct term.  The planner broadcasts a lexicon below its threshold;
     beyond it a frequent term is split by adaptive execution.
     """
-    terms = tx.unnest(df, [id_col], _term_counts(tx.alpha_tokens(F.col(text_col))), "t")
+    terms = tx.unnest(df, [id_col], tx.term_counts(tx.alpha_tokens(F.col(text_col))), "t")
     return (terms.select(id_col, "t.term", "t.n")
             .join(lexicon.select("term", "category").distinct(), "term")
             .groupBy(id_col, "category").agg(F.sum("n").alias("hits")))
 
 
-@arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])))
-def _term_counts(tokens: pa.Array) -> pa.Array:
-    counted = [list(Counter(row).items()) if row else [] for row in tokens.to_pylist()]
-    return pa.array([[{"term": t, "n": n} for t, n in row] for row in counted],
-                    pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())])))
-
-
 # -- valence ----------------------------------------------------------------
 
 _PUNCT = r"(?:[.!?,;:\-'\"]|!{2,3}|\?{2,3}|\?!\?!?|!\?!\??)"

@@ -42,9 +42,11 @@ def with_terms(df: DataFrame, text_col: str, stop_words: Sequence[str], bigrams:
 
 
 def term_stream(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str],
-                bigrams: bool = True) -> DataFrame:
-    """``(id, term)``, one row per occurrence."""
+                bigrams: bool = True, counted: bool = False) -> DataFrame:
+    """``(id, term)``, one row per occurrence, or if ``counted`` ``(id, term, n)``, one row per term of a text."""
     staged = with_terms(df.select(id_col, text_col), text_col, stop_words, bigrams)
+    if counted:
+        return tx.unnest(staged, [id_col], tx.term_counts("terms"), "t").select(id_col, "t.term", "t.n")
     return tx.unnest(staged, [id_col], F.col("terms"), "term")
 
 

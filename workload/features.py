@@ -137,13 +137,20 @@ def l1(spark, d):
     return v.news(spark, d).select("ingest_id", tx.clean_ascii(F.col("full_text")).alias("cleaned"))
 
 
+def _parts(spark, d) -> int:
+    """Shuffle partitions for terms of whole texts: in proportion to the scan, so that none grows with the input."""
+    return 16 * v.table(spark, d, "documents").rdd.getNumPartitions()
+
+
 @query("l2_tokens", v.ctes("news", tail=f"""tok AS (SELECT ingest_id,
     unnest(regexp_extract_all({CLEAN.format(c='full_text')}, '[a-z]+')) AS t FROM news)""")
     + "SELECT ingest_id, t AS token, count(*) AS n FROM tok GROUP BY 1, 2")
 def l2(spark, d):
-    tokens = tx.unnest(v.news(spark, d), ["ingest_id"], tx.alpha_tokens(F.col("full_text")), "token")
-    return (tokens
-            .groupBy("ingest_id", "token").agg(F.count(F.lit(1)).alias("n")))
+    counts = tx.unnest(v.news(spark, d), ["ingest_id"], tx.term_counts(tx.alpha_tokens(F.col("full_text"))), "t")
+    # Counted inside the row, so only repeated ids are left to add up: no partial sums ahead of the shuffle.
+    return (counts.select("ingest_id", F.col("t.term").alias("token"), "t.n")
+            .repartition(_parts(spark, d), "ingest_id", "token")
+            .groupBy("ingest_id", "token").agg(F.sum("n").alias("n")))
 
 
 _COUNTS = """SELECT ingest_id, CAST(n AS INTEGER) AS n_tokens, CAST(pos AS INTEGER) AS lm_pos,
@@ -336,8 +343,9 @@ def weights_sql(source: str, column: str, max_features: int, min_df: int, train:
 @query("v1_term_stream", v.ctes("news", tail=terms_sql()) +
        "SELECT ingest_id, term, count(*) AS n FROM trm GROUP BY 1, 2")
 def v1(spark, d):
-    stream = vc.term_stream(v.news(spark, d), "ingest_id", "full_text", v.STOP_WORDS)
-    return stream.groupBy("ingest_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    stream = vc.term_stream(v.news(spark, d), "ingest_id", "full_text", v.STOP_WORDS, counted=True)
+    return (stream.repartition(_parts(spark, d), "ingest_id", "term")
+            .groupBy("ingest_id", "term").agg(F.sum("n").alias("n")))
 
 
 @query("v2_vocabulary", v.ctes("news", tail=weights_sql("news", "full_text", 3000, 5)) +
