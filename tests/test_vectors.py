@@ -167,3 +167,29 @@ def test_pairs_of_blocks_are_bounded_before_any_vector_is_looked_up(spark, monke
     assert both.select(nd.cosine("i", "x", "j", "y")).first()[0] == pytest.approx(0.86)
     bound = both.select(nd.bucket_bound(nd.bucket_norms("i", "x"), nd.bucket_norms("j", "y"))).first()[0]
     assert 0.86 <= bound < 0.87
+
+
+def test_terms_are_counted_in_slices_of_rows(spark, monkeypatch):
+    from tickerpress.functions import text as tx
+    rows = [(i, t) for i, t in enumerate(["b a b", "", None, "c"] * 200)]
+    stream = vc.term_stream(frame(spark, rows), "id", "t", [], bigrams=False, counted=True)
+    plain = frame(spark, [(i, t and t.replace("a", "aa").replace("b", "bb").replace("c", "cc")) for i, t in rows])
+    assert stream.count() == 0  # words have two letters at least
+    got = {(r["id"], r["term"]): r["n"] for r in vc.term_stream(plain, "id", "t", [], bigrams=False, counted=True).collect()}
+    assert len(rows) > tx.ROWS and got == {k: n for i in range(0, 800, 4) for k, n in (
+        ((i, "bb"), 2), ((i, "aa"), 1), ((i + 3, "cc"), 1))}
+
+
+def test_projection_in_slices_of_weights(spark):
+    rng = np.random.default_rng(3)
+    dense = np.where(rng.random((90, 12)) < 0.4, rng.random((90, 12)), 0.0)
+    dense[[0, 7, 89]] = 0.0
+    model, made, seen = vc.SvdModel(rng.random((12, 3)), np.ones(3)), [], vc.ENTRIES
+    try:
+        vc.ENTRIES = 10
+        for x in dense:
+            made.append((np.flatnonzero(x), x[x != 0]))
+        got = model.coordinates([i for i, _ in made], [w for _, w in made])
+    finally:
+        vc.ENTRIES = seen
+    assert np.allclose(got, dense @ model.components)

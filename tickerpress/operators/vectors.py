@@ -26,6 +26,8 @@ from tickerpress.session import write_through
 MIN_DOC_FREQ = 5
 TITLE_TERMS, TITLE_RANK = 1_000, 25
 BODY_TERMS, BODY_RANK = 3_000, 50
+#: Weights projected at a time.
+ENTRIES = 1 << 16
 
 
 def english_stop_words() -> list[str]:
@@ -185,23 +187,26 @@ class SvdModel:
         return spark.createDataFrame(rows, "component int, term string, loading double")
 
     def project(self, df: DataFrame, vector_col: str = "tfidf", out: str = "svd") -> DataFrame:
-        """Add the coordinates of each sparse vector; one matrix product per Arrow batch."""
-        v = self.components
-        rank = self.rank
-
+        """Add the coordinates of each sparse vector."""
         @F.pandas_udf("array<double>")
-        def coordinates(idx: pd.Series, values: pd.Series) -> pd.Series:
-            sizes = np.array([len(x) for x in idx], dtype=np.int64)
-            result = np.zeros((len(idx), rank))
-            filled = np.flatnonzero(sizes)
-            if len(filled):
-                rows = np.concatenate([np.asarray(x, dtype=np.int64) for x in idx])
-                weights = np.concatenate([np.asarray(x, dtype=float) for x in values])
-                starts = np.concatenate([[0], np.cumsum(sizes)])[:-1][filled]
-                result[filled] = np.add.reduceat(v[rows] * weights[:, None], starts, axis=0)
-            return pd.Series(list(result))
-
-        return df.withColumn(out, coordinates(*sparse_parts(vector_col)))
+        def placed(idx: pd.Series, values: pd.Series) -> pd.Series:
+            return pd.Series(list(self.coordinates(idx, values)))
+
+        return df.withColumn(out, placed(*sparse_parts(vector_col)))
+
+    def coordinates(self, idx: Sequence[np.ndarray], values: Sequence[np.ndarray]) -> np.ndarray:
+        """Coordinates of sparse vectors, by slices of some ``ENTRIES`` weights: a product has rank times as many numbers."""
+        v, idx, values = self.components, list(idx), list(values)
+        sizes = np.array([len(x) for x in idx], dtype=np.int64)
+        result = np.zeros((len(idx), self.rank))
+        filled = np.flatnonzero(sizes)
+        ends = np.flatnonzero(np.diff(np.cumsum(sizes[filled]) // ENTRIES)) + 1
+        for part in np.split(filled, ends) if len(filled) else []:
+            rows = np.concatenate([np.asarray(idx[i], dtype=np.int64) for i in part])
+            weights = np.concatenate([np.asarray(values[i], dtype=float) for i in part])
+            starts = np.concatenate([[0], np.cumsum(sizes[part])])[:-1]
+            result[part] = np.add.reduceat(v[rows] * weights[:, None], starts, axis=0)
+        return result
 
 
 def _fix_signs(v: np.ndarray) -> np.ndarray:
