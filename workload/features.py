@@ -10,6 +10,7 @@ from tickerpress.operators import daily as da
 from tickerpress.operators import panel as pn
 from tickerpress.operators import scoring as sc
 from tickerpress.operators import vectors as vc
+from tickerpress.session import write_through
 from workload import views as v
 from workload.articles import aligned
 
@@ -407,28 +408,36 @@ def v5_bodies(spark, d):
     return v.rounded(vc.long_weights(model.transform(articles, "full_text"), ["ingest_id"], model))
 
 
-def _models(spark, d, column):
+def _texts(spark, d, column):
+    """Aligned texts of one field, written once for the passes that read them, and those before the cutoff."""
+    texts = write_through(aligned(spark, d).select("ingest_id", "adjusted_date", column), "texts")
+    cutoff = pn.cutoff_date(v.rate(spark, d)).select("cutoff").scalar()
+    return texts, vc.before_cutoff(texts, "adjusted_date", cutoff)
+
+
+def _models(train, column):
     terms, rank, _ = _FIELDS[column]
-    return vc.fit_tfidf_svd(train_articles(spark, d), column, terms, rank, stop_words=v.STOP_WORDS)
+    return vc.fit_tfidf_svd(train, column, terms, rank, stop_words=v.STOP_WORDS)
 
 
 def _singular_values(spark, d, column):
-    _, svd = _models(spark, d, column)
+    _, svd = _models(_texts(spark, d, column)[1], column)
     rows = [(i, float(s)) for i, s in enumerate(svd.singular_values)]
     return v.rounded(spark.createDataFrame(rows, "component int, singular_value double"))
 
 
 def _projected(spark, d, column):
-    tfidf, svd = _models(spark, d, column)
-    vectors = tfidf.transform(aligned(spark, d).select("ingest_id", column), column)
+    texts, train = _texts(spark, d, column)
+    tfidf, svd = _models(train, column)
+    vectors = tfidf.transform(texts.select("ingest_id", column), column)
     placed = svd.project(vectors).select("ingest_id", "svd")
     return v.rounded(vc.component_columns(placed, "svd", svd.rank, _FIELDS[column][2]))
 
 
 def _projected_daily(spark, d, column):
-    tfidf, svd = _models(spark, d, column)
-    return v.rounded(vc.transform_daily(aligned(spark, d), "adjusted_date", column, tfidf, svd,
-                                        _FIELDS[column][2]))
+    texts, train = _texts(spark, d, column)
+    tfidf, svd = _models(train, column)
+    return v.rounded(vc.transform_daily(texts, "adjusted_date", column, tfidf, svd, _FIELDS[column][2]))
 
 
 @query("v6_truncated_svd")
@@ -445,7 +454,7 @@ def v6_bodies(spark, d):
 def v6_components(spark, d):
     """Loadings of every term on every component, of titles and bodies."""
     def field(column):
-        tfidf, svd = _models(spark, d, column)
+        tfidf, svd = _models(_texts(spark, d, column)[1], column)
         return svd.frame(spark, tfidf.terms).withColumn("field", F.lit(column))
 
     return v.rounded(field("title").unionByName(field("full_text")))
@@ -470,7 +479,7 @@ def _svd_checks(spark, d, column):
     """Products of components, residuals of the singular pairs on the training texts, lengths
     of the projected texts less singular values, and the total squared weight."""
     terms, rank, _ = _FIELDS[column]
-    train = train_articles(spark, d).select("ingest_id", column)
+    train = _texts(spark, d, column)[1].select("ingest_id", column)
     tfidf, svd = vc.fit_tfidf_svd(train, column, terms, rank, stop_words=v.STOP_WORDS)
     vectors = tfidf.transform(train, column)
     weights = vc.long_weights(vectors, ["ingest_id"], tfidf)
