@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import resource
+import tracemalloc
 from collections import defaultdict
 
 import helpers as h
@@ -187,6 +188,23 @@ def test_simhash_of_a_very_long_text_needs_little_memory():
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 250_000  # KB
 
 
+def test_simhash_bits_are_counted_in_little_memory():
+    """All 64 bits of 200,000 hashes at once, as long integers, would take 100 MB."""
+    texts = [" ".join(f"w{i * 7919 % 50021}" for i in range(500))] * 500
+    tracemalloc.start()
+    simhash.fingerprint(texts)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
+def test_keep_one_sends_texts_to_python_once(spark, capsys):
+    docs = h.documents(spark, [h.prose(60, seed) for seed in (1, 2, 1)])
+    kept = simhash.keep_one(docs)
+    kept.explain()
+    assert "Python" not in capsys.readouterr().out
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1]
+
+
 def test_simhash_of_awkward_rows(spark):
     df = h.awkward(spark)
     got = simhash.near_duplicates(h.clashing(df)).collect()

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickerpress.functions import text as tx
 from tickerpress.llm.components import components
 from tickerpress.session import write_through
 
@@ -53,9 +54,10 @@ def fingerprint(texts: Iterable[str | None]) -> np.ndarray:
 
     def flush():
         who, n = np.array(owners).T
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int64)
-        counted.append(_by_first(np.column_stack([who, n, ones])))
+        x, starts = np.array(hashes, dtype=np.uint64), np.cumsum(n) - n
+        # Bit by bit: all bits of all hashes at once take 64 numbers a hash.
+        ones = [np.add.reduceat(x >> np.uint64(bit) & np.uint64(1), starts).astype(np.int64) for bit in range(64)]
+        counted.append(_by_first(np.column_stack([who, n, *ones])))
         hashes.clear()
         owners.clear()
 
@@ -109,17 +111,19 @@ def _slices(raw: bytes) -> Iterator[list[bytes]]:
         yield words
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, print): the fingerprint as a signed long, one row per row of ``docs``."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = rows.schema["doc_id"].dataType
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """(doc_id, print): the fingerprint as a signed long, one row per row of ``docs``; with ``digest`` that of the text, too."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                       *([tx.digest(F.col(text_col)).alias("digest")] if digest else []))
+    kept = [c for c in rows.columns if c != "text"]
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept), "print long"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = fingerprint(x.as_py() for x in batch.column("text")).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(prints, pa.int64())], [*kept, "print"])
 
-    return rows.mapInArrow(work, f"doc_id {id_type.simpleString()}, print long")
+    return rows.mapInArrow(work, schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,7 +135,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never the smallest (a component of null ids only has a null id).  An empty
     table gives no rows.  Texts of any length are read whole, in slices.
     """
-    rows = write_through(fingerprints(docs, id_col, text_col), "prints")
+    return _named(fingerprints(docs, id_col, text_col)).select("doc_id", _hex("print").alias("fingerprint"), "component_id")
+
+
+def _named(prints: DataFrame) -> DataFrame:
+    """The rows with ``doc_id`` and ``print``, and their component_id."""
+    rows = write_through(prints, "prints")
     known = write_through(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct-prints")
     of = components(links(known.select("print")))
     known = known.join(of, known["print"] == of["node"], "left").select(
@@ -139,8 +148,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = write_through(known, "rooted-prints")
     roots = write_through(known.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     named = write_through(known.join(roots, "root").select("print", "component_id"), "named-prints")
-    return rows.join(named, "print").select(
-        "doc_id", _hex("print").alias("fingerprint"), "component_id")
+    return rows.join(named, "print")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,16 +157,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Each row is judged by its own id and text: rows that repeat an id stay or go apart if their texts
     differ.  Null ids stay only in a component that has no other.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fingerprint").distinct()
-
-    @F.arrow_udf("long")
-    def print_of(texts: pa.Array) -> pa.Array:
-        return pa.array(fingerprint(x.as_py() for x in texts).view(np.int64), pa.int64())
-
-    # The text of equal ids tells their rows apart; it is hashed again rather than carried through the links.
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), _hex(print_of(F.col(text_col))).alias("own"))
-    same = rows["id"].eqNullSafe(gone["doc_id"]) & (rows["own"] == gone["fingerprint"])
+    # The text of equal ids tells their rows apart; its digest goes with the fingerprint, so that texts go to Python once.
+    found = _named(fingerprints(docs, id_col, text_col, digest=True))
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "digest").distinct()
+    # Written first: few are broadcast by their known size, and no text is shuffled.
+    gone = write_through(gone, "copies")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), tx.digest(F.col(text_col)).alias("own"))
+    same = rows["id"].eqNullSafe(gone["doc_id"]) & rows["own"].eqNullSafe(gone["digest"])
     return rows.join(gone, same, "left_anti").select("row.*")
 
 
