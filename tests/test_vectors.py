@@ -193,3 +193,30 @@ def test_projection_in_slices_of_weights(spark):
     finally:
         vc.ENTRIES = seen
     assert np.allclose(got, dense @ model.components)
+
+
+ODD = [None, "", "a", "The cat sat. The cat", "ÄRGER ärger_2 ①② x1 日本 日本語", "ΣΑΣ σας İstanbul K9 don't a\u0301b", "cat\ncat  the cat"]
+
+
+def test_terms_are_counted_in_arrow_as_words_are_cut_in_rows(spark, capsys):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(ODD * 100)], "id long, text string")
+    stops = ["the", "don"]
+    found = vc.term_statistics(texts, "text", stops)
+    found.explain()
+    assert "Generate" not in capsys.readouterr().out  # a row per term of a batch, not one per occurrence
+    rows = [r.terms for r in vc.with_terms(texts, "text", stops).select("terms").collect()]
+    got = {r.term: (r.tf, r.df) for r in found.collect()}
+    assert got.pop(None) == (len(rows), len(rows))
+    assert got == {t: (sum(r.count(t) for r in rows), sum(t in r for r in rows)) for t in {t for r in rows for t in r}}
+
+
+def test_weights_of_odd_texts_are_those_of_their_terms(spark):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "id long, text string")
+    terms = sorted(["cat", "the", "the cat", "日本 日本語", "ärger_2", "cat sat", "cat the"])
+    for bigrams in (True, False):
+        model = vc.TfidfModel(terms, np.arange(1.0, 8.0), 7, [], bigrams)
+        rows = [r.terms for r in vc.with_terms(texts, "text", [], bigrams).orderBy("id").select("terms").collect()]
+        want = np.array([[r.count(t) for t in terms] for r in rows]) * model.idf
+        want = want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-300)
+        got = [r.tfidf.toArray() for r in model.transform(texts, "text").orderBy("id").collect()]
+        np.testing.assert_allclose(np.array(got), want, atol=1e-12)

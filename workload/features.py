@@ -481,20 +481,26 @@ def _svd_checks(spark, d, column):
     terms, rank, _ = _FIELDS[column]
     train = _texts(spark, d, column)[1].select("ingest_id", column)
     tfidf, svd = vc.fit_tfidf_svd(train, column, terms, rank, stop_words=v.STOP_WORDS)
-    vectors = tfidf.transform(train, column)
+    vectors = write_through(tfidf.transform(train, column).select("ingest_id", "tfidf"), "vectors")
     weights = vc.long_weights(vectors, ["ingest_id"], tfidf)
     loadings = svd.frame(spark, tfidf.terms)
     sizes = spark.createDataFrame([(i, float(s * s)) for i, s in enumerate(svd.singular_values)],
                                   "component int, size double")
-    placed = svd.project(vectors).select("ingest_id", F.posexplode("svd").alias("component", "x"))
+    placed = write_through(svd.project(vectors).select("ingest_id", "svd"), "placed")
+    names = [f"s{i}" for i in range(svd.rank)]
+
+    def sums(factor):
+        """A sum per component, not a row per component and weight."""
+        return [F.sum(factor(i) * F.get("svd", F.lit(i))).alias(n) for i, n in enumerate(names)]
+
     products = (loadings.join(loadings.toDF("other", "term", "b"), "term").where("component <= other")
                 .groupBy("component", "other").agg(F.sum(F.col("loading") * F.col("b")).alias("value")))
-    back = (weights.join(placed, "ingest_id").groupBy("component", "term")
-            .agg(F.sum(F.col("weight") * F.col("x")).alias("y")))
+    back = (weights.join(placed, "ingest_id").groupBy("term").agg(*sums(lambda i: F.col("weight")))
+            .select("term", F.posexplode(F.array(*names)).alias("component", "y")))
     off = F.abs(F.coalesce("y", F.lit(0.0)) - F.col("size") * F.col("loading"))
     residual = (loadings.join(back, ["component", "term"], "left").join(sizes, "component")
                 .groupBy("component").agg(F.max(off).alias("value")))
-    length = (placed.groupBy("component").agg(F.sum(F.col("x") * F.col("x")).alias("squares"))
+    length = (placed.agg(*sums(lambda i: F.get("svd", F.lit(i)))).select(F.posexplode(F.array(*names)).alias("component", "squares"))
               .join(sizes, "component").select("component", (F.col("squares") - F.col("size")).alias("value")))
     total = weights.agg(F.sum(F.col("weight") * F.col("weight")).alias("value"))
 
