@@ -104,3 +104,15 @@ def test_daily_singletons_have_no_spread(spark):
     assert set(rows) == {1, 2}
     assert rows[1]["x_std"] == 0.0 and rows[1]["news_count"] == 1
     assert rows[2]["x_std"] == pytest.approx(math.sqrt(2)) and rows[2]["x_mean"] == 2.0
+
+
+def test_lexicon_words_are_counted_in_arrow(spark, capsys):
+    texts = [None, "", "Up UP down--up", "İUP K9 über-down", "12 \n ", "up " * 1000] * 60
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    out = sc.lexicon_counts(df, "text", "p_", sc.Lexicon(["up", "iup"], ["down"], [], {"both": ["up", "down"]}))
+    out.explain()
+    assert "regexp_extract_all" not in capsys.readouterr().out
+    words = {r.id: r.w for r in df.select("id", tx.alpha_tokens(F.col("text")).alias("w")).collect()}
+    for r in out.collect():
+        n = [len(words[r.id])] + [sum(w in s for w in words[r.id]) for s in (["up", "iup"], ["down"], [], ["up", "down"])]
+        assert [r.p_n_tokens, r.p_lm_pos, r.p_lm_neg, r.p_lm_unc, r.p_lm_both] == n

@@ -1,7 +1,7 @@
 """Lexicon and valence scores per text.
 
-Scores are computed inside the row, so no text row is exploded or shuffled: lexicon
-tokens are tested against literal sets, which Spark turns into hash lookups, and the
+Scores are computed inside the row, so no text row is exploded or shuffled: the words of
+a batch of texts are told apart in Arrow, and each is looked up once; the
 valence rules run over Arrow batches of token arrays.
 """
 
@@ -11,6 +11,7 @@ from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,27 +65,33 @@ def lexicon_from_table(df: DataFrame, term: str = "term", category: str = "categ
     return Lexicon(*main, more=dict(sorted(lists.items())))
 
 
-def _in(token: Column, words: Sequence[str]) -> Column:
-    return token.isin(list(words)) if words else F.lit(False)
-
-
 def lexicon_counts(df: DataFrame, text_col: str, prefix: str = "",
                    lexicon: Lexicon | None = None) -> DataFrame:
     """Add ``n_tokens`` and the hits per category."""
     lexicon = lexicon or Lexicon()
-    tokens, hits = f"{prefix}tokens", f"{prefix}hits"
-    staged = df.withColumn(tokens, tx.alpha_tokens(F.col(text_col)))
-    staged = staged.withColumn(hits, F.filter(tokens, lambda t: _in(t, lexicon.words)))
+    lists = {"lm_pos": lexicon.positive, "lm_neg": lexicon.negative, "lm_unc": lexicon.uncertainty,
+             **{f"lm_{name}": words for name, words in lexicon.more.items()}}
+    staged = df.select(*[F.col(c) for c in df.columns], _hit_counts(list(lists.values()))(F.col(text_col)).alias("counts_"))
+    return staged.select(*[F.col(c) for c in df.columns], *[
+        F.col(f"counts_.c{i}").alias(f"{prefix}{name}") for i, name in enumerate(["n_tokens", *lists])])
 
-    def count(words):
-        return F.size(F.filter(hits, lambda t: _in(t, words)))
 
-    return staged.select(
-        *[F.col(c) for c in df.columns], F.size(tokens).alias(f"{prefix}n_tokens"),
-        count(lexicon.positive).alias(f"{prefix}lm_pos"),
-        count(lexicon.negative).alias(f"{prefix}lm_neg"),
-        count(lexicon.uncertainty).alias(f"{prefix}lm_unc"),
-        *[count(words).alias(f"{prefix}lm_{name}") for name, words in lexicon.more.items()])
+def _hit_counts(lists: Sequence[Sequence[str]]):
+    """The number of words of each text and those in each list, ``tx.ROWS`` texts at a time; none for null."""
+    sets, names = [frozenset(words) for words in lists], [f"c{i}" for i in range(len(lists) + 1)]
+
+    def count(texts: pa.Array) -> pa.Array:
+        row, code, words = tx.split_letters(texts)
+        held = [np.array([w in words_of for w in words], dtype=float) for words_of in sets]
+        columns = [np.bincount(row, minlength=len(texts)), *(np.bincount(row, h[code], len(texts)) for h in held)]
+        return pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in columns], names)
+
+    @arrow_udf(f"struct<{', '.join(f'{n}: int' for n in names)}>")
+    def counts(texts: pa.Array) -> pa.Array:
+        empty = pa.array([], pa.struct([(n, pa.int32()) for n in names]))
+        return pa.concat_arrays([empty] + [count(texts.slice(i, tx.ROWS)) for i in range(0, len(texts), tx.ROWS)])
+
+    return counts
 
 
 def lexicon_ratios(df: DataFrame, prefix: str = "") -> DataFrame:
