@@ -1,5 +1,6 @@
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,11 @@ def test_lexicon_words_are_counted_in_arrow(spark, capsys):
     for r in out.collect():
         n = [len(words[r.id])] + [sum(w in s for w in words[r.id]) for s in (["up", "iup"], ["down"], [], ["up", "down"])]
         assert [r.p_n_tokens, r.p_lm_pos, r.p_lm_neg, r.p_lm_unc, r.p_lm_both] == n
+
+
+def test_words_that_come_again_are_looked_up_once(monkeypatch):
+    asked = []
+    monkeypatch.setattr(sc, "_shouted", lambda w: asked.append(w) or False)
+    scorer = sc._Valence({"good": 1.0}, sc.ValenceRules())
+    assert scorer.all_sums(pa.array([["AB", "cd"] * 500, None, [], ["cd"]])) == [(n, 0.0, 0.0, 0.0, 0) for n in (1000, 0, 0, 1)]
+    assert sorted(asked) == ["AB", "cd"]

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,13 +154,27 @@ class _Valence:
         skipped = {*rules.boosters, *rules.dampeners} if rules.context else set()
         self.scored = {w: float(v) for w, v in lexicon.items() if w not in skipped}
 
-    def sums(self, words: list[str]) -> tuple[int, float, float, float, int]:
+    def all_sums(self, texts: pa.Array) -> list[tuple[int, float, float, float, int]]:
+        """The sums of each array of words; a word that comes again is looked up once."""
+        sizes = pc.list_value_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        coded = texts.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         low = [w.lower() for w in words]
-        hits = [i for i, w in enumerate(low) if w in self.scored]
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        scored = np.array([w in self.scored for w in low], dtype=bool)[code]
+        loud = np.array([_shouted(w) for w in words], dtype=bool)[code]
+        out, start = [], 0
+        for size in sizes.tolist():
+            part = slice(start, start := start + size)
+            hits = np.flatnonzero(scored[part]).tolist()
+            own = code[part].tolist() if hits else []
+            out.append((size, *self.sums([words[c] for c in own], [low[c] for c in own], hits, int(loud[part].sum()))))
+        return out
+
+    def sums(self, words: list[str], low: list[str], hits: list[int], shouted: int) -> tuple[float, float, float, int]:
         total, up, down, moved = 0.0, 0.0, 0.0, 0
         mixed, turn = False, -1
         if hits and self.rules.context:
-            shouted = sum(map(_shouted, words))
             mixed = 0 < shouted < len(words)
             turn = low.index(self.rules.contrast) if self.rules.contrast in low else -1
         for i in hits:
@@ -173,7 +188,7 @@ class _Valence:
             elif v < 0:
                 down += v - 1.0
             moved += v != 0
-        return len(words), total, up, down, moved
+        return total, up, down, moved
 
     def _heard(self, v: float, i: int, words: list[str], low: list[str], mixed: bool) -> float:
         """The valence of word i after its neighbours have been heard."""
@@ -211,7 +226,8 @@ def _valence_sums(lexicon: Mapping[str, float], rules: ValenceRules):
 
     @arrow_udf(_SUMS)
     def sums(words: pa.Array) -> pa.Array:
-        rows = list(zip(*[scorer.sums(w or []) for w in words.to_pylist()])) or [[]] * 5
+        parts = (words.slice(i, tx.ROWS) for i in range(0, len(words), tx.ROWS))
+        rows = list(zip(*[r for part in parts for r in scorer.all_sums(part)])) or [[]] * 5
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names)
 
     return sums
