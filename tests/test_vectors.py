@@ -195,7 +195,7 @@ def test_projection_in_slices_of_weights(spark):
     assert np.allclose(got, dense @ model.components)
 
 
-ODD = [None, "", "a", "The cat sat. The cat", "ÄRGER ärger_2 ①② x1 日本 日本語", "ΣΑΣ σας İstanbul K9 don't a\u0301b", "cat\ncat  the cat"]
+ODD = [None, "", "a", "The cat sat. The cat", "ÄRGER ärger_2 ①② x1 日本 日本語", "ΣΑΣ σας İstanbul K9 don't a\u0301b", "cat\ncat  the cat", "ab\u0870cd \U00020000\U00020001 \U00020000 _"]
 
 
 def test_terms_are_counted_in_arrow_as_words_are_cut_in_rows(spark, capsys):

@@ -23,11 +23,10 @@ URL_PATTERN = f"(?U)https?://[^{SPACE}]+|www\\.[^{SPACE}]+"
 NON_LETTER_PATTERN = f"(?U)[^a-zA-Z{SPACE}]"
 ALPHA_TOKEN_PATTERN = "[a-zA-Z]+"
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
+NON_WORD_PATTERN = r"[^\p{L}\p{N}_]+"
 
 #: Texts whose terms are counted at a time.
 ROWS = 256
-# Letters and digits of every script, as in ``WORD_PATTERN``.
-_WORDS = re.compile(r"\w{2,}")
 _LETTERS = re.compile(ALPHA_TOKEN_PATTERN)
 
 
@@ -117,10 +116,15 @@ def _counted(rows: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pairs)
 
 
+def spaced_words(text: Column) -> Column:
+    """Lower-cased text with a blank for all between words, for ``split_words``: the JVM tells what is a letter."""
+    return F.regexp_replace(F.lower(text), NON_WORD_PATTERN, " ")
+
+
 def split_words(texts: pa.Array, stop_words: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Of lower-cased texts: the row and code of each of ``word_tokens``, in order, and the words by code."""
+    """Of ``spaced_words``: the row and code of each of ``word_tokens``, in order, and the words by code."""
     stops = frozenset(stop_words)
-    lists = [[w for w in _WORDS.findall(t) if w not in stops] if t else [] for t in texts.to_pylist()]
+    lists = [[w for w in t.split(" ") if len(w) > 1 and w not in stops] if t else [] for t in texts.to_pylist()]
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     coded = pa.array(chain.from_iterable(lists), pa.string()).dictionary_encode()
     return row, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary

@@ -69,8 +69,8 @@ def term_statistics(df: DataFrame, text_col: str, stop_words: Sequence[str],
             for at in range(0, len(batch), tx.ROWS):
                 yield _statistics(batch.column(0).slice(at, tx.ROWS), stops, bigrams)
 
-    lowered = df.select(F.lower(F.col(text_col)).alias("text"))
-    parts = lowered.mapInArrow(count, "term string, tf long, df long")
+    spaced = df.select(tx.spaced_words(F.col(text_col)).alias("text"))
+    parts = spaced.mapInArrow(count, "term string, tf long, df long")
     return parts.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
@@ -137,7 +137,7 @@ class TfidfModel:
             return pa.concat_arrays([_sparse([], [], [0], len(self.terms))] + [
                 self._vectors(texts.slice(i, tx.ROWS)) for i in range(0, len(texts), tx.ROWS)])
 
-        return df.withColumn(out, weigh(F.lower(F.col(text_col))))
+        return df.withColumn(out, weigh(tx.spaced_words(F.col(text_col))))
 
     @cached_property
     def _keys(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
