@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tickerpress.llm import mixing, sentencepiece_codec, simhash, substring_dedup, toxicity
 from tickerpress.session import write_through
 
+#: Segments an encoding worker keeps: fewer than the operator's default, as the heap is large after four stages.
+REMEMBERED = 100_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -35,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and the text decoded from them."""
-    return sentencepiece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), most=REMEMBERED)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -1,13 +1,16 @@
+import gc
 import random
 import time
+import weakref
 
 import helpers as h
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickerpress.llm import ann, toxicity
+from tickerpress.llm import ann, sentencepiece_codec, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -235,3 +238,22 @@ def test_only_texts_go_to_python_to_be_scored(spark):
     assert found.columns == ["doc_id", "other", "f"] and [len(r["f"]) for r in found.collect()] == [len(toxicity.FEATURES)] * 2
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
+def test_a_worker_remembers_one_operator_at_a_time():
+    words = toxicity._words({"grol": 2.0})
+    assert toxicity._words({"grol": 2.0}) is words  # it serves the next task
+    gone = weakref.ref(words)
+    del words
+    codec = sentencepiece_codec._codec(public_tokenizers.path("piece_bpe_32k.model"), 2, True, 50)
+    gc.collect()
+    assert gone() is None
+    texts = [h.prose(400, seed) for seed in range(5)]
+    found = [codec.encode([t])[0][0] for t in texts]
+    assert len(codec.known) <= 450 and found == sentencepiece_codec.Codec(
+        public_tokenizers.path("piece_bpe_32k.model")).encode(texts)[0]
+    gone = weakref.ref(codec)
+    del codec
+    toxicity._words({"grol": 2.0})
+    gc.collect()
+    assert gone() is None

@@ -15,7 +15,6 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
+from tickerpress.llm.remembered import remembered
+
 MARKER = "▁"
 #: Kinds of pieces, and of models, in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -122,7 +123,7 @@ def _text_rules(model: Model) -> list:
 class Codec:
     """Ids and texts, segment by segment, with the parity of every new segment checked."""
 
-    def __init__(self, path: str, threads: int = 2, verify: bool = True):
+    def __init__(self, path: str, threads: int = 2, verify: bool = True, most: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         model = read_model(path)
@@ -139,6 +140,7 @@ class Codec:
         self.threads = threads
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (CONTROL, UNKNOWN)
                          else p.replace(MARKER, " ").encode() for p, _, kind in model.pieces]
+        self.most = most
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.differ: set[str] = set()
@@ -166,7 +168,7 @@ class Codec:
         return " " + text if self.prefix and text else text
 
     def _learn(self, segments: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         new = segments.difference(self.known)
         self.known.update((s, self.older[s]) for s in new.intersection(self.older))
@@ -185,26 +187,26 @@ class Codec:
             self.known.update(zip(part, found))
 
 
-@lru_cache(maxsize=1)
-def _codec(path: str, threads: int, verify: bool) -> Codec:
+def _codec(path: str, threads: int, verify: bool, most: int = REMEMBERED) -> Codec:
     """One per model and worker process, so that what a task has learnt serves the next."""
-    return Codec(path, threads, verify)
+    return remembered(("sentencepiece", path, threads, verify, most), lambda: Codec(path, threads, verify, most))
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                  verify: bool = True, threads: int = 2) -> DataFrame:
+                  verify: bool = True, threads: int = 2, most: int = REMEMBERED) -> DataFrame:
     """One row per row of ``docs``: doc_id, ids, n_tokens, decoded, round_trip, parity.
 
     ``round_trip`` says whether the decoded text equals the text (not so where the text
     holds the marker itself, which decodes to a space), ``parity`` whether the rebuilt tokenizer and
     the SentencePiece library agree on every segment (true if not verified).  Null texts
     count as empty and have no ids.  Rows are independent and keep ids that repeat or are null.
+    ``most`` bounds the segments in the younger half of a worker's memory, of some 200 bytes each.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model_path, threads, verify)
+        codec = _codec(model_path, threads, verify, most)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

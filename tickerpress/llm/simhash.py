@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tickerpress.functions import text as tx
 from tickerpress.llm.components import components
+from tickerpress.llm.remembered import forget
 from tickerpress.session import write_through
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -119,6 +120,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept), "print long"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             prints = fingerprint(x.as_py() for x in batch.column("text")).view(np.int64)
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(prints, pa.int64())], [*kept, "print"])

@@ -23,6 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickerpress.llm.remembered import remembered
 from tickerpress.session import write_through
 
 #: Labelled rows to learn from at most, taken by the hash of their id.
@@ -102,16 +103,9 @@ class Words:
         return weight
 
 
-_of_process: dict[int, Words] = {}
-
-
 def _words(lexicon: dict[str, float]) -> Words:
     """One per worker process and lexicon, so that what a task has looked up serves the next."""
-    key = hash(tuple(sorted(lexicon.items())))
-    if key not in _of_process:
-        _of_process.clear()
-        _of_process[key] = Words(lexicon)
-    return _of_process[key]
+    return remembered(("toxicity", hash(tuple(sorted(lexicon.items())))), lambda: Words(lexicon))
 
 
 def _class(c: str) -> int:
