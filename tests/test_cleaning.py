@@ -1,9 +1,13 @@
+import datetime
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tickerpress.functions import text as tx
 from tickerpress.operators import cleaning as cl
 from tickerpress.operators import extraction as ex
+from tickerpress.plans import harvest
 
 WORDS = " ".join(f"w{i}" for i in range(30))
 
@@ -138,3 +142,20 @@ def test_only_rows_with_references_are_unescaped(spark):
     rows = [(1, "<div class='b'><p>a &amp;amp; b</p></div>"), (2, "<div class='b'><p>plain</p><p>two</p></div>"), (3, None), (4, "<p>x</p>")]
     got = xt.extract_body(spark.createDataFrame(rows, "id int, html string"), "html", css_class="b").orderBy("id").collect()
     assert [r["full_text"] for r in got][:3] == ["a &amp; b", "plain two", None]
+
+
+def test_harvest_cuts_bodies_out_once(spark):
+    prose = " ".join(f"w{i}" for i in range(40))
+    pages = spark.createDataFrame([
+        ("a", f"<!-- <article> --><article><p>{prose} &amp; <b>one</b></p><article><p>two</article>three</article><p>four"),
+        ("b", "<div>no article</div>"), ("c", None), ("e", f"<article><p>{prose} &amp; one</p><p>two")], "url string, html string")
+    hits = [(i, json.dumps({"results": [{"datePublished": "2022-01-03T10:00:00Z", "cn:type": "article", "cn:title": u, "url": u}]}))
+            for i, u in enumerate("abcde")]
+    rates = spark.createDataFrame([("ALL", datetime.date(2022, 1, d), 1.0) for d in (3, 4)],
+                                  "series_id string, obs_date date, level double")
+    out = harvest.harvest_articles([spark.createDataFrame(hits, "page_no long, page string")], pages, rates,
+                                   tag="article", css_class=None)
+    # What is returned reads the texts that were written: bodies are not cut out of pages again.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "html" not in plan
+    assert {(r["url"], r["full_text"]) for r in out.collect()} == {("a", f"{prose} & one twothree"), ("e", f"{prose} & one two")}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_rules
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,11 @@ _MARK = "\u0001"
 _HIDDEN = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where the value is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def container_html(html: Column, tag: str, css_class: str | None = None) -> Column:
     """Inner HTML of the first matching element, or null.
 
@@ -27,20 +33,22 @@ def container_html(html: Column, tag: str, css_class: str | None = None) -> Colu
     The text after the opening tag is cut at every further opening or closing
     tag of the same name; the element ends where the nesting depth returns to 0.
     """
-    html = F.regexp_replace(html, _HIDDEN, "")
     wanted = rf'[^>]*\bclass\s*=\s*["\']?[^"\'>]*(?<![\w-]){css_class}(?![\w-])' if css_class else ""
     opening = rf"(?is)<{tag}\b{wanted}[^>]*>"
-    rest = F.split(html, opening, 2)[1]
-    pieces = F.split(rest, rf"(?i)(?=</?{tag}\b)")
-    # Running state: depth, and how many pieces lie before the closing tag.
-    scan = F.aggregate(
-        pieces, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")),
-        lambda s, p: F.when(s["depth"] == 0, s).otherwise(F.struct(
-            (s["depth"] + F.when(p.rlike(rf"(?i)^</{tag}\b"), -1)
-             .when(p.rlike(rf"(?i)^<{tag}\b"), 1).otherwise(0)).alias("depth"),
-            (s["n"] + F.when((s["depth"] == 1) & p.rlike(rf"(?i)^</{tag}\b"), 0).otherwise(1))
-            .alias("n"))))
-    return F.when(html.rlike(opening), F.array_join(F.slice(pieces, F.lit(1), scan["n"]), ""))
+    rest = F.get(F.split(F.regexp_replace(html, _HIDDEN, ""), opening, 2), F.lit(1))
+
+    def inner(pieces: Column) -> Column:
+        # Running state: depth, and how many pieces lie before the closing tag.
+        scan = F.aggregate(
+            pieces, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")),
+            lambda s, p: F.when(s["depth"] == 0, s).otherwise(F.struct(
+                (s["depth"] + F.when(p.rlike(rf"(?i)^</{tag}\b"), -1)
+                 .when(p.rlike(rf"(?i)^<{tag}\b"), 1).otherwise(0)).alias("depth"),
+                (s["n"] + F.when((s["depth"] == 1) & p.rlike(rf"(?i)^</{tag}\b"), 0).otherwise(1))
+                .alias("n"))))
+        return F.array_join(F.slice(pieces, F.lit(1), scan["n"]), "")
+
+    return _once(F.split(rest, rf"(?i)(?=</?{tag}\b)"), inner)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -57,9 +65,8 @@ def paragraph_text(inner: Column) -> Column:
     the container; unclosed paragraphs do not nest.
     """
     marked = F.regexp_replace(inner, r"(?i)<p(\s[^>]*)?>", _MARK)
-    after_mark = F.split(marked, _MARK)
     plain = F.transform(
-        F.slice(after_mark, F.lit(2), F.size(after_mark)),
+        _once(F.split(marked, _MARK), lambda cut: F.slice(cut, F.lit(2), F.size(cut))),
         lambda p: F.regexp_replace(F.split(p, r"(?i)</p\s*>", 2)[0], r"(?s)<[^>]*>", ""))
     # Only rows that hold a reference go through Python.
     texts = F.coalesce(unescape(F.when(inner.contains("&"), plain)), plain)

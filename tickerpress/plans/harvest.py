@@ -11,6 +11,7 @@ from tickerpress.functions import dates as dt
 from tickerpress.operators import alignment as al
 from tickerpress.operators import cleaning as cl
 from tickerpress.operators import extraction as ex
+from tickerpress.session import write_through
 from tickerpress.sources import hits as hs
 
 
@@ -34,10 +35,11 @@ def harvest_articles(searches: Sequence[DataFrame], pages: DataFrame, rates: Dat
                      source: str | None = None, json_col: str = "page", page_no: str = "page_no") -> DataFrame:
     """Hits joined with their pages (``url``, ``html``), body text cut out, cleaned and aligned.
 
-    A hit whose page was not fetched has no text and falls at the missing-text step.
+    A hit whose page was not fetched has no text and falls at the missing-text step. Bodies are cut
+    out once and written: what compares, filters and returns them reads texts, not pages.
     """
     hits = harvest_hits(searches, json_col, page_no, floor, source)
     fetched = hits.join(pages.select("url", "html").dropDuplicates(["url"]), "url", "left")
-    articles = ex.extract_body(fetched, "html", tag=tag, css_class=css_class)
+    articles = write_through(ex.extract_body(fetched, "html", tag=tag, css_class=css_class), "harvested")
     cleaned = cl.clean_articles(articles.where(F.col("full_text") != cl.NO_BODY_TEXT), "full_text", "ingest_id")
     return al.align_to_calendar(cleaned, al.trading_calendar(rates))
