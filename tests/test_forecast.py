@@ -363,3 +363,11 @@ def test_boosting_without_rows_values_or_splits(spark):
     flat = bt.fit_forests(spark.createDataFrame([(1.0, None), (3.0, None), (None, 5.0)], schema), ["a"], "y", [bt.Spec((0,), 2, 0.5, 2)])[0]
     assert flat.predict(np.array([[np.nan], [4.0]])) == pytest.approx([2.0, 2.0])
     assert flat.importances().tolist() == [0.0]
+
+
+def test_refits_of_one_series_are_spread_over_tasks(spark, panel, monkeypatch):
+    monkeypatch.setattr(fc, "REFITS", 6)
+    one = panel.where("series_id = 'a'")
+    out = fc.expanding_refit(one, 1, 0).withColumn("task", F.spark_partition_id()).collect()
+    assert len(out) == 60 and all(r["y_hat"] is not None for r in out)
+    assert len({r["task"] for r in out}) >= 5  # of ten blocks; all in one where rows are few and go by bytes

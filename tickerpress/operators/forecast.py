@@ -89,6 +89,9 @@ def baselines(panel: DataFrame, splits: Sequence[str] = ("val", "test")) -> Data
 
 # -- regressions with ARMA errors ----------------------------------------------
 
+#: Tasks a core that units of a grouped map are dealt to, so that few units meet by chance.
+UNIT_TASKS = 4
+
 FITS = f"{SERIES} string, p int, q int, n long, coef array<double>, rss double"
 
 
@@ -124,7 +127,13 @@ def _rows(panel: DataFrame, exog: Sequence[str], *more: str | Column) -> DataFra
 
 
 def _by_series(rows: DataFrame, exog: Sequence[str], work, schema: str, units: Sequence[str] = ()) -> DataFrame:
-    """``work(series, *unit)`` for every series and unit; one group is at most one calendar long."""
+    """``work(series, *unit)`` for every series and unit; one group is at most one calendar long.
+
+    Units are dealt to a fixed number of tasks: their rows are few and their fits long, so that
+    adaptive execution, which goes by bytes, would put them all into one.
+    """
+    if units:
+        rows = rows.repartition(UNIT_TASKS * rows.sparkSession.sparkContext.defaultParallelism, SERIES, *units)
     return rows.groupBy(SERIES, *units).applyInPandas(lambda key, pdf: work(_Series(pdf, exog), *key[1:]), schema)
 
 
