@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -156,6 +157,52 @@ def test_near_duplicates_with_one_crowd_of_copies(spark, monkeypatch):
     assert {r["id"] for r in got.collect()} == brute_near(rows, 0.9, 5000)
 
 
+def test_disk_of_near_duplicates_does_not_grow_with_pairs(spark):
+    from tickerpress.session import shared_dir
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(words, k=120))) for i in range(600)]
+    rows += [(600 + i, t + " word1") for i, t in rows[:20]]
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    got = nd.near_duplicate_ids(frame(spark, rows), "id", "t", 0.9, 5000, [])
+    assert {r["id"] for r in got.collect()} == set(range(600, 620))
+    # Less than the texts; no row for each of an article's words, nor for a pair.
+    made = [f for x in set(folder.iterdir()) - before for f in x.rglob("*.parquet")]
+    assert made and sum(f.stat().st_size for f in made) < sum(len(t) for _, t in rows)
+
+
+def test_blocks_tell_rows_near_to_earlier_ones_of_the_other():
+    rng = np.random.default_rng(8)
+    idf, made = rng.uniform(1, 3, 30), []
+    base = rng.random((12, 30)) < 0.4
+    for n in (70, 90):
+        hit = base[rng.integers(12, size=n)] ^ (rng.random((n, 30)) < 0.02)
+        hit[:, 0] |= ~hit.any(axis=1)
+        counts = hit * rng.integers(1, 3, hit.shape)
+        ids = rng.integers(0, 60, n)  # some repeat, in a block and in both
+        made.append((ids, counts, nd._Block.made(ids, hit.sum(axis=1), np.nonzero(hit)[1], counts[hit], idf, rng.random(n) < 0.8)))
+    unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (counts * idf for _, counts, _ in made)]
+    (a_ids, _, a), (b_ids, _, b) = made
+    near = unit[0] @ unit[1].T > 0.8
+    want = a.open & (near & (b_ids < a_ids[:, None])).any(axis=1), b.open & (near & (a_ids[:, None] < b_ids)).any(axis=0)
+    for slices, entries in ((nd.SLICE, nd.ENTRIES), (7, 5)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(nd, "SLICE", slices)
+            patch.setattr(nd, "ENTRIES", entries)
+            got = nd._near(a, b, 30, 0.8)
+        assert 0 < want[0].sum() < want[0].size and 0 < want[1].sum() and all((x == y).all() for x, y in zip(got, want))
+
+
+def test_near_duplicates_with_repeated_and_missing_ids(spark):
+    text = " ".join(f"term{i}" for i in range(30))
+    rows = [(5, text), (5, "alpha beta gamma"), (None, text), (7, text + " other"), (3, "alpha beta gamma"), (9, None), (9, "a")]
+    got = nd.near_duplicate_ids(frame(spark, rows), "id", "t", 0.9, 5000, [])
+    assert {r["id"] for r in got.collect()} - {None} == {5, 7}
+    kept = nd.drop_near_duplicates(frame(spark, rows), "id", "t", 0.9, 5000, [])
+    assert sorted((r["id"] or 0) for r in kept.collect()) == [0, 3, 9, 9]
+
+
 def test_pairs_of_blocks_are_bounded_before_any_vector_is_looked_up(spark, monkeypatch):
     near, far = [0.8, 0.6], [0.1, 0.995]
     rows = [(i, 0, 0.7, 0.5, 3, i != 4, [0, 1], near if i % 2 == 0 else far) for i in (0, 1, 2, 4, 6)]
