@@ -105,6 +105,17 @@ def test_character_references_and_missing_pages(spark):
     assert got == {1: "café “x” — ’… &amp;", 2: None, 3: cl.NO_BODY_TEXT}
 
 
+def test_report_with_near_step_reads_texts_that_were_written(spark):
+    prose = " ".join(f"word{i}" for i in range(40))
+    rows = [prose, prose, "In this article " + prose, prose + " more", None, "", "short", " ".join(f"item{i}" for i in range(40))]
+    made = texts(spark, *rows).withColumn("t", F.concat("t", F.expr("substr(uuid(), 1, 0)")))
+    report = cl.cleaning_report(made, "t", near_order="id", stop_words=[])
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "uuid" not in plan  # neither the input nor the steps before the last one are computed again
+    assert [tuple(r) for r in report.orderBy("step_no").collect()] == [
+        (1, "start", 8), (2, "drop_missing", 6), (3, "exact_dedupe", 5), (4, "min_words", 4), (5, "near_duplicates", 2)]
+
+
 def test_rows_without_a_key_are_not_kept(spark):
     assert sorted(r["id"] for r in cl.keep_first(texts(spark, "a", None, "a", None, "b"), ["t"], "id").collect()) == [0, 4]
 
