@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -227,6 +228,33 @@ def test_terms_are_counted_in_slices_of_rows(spark, monkeypatch):
         ((i, "bb"), 2), ((i, "aa"), 1), ((i + 3, "cc"), 1))}
 
 
+def test_only_terms_of_repeated_ids_are_shuffled(spark, tmp_path):
+    from workload import features
+
+    def found(name, ids, orders):
+        d = f"{tmp_path}/{name}"
+        docs = [(i, "src", f"word{n} word{n} of other\nthis") for n, i in enumerate(ids)]
+        spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(i,) for i in orders], "o_orderkey long").withColumn(
+            "o_orderdate", F.expr("timestamp_ntz'2022-01-03'")).write.parquet(f"{d}/orders.parquet")
+        out = features.v1(spark, d)
+        rows = Counter()
+        for r in out.collect():
+            assert (r["ingest_id"], r["term"]) not in rows
+            rows[r["ingest_id"], r["term"]] = r["n"]
+        want = Counter()
+        for n, i in enumerate(ids):
+            words = [f"word{n}", f"word{n}", "other", "this"]
+            for t in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
+                want[i, t] += orders.count(i)
+        assert rows == +want
+        return out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+    dealt = r"hashpartitioning\(ingest_id#\d+L, term#\d+"
+    assert not re.search(dealt, found("once", [1, 2, 3, 5, None], [1, 2, 3, 4]))
+    found("twice", [1, 2, 1, 3, None, None, 7], [1, 2, 2, 3, 4])
+
+
 def test_projection_in_slices_of_weights(spark):
     rng = np.random.default_rng(3)
     dense = np.where(rng.random((90, 12)) < 0.4, rng.random((90, 12)), 0.0)

@@ -58,6 +58,22 @@ def term_stream(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[
     return tx.unnest(staged, [id_col], F.col("terms"), "term")
 
 
+def term_counts(df: DataFrame, id_col: str, text_col: str, stop_words: Sequence[str],
+                bigrams: bool = True, partitions: int | None = None) -> DataFrame:
+    """``(id, term, n)``, one row per term of an id.
+
+    The terms of a text are counted inside its row, which is all there is for an id that comes once.
+    Only terms of ids that come again are shuffled, to ``partitions`` partitions, and added up.
+    """
+    n_rows = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    again = write_through(n_rows.where("n > 1").select(F.col(id_col).alias("again_")), "repeated-ids")
+    same = F.col(id_col).eqNullSafe(F.col("again_"))
+    once, shared = (term_stream(df.join(again, same, how), id_col, text_col, stop_words, bigrams, counted=True)
+                    for how in ("left_anti", "left_semi"))
+    dealt = shared.repartition(partitions, id_col, "term") if partitions else shared
+    return once.unionByName(dealt.groupBy(id_col, "term").agg(F.sum("n").alias("n")))
+
+
 def term_statistics(df: DataFrame, text_col: str, stop_words: Sequence[str],
                     bigrams: bool = True) -> DataFrame:
     """``(term, tf, df)`` over the corpus, plus a row with a null term whose ``df`` is its size.

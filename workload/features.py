@@ -344,9 +344,8 @@ def weights_sql(source: str, column: str, max_features: int, min_df: int, train:
 @query("v1_term_stream", v.ctes("news", tail=terms_sql()) +
        "SELECT ingest_id, term, count(*) AS n FROM trm GROUP BY 1, 2")
 def v1(spark, d):
-    stream = vc.term_stream(v.news(spark, d), "ingest_id", "full_text", v.STOP_WORDS, counted=True)
-    return (stream.repartition(_parts(spark, d), "ingest_id", "term")
-            .groupBy("ingest_id", "term").agg(F.sum("n").alias("n")))
+    texts = v.news(spark, d).select("ingest_id", "full_text")
+    return vc.term_counts(texts, "ingest_id", "full_text", v.STOP_WORDS, partitions=_parts(spark, d))
 
 
 @query("v2_vocabulary", v.ctes("news", tail=weights_sql("news", "full_text", 3000, 5)) +
